@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat, shards, urls
+from tidemark.llm import chat, mixing, shards, units, urls
 
-MODULES = (chat, shards, urls)
+MODULES = (chat, mixing, shards, units, urls)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _module in MODULES:
