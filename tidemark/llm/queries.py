@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat, containment, knn, mixing, shards, units, urls
+from tidemark.llm import chat, containment, jaccard, knn, mixing, shards, toxicity, units, urls
 
-MODULES = (chat, containment, knn, mixing, shards, units, urls)
+MODULES = (chat, containment, jaccard, knn, mixing, shards, toxicity, units, urls)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _module in MODULES:
