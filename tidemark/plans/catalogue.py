@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from tidemark.plans import radar_queries
+
+MODULES = (radar_queries,)
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in MODULES:
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
