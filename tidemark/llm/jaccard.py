@@ -33,7 +33,7 @@ from tidemark.llm.components import components
 from tidemark.llm.kernels import U, mix, shingles
 
 PERCENT = 75
-SHORT = 32
+SHORT = 8
 FLUSH = 2_000_000
 RECUR = 3
 HOT_LEAST, HOT_MOST = 8, 1 << 20
@@ -166,7 +166,8 @@ def _may_link(n, m, i, j):
 
 
 def multiply(p: np.ndarray):
-    """One block of columns: (pairs: node, node, count) and (long columns: gram, node, size, place)."""
+    """One block of columns: (pairs: node, node, size, size; how often they met; whether they may link by some
+    meeting) and (long columns: gram, node, size, place). All meetings of a short column count."""
     p = p[np.lexsort((p["at"], p["node"], p["gram"]))]
     new = np.ones(len(p), bool)
     new[1:] = (p["gram"][1:] != p["gram"][:-1]) | (p["node"][1:] != p["node"][:-1])
@@ -176,13 +177,16 @@ def multiply(p: np.ndarray):
     own = np.repeat(length, length)
     p, own = p[own > 1], own[own > 1]
     few = p[own <= SHORT]
-    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    met, open_ = [np.zeros((0, 4), np.int64)], [np.zeros(0, bool)]
 
-    def add(a, b):
-        ok = _may_link(a["size"], b["size"], a["at"], b["at"])
-        x, y = a["node"][ok], b["node"][ok]
-        xs.append(np.minimum(x, y))
-        ys.append(np.maximum(x, y))
+    def add(a, b, all_meetings):
+        n, m = a["size"].astype(np.int64), b["size"].astype(np.int64)
+        may = _may_link(n, m, a["at"], b["at"])
+        keep = 4 * np.minimum(n, m) >= 3 * np.maximum(n, m) if all_meetings else may
+        swap = a["node"] > b["node"]
+        x, y = np.where(swap, b["node"], a["node"]), np.where(swap, a["node"], b["node"])
+        met.append(np.stack([x, y, np.where(swap, m, n), np.where(swap, n, m)], 1)[keep])
+        open_.append(may[keep])
 
     for d in range(1, SHORT):
         if len(few) <= d:
@@ -190,7 +194,7 @@ def multiply(p: np.ndarray):
         same = few["gram"][d:] == few["gram"][:-d]
         if not same.any():
             break
-        add(few[:-d][same], few[d:][same])
+        add(few[:-d][same], few[d:][same], True)
     long = p[own > SHORT]
     if len(long):
         order = np.lexsort((long["node"], long["at"], long["gram"]))
@@ -198,17 +202,18 @@ def multiply(p: np.ndarray):
         size = np.diff(np.append(np.flatnonzero(head), len(long)))
         leader = np.repeat(long[order][head], size)
         other = leader["node"] != long["node"]
-        add(leader[other], long[other])
-    pairs, counts = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], 1), axis=0, return_counts=True)
-    return pairs, counts, long
+        add(leader[other], long[other], False)
+    pairs, at, counts = np.unique(np.concatenate(met), axis=0, return_inverse=True, return_counts=True)
+    may = np.bincount(at.ravel(), weights=np.concatenate(open_), minlength=len(pairs)) > 0
+    return pairs, counts, may, long
 
 
 def _products(postings: DataFrame) -> DataFrame:
-    """kind 0: a pair of nodes x, y and its count n so far. kind 1: node y, of n shingles, has long column x at place m."""
+    """kind 0: nodes x, y of n and m shingles that met c times, may: at a place from where they can link. kind 1: node y, of n shingles, has long column x at place m."""
 
     def run(key, table):
         p = np.concatenate([np.frombuffer(b.as_py(), POSTING) for b in table.column("postings")])
-        pairs, counts, long = multiply(p)
+        pairs, counts, may, long = multiply(p)
         kind = np.repeat(np.array([0, 1], np.int32), [len(pairs), len(long)])
         column = long["gram"].astype(np.int64) | (np.int64(key[0].as_py()) << np.int64(32))
         return pa.table(
@@ -216,12 +221,24 @@ def _products(postings: DataFrame) -> DataFrame:
                 "kind": kind,
                 "x": np.concatenate([pairs[:, 0], column]),
                 "y": np.concatenate([pairs[:, 1], long["node"]]),
-                "n": np.concatenate([counts, long["size"].astype(np.int64)]),
-                "m": np.concatenate([np.zeros(len(pairs), np.int64), long["at"].astype(np.int64)]),
+                "c": np.concatenate([counts, np.zeros(len(long), np.int64)]),
+                "n": np.concatenate([pairs[:, 2], long["size"].astype(np.int64)]),
+                "m": np.concatenate([pairs[:, 3], long["at"].astype(np.int64)]),
+                "may": np.concatenate([may, np.zeros(len(long), bool)]),
             }
         )
 
-    return postings.groupBy("block").applyInArrow(run, "kind int, x long, y long, n long, m long")
+    return postings.groupBy("block").applyInArrow(run, "kind int, x long, y long, c long, n long, m long, may boolean")
+
+
+def _reachable(pairs: DataFrame, longs: DataFrame) -> DataFrame:
+    """The pairs (x, y, c, n, m) that can reach the overlap they need. c counts the first columns they met in; they may
+    share as many long ones as both have, uncounted, and beyond the first columns no more than a row has left."""
+    a, b = longs.select(F.col("node").alias("x"), F.col("long").alias("lx")), longs.select(F.col("node").alias("y"), F.col("long").alias("ly"))
+    left = F.ceil(PERCENT * F.greatest("n", "m") / 100) - 1
+    most = F.col("c") + F.least(F.coalesce("lx", F.lit(0)), F.coalesce("ly", F.lit(0))) + left
+    need = F.ceil(PERCENT * (F.col("n") + F.col("m")) / (100 + PERCENT))
+    return pairs.join(a, "x", "left").join(b, "y", "left").where(most >= need).select("x", "y")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, survey: DataFrame) -> DataFrame:
@@ -246,7 +263,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, survey: DataFrame) -> DataFrame
 
 
 def _open_pairs(columns: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Pairs of nodes that share a long column, may link, and are in different components."""
+    """(x, y, n, m): pairs of nodes that share a long column, may link, and are in different components."""
     named = columns.withColumn("comp", F.col("y")) if comps is None else columns.join(comps.withColumnRenamed("node", "y"), "y", "left").withColumn("comp", F.coalesce("comp", "y"))
     named = Stored(named.select("x", "y", "n", "m", "comp")).read()
     sizes = Stored(named.groupBy("x").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("x", "rows")).read()
@@ -258,18 +275,18 @@ def _open_pairs(columns: DataFrame, comps: DataFrame | None) -> DataFrame:
     def run(key, table):
         y, n, m, comp, s = (table.column(c).to_numpy() for c in ("y", "n", "m", "comp", "s"))
         a, b = key[1].as_py(), key[2].as_py()
-        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        out = [np.zeros((0, 4), np.int64)]
         for lo in range(0, len(y), 256):
             i = np.arange(lo, min(lo + 256, len(y)))
             ok = (comp[i][:, None] != comp[None]) & (y[i][:, None] < y[None]) & _may_link(n[i][:, None], n[None], m[i][:, None], m[None])
             if a != b:
                 ok &= s[i][:, None] != s[None]
             r, c = np.nonzero(ok)
-            xs.append(y[i][r])
-            ys.append(y[c])
-        return pa.table({"x": np.concatenate(xs), "y": np.concatenate(ys)})
+            out.append(np.stack([y[i][r], y[c], n[i][r], n[c]], 1))
+        found = np.concatenate(out)
+        return pa.table({k: found[:, j] for j, k in enumerate(("x", "y", "n", "m"))})
 
-    return rows.groupBy("x", "a", "b").applyInArrow(run, "x long, y long").distinct()
+    return rows.groupBy("x", "a", "b").applyInArrow(run, "x long, y long, n long, m long").distinct()
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -281,11 +298,14 @@ def link(docs: DataFrame) -> DataFrame:
     total = members.agg(F.sum(prefix_length_column(F.col("n")))).first()[0] or 0
     hot = _hot(survey)
     products = Stored(_products(_postings(docs, hot, max(1, -(-int(total) // BLOCK_POSTINGS)) * 4))).read()
-    edges = Stored(_verified(products.where("kind = 0").groupBy("x", "y").agg(F.sum("n").alias("n")), docs, members)).read()
-    comps = None if edges.isEmpty() else components(edges)
     columns = products.where("kind = 1")
+    longs = Stored(columns.groupBy(F.col("y").alias("node")).agg(F.count("*").alias("long"))).read()
+    met = Stored(products.where("kind = 0").groupBy("x", "y").agg(F.sum("c").alias("c"), F.max("n").alias("n"), F.max("m").alias("m"), F.bool_or("may").alias("may"))).read()
+    edges = Stored(_verified(Stored(_reachable(met.where("may"), longs)).read(), docs, members)).read()
+    comps = None if edges.isEmpty() else components(edges)
     if not columns.isEmpty():
-        pairs = Stored(_open_pairs(columns, comps)).read()
+        pairs = _open_pairs(columns, comps).join(met.select("x", "y", "c"), ["x", "y"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+        pairs = Stored(_reachable(pairs, longs)).read()
         if not pairs.isEmpty():
             more = Stored(_verified(pairs, docs, members)).read()
             if not more.isEmpty():
