@@ -1,11 +1,11 @@
 """Substring dedup over suffix arrays: bytes covered by a string of `width` bytes that also starts earlier go.
 
 The corpus is far larger than any shard, so windows of `width` bytes are first dealt out by content: a window's
-anchor is the least hash among its 16-byte grams, the leftmost if several, and neighbouring windows of one anchor
+anchor is the least hash among its 32-byte grams, the leftmost if several, and neighbouring windows of one anchor
 form a context (their bytes). Equal windows have equal anchors, so shards by anchor lose no match. Equal contexts are
 aggregated, in each task and again in each shard: the earliest stays, all windows of the others have an
-earlier start. Only anchors with different contexts are left; their contexts' texts are fetched,
-dealt into shards by anchor, and sorted there by external induced sorting (see induced.py): tuples of position and
+earlier start. Only anchors with different contexts are left, and of these contexts only such as agree with another on half of what a window has beside
+its anchor, on one side (equal windows do); their texts are fetched, dealt into shards by anchor, and sorted there by external induced sorting (see induced.py): tuples of position and
 common prefix in queues that spill to disk beyond a budget. Runs of suffixes with common prefixes of `width` or more
 are equal windows, and all but the earliest go. Contexts are laid out in the order (doc_id, offset), so
 the earliest is the least position. Strings are judged on the input; nothing is approximate but 64-bit hashes of contexts.
@@ -31,20 +31,22 @@ from tidemark.llm.induced import suffixes
 from tidemark.llm.kernels import U, mix, powers
 
 WIDTH = 100
-GRAM = 16
+GRAM = 32
+
 PIECE = 1 << 20
 FLUSH = 400_000
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 BUDGET = 64 << 20
 BROADCAST_IDS = 1_000_000
 BLOCK_ENTRIES = 500_000
 _BYTES = np.random.Generator(np.random.PCG64(4242)).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-ENTRY = np.dtype([("gram", "<u4"), ("context", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("lo", "<u4"), ("span", "u1"), ("rel", "u1")])
+ENTRY = np.dtype([("gram", "<u4"), ("context", "<u8"), ("doc", "<i8"), ("text", "<u2"), ("lo", "<u4"), ("span", "u1"), ("rel", "u1"), ("left", "<u2"), ("right", "<u2")])
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH):
-    """(row, first window, last window, anchor's hash, context's hash, anchor - first) of every context; places count from the run's start."""
-    n, k = len(data), width - GRAM + 1
+    """(row, first window, last window, anchor's hash, context's hash, anchor - first, and 16-bit hashes of what stands left and right of
+    the anchor, 0 if the row ends there) of every context; places count from the run's start."""
+    n, k, half = len(data), width - GRAM + 1, (width - GRAM) // 2
     parts = []
     if n >= width:
         up, down = powers(n + 1)
@@ -72,8 +74,17 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH):
             lo, hi = p[start], p[np.append(start[1:], len(p)) - 1]
             with np.errstate(over="ignore"):
                 context = mix((sums[hi + width] - sums[lo]) * down[lo] + (hi - lo + 1).astype(np.uint64) * U(0xD6E8FEB86659FD93)) ^ mix((a[start] - lo).astype(np.uint64) + U(11))
-            parts = [row[start], lo, hi, grams[a[start]], context, a[start] - lo]
-    return parts or [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)]
+            own, at = row[start], a[start]
+
+            def side(b, e, fits):
+                b, e = np.where(fits, b, 0), np.where(fits, e, 0)
+                with np.errstate(over="ignore"):
+                    return np.where(fits, (mix((sums[e] - sums[b]) * down[b]) >> U(48)).astype(np.uint16) | np.uint16(1), np.uint16(0))
+
+            left = side(at - half, at, at - half >= offsets[own])
+            right = side(at + GRAM, at + GRAM + half, at + GRAM + half <= offsets[own + 1])
+            parts = [own, lo, hi, grams[at], context, at - lo, left, right]
+    return parts or [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)] + [np.zeros(0, np.uint16)] * 2
 
 
 def _pieces(batch: pa.RecordBatch, width: int):
@@ -133,7 +144,7 @@ def _dealt(docs: DataFrame, blocks: int, width: int) -> DataFrame:
             order = np.argsort(block, kind="stable")
             packed = np.empty(len(block), ENTRY)
             packed["gram"] = (e["gram"] & U(0xFFFFFFFF))[order]
-            for k in ("context", "doc", "text", "lo", "span", "rel"):
+            for k in ("context", "doc", "text", "lo", "span", "rel", "left", "right"):
                 packed[k] = e[k][order]
             block = block[order]
             cut = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
@@ -145,9 +156,9 @@ def _dealt(docs: DataFrame, blocks: int, width: int) -> DataFrame:
             ids = batch.column("doc").fill_null(int(NULL_ID)).to_numpy()
             texts = batch.column("tkey").to_numpy()
             for row0, data, offsets, at in _pieces(batch, width):
-                row, lo, hi, gram, context, rel = anchors(data, offsets, width)
+                row, lo, hi, gram, context, rel, left, right = anchors(data, offsets, width)
                 if len(row):
-                    held.append({"gram": gram, "context": context, "doc": ids[row + row0], "text": texts[row + row0], "lo": lo - offsets[row] + at, "span": hi - lo, "rel": rel})
+                    held.append({"gram": gram, "context": context, "doc": ids[row + row0], "text": texts[row + row0], "lo": lo - offsets[row] + at, "span": hi - lo, "rel": rel, "left": left, "right": right})
                     size += len(row)
                 if size > FLUSH:
                     yield from flush()
@@ -158,6 +169,13 @@ def _dealt(docs: DataFrame, blocks: int, width: int) -> DataFrame:
     return docs.mapInArrow(run, f"block int, entries binary, {_RANGES}")
 
 
+def _agrees(e: np.ndarray, side: str) -> np.ndarray:
+    """Which contexts have the same bytes as another of their anchor on one side."""
+    key = (e["gram"].astype(np.uint64) << U(16)) | e[side].astype(np.uint64)
+    _, at, n = np.unique(key, return_inverse=True, return_counts=True)
+    return (n[at] > 1) & (e[side] > 0)
+
+
 def _matched(dealt: DataFrame, width: int) -> DataFrame:
     """Ranges that go, and (starts null) contexts whose text is wanted: gram, lo, size, of document doc."""
     names = ["doc", "text", "starts", "ends", "gram", "lo", "size"]
@@ -171,13 +189,11 @@ def _matched(dealt: DataFrame, width: int) -> DataFrame:
         gone = e[again]
         rows = _merged(gone["doc"], gone["text"], gone["lo"], gone["lo"].astype(np.int64) + gone["span"], width)
         first = e[~again]
-        head = np.append(True, first["gram"][1:] != first["gram"][:-1])[: len(first)]
-        each = np.diff(np.append(np.flatnonzero(head), len(first)))
-        wanted = first[np.repeat(each, each) > 1] if len(first) else first
+        wanted = first[_agrees(first, "left") | _agrees(first, "right")]
         through = table.filter(table.column("doc").is_valid()).select(["doc", "text", "starts", "ends"])
         k, m = len(rows), len(wanted)
         block = np.int64(key[0].as_py()) << np.int64(32)
-        cols = [pa.concat_arrays([a, b]) for a, b in zip(_range_batch(rows), [pa.array(wanted["doc"]), pa.array(wanted["text"]), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))])]
+        cols = [pa.concat_arrays([a, b]) for a, b in zip(_range_batch(rows), [pa.array(wanted["doc"]), pa.array(wanted["text"].astype(np.int64)), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))])]
         cols += [pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(x)]) for x in (wanted["gram"].astype(np.int64) | block, wanted["lo"].astype(np.int64), wanted["span"].astype(np.int64) + width)]
         out = pa.table(cols, names=names)
         for x in names[4:]:
@@ -293,7 +309,7 @@ ADDED = ("kept", "n_bytes", "n_removed", "n_spans", "spans")
 def deduplicate(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
     """docs with kept (bytes), n_bytes, n_removed, n_spans and spans (byte ranges that went)."""
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in (*ADDED, "doc", "tkey", "parts")])
-    keyed = docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))), "tkey": F.xxhash64("text")})
+    keyed = docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))), "tkey": F.pmod(F.xxhash64("text"), F.lit(1 << 16))})
     parts = Stored(ranges(keyed.select("doc", "tkey", "text"), width, budget)).read()
     ids = Stored(parts.select("doc").distinct()).read()
     touched = only(keyed, ids).join(parts, ["doc", "tkey"], "left")
