@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 PLACEHOLDERS = ("EMAIL", "URL", "CARD", "ORDER_ID", "ACCOUNT_ID", "CUSTOMER_ID", "REFERENCE_ID", "PHONE", "USER", "PERSON")
 PLACEHOLDER = r"\[(?:" + "|".join(PLACEHOLDERS) + r")\]"
 # Control characters that become spaces; white space as the host language sees it.
-CONTROL = r"[\u0000-\u0008\u000b\u000c\u000e-\u001f\u007f-\u009f​﻿]"
-SPACE = r"[\s\u001c-\u001f\u0085   -     　]"
+CONTROL = r"[\u0000-\u0008\u000b\u000c\u000e-\u001f\u007f-\u009f\u200b\ufeff]"
+SPACE = r"[\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 # Generic review words that say nothing about a topic.
 DOMAIN_STOPWORDS = (
     "app apps please fix asap really just honestly seriously ugh wow hmm okay ok fyi note thanks thank love hate star stars "

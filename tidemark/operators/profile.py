@@ -18,8 +18,8 @@ def text_profile(df: DataFrame, text: str) -> DataFrame:
         F.count("*").alias("rows"),
         F.count_if(n == 0).alias("empty_text"),
         (F.count("*") - F.countDistinct(key)).alias("duplicate_texts"),
-        F.min(n).alias("min_length"),
-        F.max(n).alias("max_length"),
+        F.min(n).cast("long").alias("min_length"),
+        F.max(n).cast("long").alias("max_length"),
         rounded(F.avg(n), 2).alias("mean_length"),
         F.percentile(n, 0.5).alias("median_length"),
         rounded(F.percentile(n, 0.95), 4).alias("p95_length"),
@@ -61,9 +61,10 @@ def conflicts(df: DataFrame, key: str, label: str) -> DataFrame:
 
 def consistent(df: DataFrame, id_col: str, key: str, label: str, position: str) -> DataFrame:
     """Rows without conflicting ids, then the first of each id, then without keys whose labels conflict."""
-    out = df.join(conflicts(df, id_col, label), id_col, "left_anti")
-    out = out.withColumn("_r", F.row_number().over(Window.partitionBy(id_col).orderBy(position))).where("_r = 1").drop("_r")
-    return out.join(conflicts(df, key, label), key, "left_anti")
+    each = Window.partitionBy(id_col)
+    out = df.withColumns({"_same": F.min(label).over(each) == F.max(label).over(each), "_r": F.row_number().over(each.orderBy(position))})
+    out = out.where("_same and _r = 1").drop("_same", "_r")
+    return out.join(conflicts(out, key, label), key, "left_anti")
 
 
 def split_overlap(df: DataFrame, split: str, key: str) -> DataFrame:
