@@ -71,17 +71,25 @@ class TupleQueue:
                 os.remove(name)
             return pos, lcp
         if self.memory[key]:
-            pos, lcp = self.memory[key].popleft()
-            self.held -= pos.nbytes + lcp.nbytes
-            return pos, lcp
+            return self._gathered(key, self.memory[key].popleft)
         return None
 
+    def _gathered(self, key: int, take):
+        """What is held of a key, up to a segment, as one."""
+        parts, n = [], 0
+        while self.memory[key] and n < SEGMENT:
+            parts.append(take())
+            n += len(parts[-1][0])
+        if take == self.memory[key].pop:
+            parts.reverse()
+        pos, lcp = parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts))
+        self.held -= pos.nbytes + lcp.nbytes
+        return pos, lcp
+
     def pop_last(self, key: int):
         """The segment pushed last, for reading a key backwards."""
         if self.memory[key]:
-            pos, lcp = self.memory[key].pop()
-            self.held -= pos.nbytes + lcp.nbytes
-            return pos, lcp
+            return self._gathered(key, self.memory[key].pop)
         if self.files[key]:
             name, n, kind, own, _ = self.files[key].pop()
             with open(name, "rb") as f:
