@@ -129,14 +129,14 @@ def clustering_scores(df: DataFrame, truth: str, cluster: str) -> DataFrame:
     cells = df.groupBy(F.col(truth).alias("t"), F.col(cluster).alias("c")).agg(F.count("*").cast("double").alias("n"))
     pairs = lambda c: c * (c - 1) / 2
     rows = cells.groupBy("t").agg(F.sum("n").alias("n"))
-    cols = cells.groupBy("c").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
-    entropy = lambda d: d.crossJoin(F.broadcast(total)).agg((-F.sum(F.col("n") / F.col("N") * F.ln(F.col("n") / F.col("N")))).alias("h"))
-    total = cells.agg(F.sum("n").alias("N"))  # one row, as all below
-    joint = cells.join(rows.withColumnRenamed("n", "a"), "t").join(cols.select("c", F.col("n").alias("b")), "c").crossJoin(F.broadcast(total))
-    mi = joint.agg(F.sum(F.col("n") / F.col("N") * F.ln(F.col("N") * F.col("n") / (F.col("a") * F.col("b")))).alias("mi"), F.sum(pairs(F.col("n"))).alias("idx"), F.first("N").alias("N"))
-    out = mi.crossJoin(rows.agg(F.sum(pairs(F.col("n"))).alias("pa"))).crossJoin(cols.agg(F.sum(pairs(F.col("n"))).alias("pb"), F.sum("top").alias("top")))
-    out = out.crossJoin(entropy(rows).withColumnRenamed("h", "ht")).crossJoin(entropy(cols).withColumnRenamed("h", "hc"))
-    expected = F.col("pa") * F.col("pb") / pairs(F.col("N"))
+    cols = cells.groupBy("c").agg(F.sum("n").alias("b"), F.max("n").alias("top"))
+    entropy = lambda d: d.crossJoin(F.broadcast(total)).agg((-F.sum(F.col("n") / F.col("total_n") * F.ln(F.col("n") / F.col("total_n")))).alias("h"))
+    total = cells.agg(F.sum("n").alias("total_n"))  # one row, as all below
+    joint = cells.join(rows.select("t", F.col("n").alias("a")), "t").join(cols.select("c", "b"), "c").crossJoin(F.broadcast(total))
+    mi = joint.agg(F.sum(F.col("n") / F.col("total_n") * F.ln(F.col("total_n") * F.col("n") / (F.col("a") * F.col("b")))).alias("mi"), F.sum(pairs(F.col("n"))).alias("idx"), F.first("total_n").alias("total_n"))
+    out = mi.crossJoin(rows.agg(F.sum(pairs(F.col("n"))).alias("pa"))).crossJoin(cols.agg(F.sum(pairs(F.col("b"))).alias("pb"), F.sum("top").alias("top")))
+    out = out.crossJoin(entropy(rows).withColumnRenamed("h", "ht")).crossJoin(entropy(cols.select(F.col("b").alias("n"))).withColumnRenamed("h", "hc"))
+    expected = F.col("pa") * F.col("pb") / pairs(F.col("total_n"))
     mean = (F.col("pa") + F.col("pb")) / 2
     ari = F.when(mean == expected, 1.0).otherwise((F.col("idx") - expected) / (mean - expected))
     return out.select(
@@ -144,7 +144,7 @@ def clustering_scores(df: DataFrame, truth: str, cluster: str) -> DataFrame:
         rounded(F.when(F.col("ht") + F.col("hc") > 0, 2 * F.col("mi") / (F.col("ht") + F.col("hc"))).otherwise(1.0), 4).alias("nmi"),
         rounded(F.when(F.col("ht") > 0, F.col("mi") / F.col("ht")).otherwise(1.0), 4).alias("homogeneity"),
         rounded(F.when(F.col("hc") > 0, F.col("mi") / F.col("hc")).otherwise(1.0), 4).alias("completeness"),
-        rounded(F.col("top") / F.col("N"), 4).alias("weighted_purity"),
+        rounded(F.col("top") / F.col("total_n"), 4).alias("weighted_purity"),
     )
 
 

@@ -17,3 +17,20 @@ def weekly_stream(events: DataFrame, ts: str = "ts", theme: str = "event_type",
 def distinct_stream(events: DataFrame, key: str, ts: str = "ts", late: str = "2 days") -> DataFrame:
     """Re-delivered rows dropped by key within the watermark."""
     return events.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", late).dropDuplicatesWithinWatermark([key]).drop("_t")
+
+
+def replay(spark, sf_dir: str) -> DataFrame:
+    """The events table through the stream, to the end of its data; windows that are still open are counted too."""
+    import tempfile
+    import uuid
+
+    path, name = f"{sf_dir}/events.parquet", f"weekly_{uuid.uuid4().hex}"
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stamped = stream.withColumn("_t", F.col("ts").cast("timestamp"))
+    counted = stamped.groupBy(F.window("_t", "7 days"), F.col("event_type").alias("theme_id")).agg(F.count("*").alias("n"))
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-stream-")
+    out = counted.select(F.col("window.start").alias("window_start"), "theme_id", "n")
+    query = out.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base.rstrip('/')}/{name}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name)
