@@ -35,8 +35,8 @@ from tidemark.llm.kernels import U, mix, shingles
 PERCENT = 75
 SHORT = 8
 FLUSH = 2_000_000
-RECUR = 3
-HOT_LEAST, HOT_MOST = 8, 1 << 20
+RECUR = 2
+HOT_LEAST, HOT_MOST = 4, 1 << 20
 BLOCK_POSTINGS = 1_000_000
 SEGMENT = 8192
 BROADCAST_IDS = 1_000_000
@@ -167,7 +167,8 @@ def _may_link(n, m, i, j):
 
 def multiply(p: np.ndarray):
     """One block of columns: (pairs: node, node, size, size; how often they met; whether they may link by some
-    meeting) and (long columns: gram, node, size, place). All meetings of a short column count."""
+    meeting) (long columns: gram, node, size, place), and how many short columns each node shares. All meetings of a short
+    column count."""
     p = p[np.lexsort((p["at"], p["node"], p["gram"]))]
     new = np.ones(len(p), bool)
     new[1:] = (p["gram"][1:] != p["gram"][:-1]) | (p["node"][1:] != p["node"][:-1])
@@ -205,26 +206,28 @@ def multiply(p: np.ndarray):
         add(leader[other], long[other], False)
     pairs, at, counts = np.unique(np.concatenate(met), axis=0, return_inverse=True, return_counts=True)
     may = np.bincount(at.ravel(), weights=np.concatenate(open_), minlength=len(pairs)) > 0
-    return pairs, counts, may, long
+    return pairs, counts, may, long, np.unique(few["node"], return_counts=True)
 
 
 def _products(postings: DataFrame) -> DataFrame:
-    """kind 0: nodes x, y of n and m shingles that met c times, may: at a place from where they can link. kind 1: node y, of n shingles, has long column x at place m."""
+    """kind 0: nodes x, y of n and m shingles that met c times, may: at a place from where they can link. kind 1: node y, of n shingles, has long column x at place m.
+    kind 2: node y shares c short columns."""
 
     def run(key, table):
         p = np.concatenate([np.frombuffer(b.as_py(), POSTING) for b in table.column("postings")])
-        pairs, counts, may, long = multiply(p)
-        kind = np.repeat(np.array([0, 1], np.int32), [len(pairs), len(long)])
+        pairs, counts, may, long, (sharing, shared) = multiply(p)
+        kind = np.repeat(np.array([0, 1, 2], np.int32), [len(pairs), len(long), len(sharing)])
+        none = np.zeros(len(sharing), np.int64)
         column = long["gram"].astype(np.int64) | (np.int64(key[0].as_py()) << np.int64(32))
         return pa.table(
             {
                 "kind": kind,
-                "x": np.concatenate([pairs[:, 0], column]),
-                "y": np.concatenate([pairs[:, 1], long["node"]]),
-                "c": np.concatenate([counts, np.zeros(len(long), np.int64)]),
-                "n": np.concatenate([pairs[:, 2], long["size"].astype(np.int64)]),
-                "m": np.concatenate([pairs[:, 3], long["at"].astype(np.int64)]),
-                "may": np.concatenate([may, np.zeros(len(long), bool)]),
+                "x": np.concatenate([pairs[:, 0], column, none]),
+                "y": np.concatenate([pairs[:, 1], long["node"], sharing]),
+                "c": np.concatenate([counts, np.zeros(len(long), np.int64), shared]),
+                "n": np.concatenate([pairs[:, 2], long["size"].astype(np.int64), none]),
+                "m": np.concatenate([pairs[:, 3], long["at"].astype(np.int64), none]),
+                "may": np.concatenate([may, np.zeros(len(long) + len(none), bool)]),
             }
         )
 
@@ -236,7 +239,7 @@ def _reachable(pairs: DataFrame, longs: DataFrame) -> DataFrame:
     share as many long ones as both have, uncounted, and beyond the first columns no more than a row has left."""
     a, b = longs.select(F.col("node").alias("x"), F.col("long").alias("lx")), longs.select(F.col("node").alias("y"), F.col("long").alias("ly"))
     left = F.ceil(PERCENT * F.greatest("n", "m") / 100) - 1
-    most = F.col("c") + F.least(F.coalesce("lx", F.lit(0)), F.coalesce("ly", F.lit(0))) + left
+    most = F.col("c") + F.least(F.coalesce("lx", F.lit(0)), F.coalesce("ly", F.lit(0))) + left  # c has every meeting in a short column
     need = F.ceil(PERCENT * (F.col("n") + F.col("m")) / (100 + PERCENT))
     return pairs.join(a, "x", "left").join(b, "y", "left").where(most >= need).select("x", "y")
 
@@ -262,23 +265,26 @@ def _verified(pairs: DataFrame, docs: DataFrame, survey: DataFrame) -> DataFrame
     return met.where(100 * F.col("both") >= PERCENT * (F.col("n") + F.col("m") - F.col("both"))).select("x", "y").distinct()
 
 
-def _open_pairs(columns: DataFrame, comps: DataFrame | None) -> DataFrame:
+def _open_pairs(columns: DataFrame, comps: DataFrame | None, longs: DataFrame) -> DataFrame:
     """(x, y, n, m): pairs of nodes that share a long column, may link, and are in different components."""
     named = columns.withColumn("comp", F.col("y")) if comps is None else columns.join(comps.withColumnRenamed("node", "y"), "y", "left").withColumn("comp", F.coalesce("comp", "y"))
-    named = Stored(named.select("x", "y", "n", "m", "comp")).read()
+    named = named.join(longs.select(F.col("node").alias("y"), (F.col("long") + F.col("short")).alias("all")), "y", "left")
+    named = Stored(named.select("x", "y", "n", "m", "comp", "all")).read()
     sizes = Stored(named.groupBy("x").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("x", "rows")).read()
     cut = F.ceil(F.col("rows") / SEGMENT).cast("int")
     rows = named.join(sizes, "x").withColumn("cut", cut).withColumn("s", F.pmod(F.xxhash64("y"), F.col("cut")).cast("int"))
     rows = rows.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-    rows = rows.select("x", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), "s", "y", "n", "m", "comp")
+    rows = rows.select("x", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), "s", "y", "n", "m", "comp", "all")
 
     def run(key, table):
-        y, n, m, comp, s = (table.column(c).to_numpy() for c in ("y", "n", "m", "comp", "s"))
+        y, n, m, comp, s, every = (table.column(c).to_numpy() for c in ("y", "n", "m", "comp", "s", "all"))
         a, b = key[1].as_py(), key[2].as_py()
         out = [np.zeros((0, 4), np.int64)]
         for lo in range(0, len(y), 256):
             i = np.arange(lo, min(lo + 256, len(y)))
             ok = (comp[i][:, None] != comp[None]) & (y[i][:, None] < y[None]) & _may_link(n[i][:, None], n[None], m[i][:, None], m[None])
+            left = -(-PERCENT * np.maximum(n[i][:, None], n[None]) // 100) - 1
+            ok &= np.minimum(every[i][:, None], every[None]) + left >= needed(n[i][:, None], n[None])
             if a != b:
                 ok &= s[i][:, None] != s[None]
             r, c = np.nonzero(ok)
@@ -299,12 +305,12 @@ def link(docs: DataFrame) -> DataFrame:
     hot = _hot(survey)
     products = Stored(_products(_postings(docs, hot, max(1, -(-int(total) // BLOCK_POSTINGS)) * 4))).read()
     columns = products.where("kind = 1")
-    longs = Stored(columns.groupBy(F.col("y").alias("node")).agg(F.count("*").alias("long"))).read()
+    longs = Stored(products.where("kind > 0").groupBy(F.col("y").alias("node")).agg(F.count_if(F.col("kind") == 1).alias("long"), F.sum("c").alias("short"))).read()
     met = Stored(products.where("kind = 0").groupBy("x", "y").agg(F.sum("c").alias("c"), F.max("n").alias("n"), F.max("m").alias("m"), F.bool_or("may").alias("may"))).read()
     edges = Stored(_verified(Stored(_reachable(met.where("may"), longs)).read(), docs, members)).read()
     comps = None if edges.isEmpty() else components(edges)
     if not columns.isEmpty():
-        pairs = _open_pairs(columns, comps).join(met.select("x", "y", "c"), ["x", "y"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+        pairs = _open_pairs(columns, comps, longs).join(met.select("x", "y", "c"), ["x", "y"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
         pairs = Stored(_reachable(pairs, longs)).read()
         if not pairs.isEmpty():
             more = Stored(_verified(pairs, docs, members)).read()
