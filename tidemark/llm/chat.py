@@ -108,8 +108,7 @@ def canonical_table(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("rows"))
         return grouped.select("conv_id", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("turns"))
     if mapping.items:
-        items, role, text = mapping.items
-        turns = F.transform(F.coalesce(F.col(items), F.array()), lambda r: F.struct(_renamed(r[role], mapping).alias("role"), _text(r[text]).alias("text")))
+        turns = F.transform(F.coalesce(F.col(mapping.items[0]), F.array()), _turn_of(mapping))
     else:
         turns = _one_row(mapping, F.col)
     return df.select(*[F.col(k) for k in keep], turns.alias("turns"))
@@ -129,6 +128,11 @@ def _variant_schema(mapping: Mapping) -> str:
     return "OBJECT<" + ", ".join(f"{p.split(':')[0]}: STRING" for p in sorted(mapping.fields)) + ">"
 
 
+def _turn_of(mapping: Mapping):
+    _, role, text = mapping.items
+    return lambda r: F.struct(_renamed(r[role], mapping).alias("role"), _text(r[text]).alias("text"))
+
+
 def canonical_json(df: DataFrame, raw: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Adds layout (null: unknown) and turns for a column of JSON texts of mixed layouts."""
     variant = F.try_parse_json(F.col(raw))
@@ -140,7 +144,7 @@ def canonical_json(df: DataFrame, raw: str, keep: tuple[str, ...] = ()) -> DataF
         if m.items:
             items, role, text = m.items
             got = F.from_json(F.col(raw), f"{items} array<struct<`{role}`:string,`{text}`:string>>")[items]
-            own = F.transform(got, lambda r, m=m, role=role, text=text: F.struct(_renamed(r[role], m).alias("role"), _text(r[text]).alias("text")))
+            own = F.transform(got, _turn_of(m))
         else:
             own = _one_row(m, lambda p: F.try_variant_get(variant, f"$.{p}", "string"))
         layout, turns = F.when(hit, m.name).otherwise(layout), F.when(hit, own).otherwise(turns)
