@@ -121,6 +121,27 @@ def test_jaccard_join(docs, corpus, monkeypatch, short):
     assert got == components(corpus)
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_components(spark, monkeypatch, most):
+    import tidemark.llm.components as cc
+
+    monkeypatch.setattr(cc, "ONE_TASK_EDGES", most)
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 60)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
+    got = {r.node: r.comp for r in cc.components(spark.createDataFrame(edges, "x long, y long")).collect()}
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        lo, hi = sorted((find(a), find(b)))
+        up[hi] = lo
+    assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
 def test_jaccard_edges(docs):
     assert jaccard.link(empty(docs)).count() == 0
     assert jaccard.link(docs.where("doc_id is null or doc_id = 200")).count() == 2

@@ -29,6 +29,27 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_scratch: list[list] = []
+
+
+class scratch:
+    """Inside it, stored tables are dropped at the end unless they are kept."""
+
+    def __enter__(self) -> scratch:
+        self.made: list[Stored] = []
+        _scratch.append(self.made)
+        return self
+
+    def keep(self, table: Stored) -> DataFrame:
+        self.made.remove(table)
+        return table.read()
+
+    def __exit__(self, *error) -> None:
+        _scratch.pop()
+        for table in self.made:
+            table.drop()
+
+
 class Stored:
     """A table written to the shared folder: cuts lineage, and survives lost executors."""
 
@@ -38,6 +59,8 @@ class Stored:
         df.write.option("compression", codec).parquet(self.path)
         self.schema = df.schema
         atexit.register(_remove, self.spark, self.path)
+        if _scratch:
+            _scratch[-1].append(self)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Stored, chunks
+from tidemark.llm.common import Stored, chunks, scratch
 from tidemark.llm.components import components
 from tidemark.llm.kernels import U, mix, shingles
 
@@ -298,30 +298,31 @@ def _open_pairs(columns: DataFrame, comps: DataFrame | None, longs: DataFrame) -
 def link(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = _survey(docs)
-    survey = table.read()
-    members = survey.where("grams is null")
-    total = members.agg(F.sum(prefix_length_column(F.col("n")))).first()[0] or 0
-    hot = _hot(survey)
-    products = Stored(_products(_postings(docs, hot, max(1, -(-int(total) // BLOCK_POSTINGS)) * 4))).read()
-    columns = products.where("kind = 1")
-    longs = Stored(products.where("kind > 0").groupBy(F.col("y").alias("node")).agg(F.count_if(F.col("kind") == 1).alias("long"), F.sum("c").alias("short"))).read()
-    met = Stored(products.where("kind = 0").groupBy("x", "y").agg(F.sum("c").alias("c"), F.max("n").alias("n"), F.max("m").alias("m"), F.bool_or("may").alias("may"))).read()
-    edges = Stored(_verified(Stored(_reachable(met.where("may"), longs)).read(), docs, members)).read()
-    comps = None if edges.isEmpty() else components(edges)
-    if not columns.isEmpty():
-        pairs = _open_pairs(columns, comps, longs).join(met.select("x", "y", "c"), ["x", "y"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
-        pairs = Stored(_reachable(pairs, longs)).read()
-        if not pairs.isEmpty():
-            more = Stored(_verified(pairs, docs, members)).read()
-            if not more.isEmpty():
-                comps = components(edges.unionByName(more))
-    if comps is None:
-        named = members.withColumn("comp", F.col("node"))
-    else:
-        named = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named = Stored(named.select("doc_id", F.col("n").alias("n_shingles"), "comp")).read()
-    least = Stored(named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))).read()
+    with scratch() as own:
+        table = _survey(docs)
+        survey = table.read()
+        members = survey.where("grams is null")
+        total = members.agg(F.sum(prefix_length_column(F.col("n")))).first()[0] or 0
+        hot = _hot(survey)
+        products = Stored(_products(_postings(docs, hot, max(1, -(-int(total) // BLOCK_POSTINGS)) * 4))).read()
+        columns = products.where("kind = 1")
+        longs = Stored(products.where("kind > 0").groupBy(F.col("y").alias("node")).agg(F.count_if(F.col("kind") == 1).alias("long"), F.sum("c").alias("short"))).read()
+        met = Stored(products.where("kind = 0").groupBy("x", "y").agg(F.sum("c").alias("c"), F.max("n").alias("n"), F.max("m").alias("m"), F.bool_or("may").alias("may"))).read()
+        edges = Stored(_verified(Stored(_reachable(met.where("may"), longs)).read(), docs, members)).read()
+        comps = None if edges.isEmpty() else components(edges)
+        if not columns.isEmpty():
+            pairs = _open_pairs(columns, comps, longs).join(met.select("x", "y", "c"), ["x", "y"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+            pairs = Stored(_reachable(pairs, longs)).read()
+            if not pairs.isEmpty():
+                more = Stored(_verified(pairs, docs, members)).read()
+                if not more.isEmpty():
+                    comps = components(edges.unionByName(more))
+        if comps is None:
+            named = members.withColumn("comp", F.col("node"))
+        else:
+            named = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        named = own.keep(Stored(named.select("doc_id", F.col("n").alias("n_shingles"), "comp")))
+        least = own.keep(Stored(named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))))
     out = named.join(least, "comp", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

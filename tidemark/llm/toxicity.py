@@ -90,17 +90,26 @@ def score_rows(table: np.ndarray, bias: float, data: np.ndarray, offsets: np.nda
     return 1 / (1 + np.exp(-np.clip(f, -40, 40)))
 
 
+def _counted(docs: list[np.ndarray]) -> np.ndarray:
+    """In how many documents each place occurs, from a few hundred documents at a time."""
+    out = np.zeros(1 << BITS, np.int32)
+    for i in range(0, len(docs), 200):
+        places, n = np.unique(np.concatenate(docs[i : i + 200]), return_counts=True)
+        out[places] += n.astype(np.int32)
+    return out
+
+
 def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, fit: Fit = Fit()) -> Model:
     """pos and unl: each document's distinct places."""
     if not pos or not unl or prior <= 0:
         return Model(np.zeros(0, np.int64), np.zeros(0), -40.0)
     size = 1 << BITS
-    dp = np.bincount(np.concatenate(pos), minlength=size)
-    du = np.bincount(np.concatenate(unl), minlength=size)
-    p, u = dp / len(pos), (du + 1) / (len(unl) + 1)
+    dp = _counted(pos)
+    places = np.flatnonzero(dp >= max(fit.min_docs, fit.min_share * len(pos)))
+    dp, u = dp[places], (_counted(unl)[places] + 1) / (len(unl) + 1)
     chance = len(pos) * u
     clear = dp - chance >= fit.deviations * np.sqrt(chance + 1)
-    places = np.flatnonzero((dp >= max(fit.min_docs, fit.min_share * len(pos))) & (p >= fit.ratio * u) & clear)
+    places = places[(dp >= fit.ratio * chance) & clear]
     at = np.full(size, -1, np.int32)
     at[places] = np.arange(len(places))
 
@@ -147,7 +156,7 @@ def _sampled(docs: DataFrame, ids: DataFrame) -> list[np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array([(key[a:b] & ((1 << BITS) - 1)).astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], ["p"])
 
     rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").mapInArrow(find, "p binary").collect()
-    return [np.frombuffer(r["p"], np.int32).astype(np.int64) for r in rows]
+    return [np.frombuffer(r["p"], np.int32) for r in rows]
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), seed: int = 3) -> Model:
