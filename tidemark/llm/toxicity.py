@@ -41,7 +41,7 @@ class Fit:
     min_share: float = 0.005
     min_docs: int = 3
     ratio: float = 2.5
-    deviations: float = 3.0
+    deviations: float = 4.0
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
