@@ -107,6 +107,16 @@ def lists(flat: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, kind))
 
 
+BATCH_ROWS = 2000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: hand at most BATCH_ROWS of them to Python at once."""
+    if not 0 < int(spark.conf.get(_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(_ROWS, BATCH_ROWS)
+
+
 def keep_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, under exactly these names (lookups ignore case; extra columns go)."""
     return df.select(*[F.col(f"`{n}`").alias(n) for n in names])

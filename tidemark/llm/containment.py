@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import chunks
+from tidemark.llm.common import chunks, small_batches
 from tidemark.llm.kernels import U, WIDTH, mix, prefix, shingles, span_hash, words
 
 HASHES = 64
@@ -149,6 +149,7 @@ class Items:
 
 def leaks(docs: DataFrame, items: DataFrame, item_col: str = "item_id") -> DataFrame:
     """The columns of docs plus leaks: array of structs item_id, shared, size (empty: clean)."""
+    small_batches(docs.sparkSession)
     rows = items.select(F.col(item_col).cast("long"), F.col("text"))
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "leaks"])
     kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("shared", T.IntegerType()), T.StructField("size", T.IntegerType())]))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Stored, chunks, scratch
+from tidemark.llm.common import Stored, chunks, scratch, small_batches
 from tidemark.llm.components import components
 from tidemark.llm.kernels import U, mix, shingles
 
@@ -297,6 +297,7 @@ def _open_pairs(columns: DataFrame, comps: DataFrame | None, longs: DataFrame) -
 
 def link(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for docs(doc_id, text)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with scratch() as own:
         table = _survey(docs)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import chunks
+from tidemark.llm.common import chunks, small_batches
 from tidemark.llm.kernels import U, prefix, span_hash, words
 
 BITS = 22
@@ -161,6 +161,7 @@ def _sampled(docs: DataFrame, ids: DataFrame) -> list[np.ndarray]:
 
 def fit_model(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), seed: int = 3) -> Model:
     """docs(doc_id, text), labels(doc_id, toxic); only rows that aren't held out are used."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     rank = F.xxhash64(F.lit(seed), "doc_id")
@@ -171,6 +172,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), seed: int =
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of docs plus score."""
+    small_batches(docs.sparkSession)
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "score"])
     shared = docs.sparkSession.sparkContext.broadcast((model.table(), model.bias))
 
