@@ -1,8 +1,12 @@
+import html
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import parse, pii, text as tx
 from tidemark.operators import brief, clean, drift
+from tidemark.plans import text_queries
 from tidemark.sources import reviews as source
 from tidemark.sources import store, synthetic
 
@@ -54,6 +58,24 @@ def test_repair_and_tidy(spark):
     assert one(spark, "cafÃ© &amp; more!!!!!!  ?!?!?!\tok", lambda c: tx.tidied(tx.repaired(c))) == "café & more!!! ?!? ok"
 
 
+def test_repair_query_reads_whole_pages(spark, tmp_path):
+    pages = [(1, "x" * 1990 + " cafÃ© &amp; &lt;b&gt; " + "y&amp;" * 500), (2, "short &amp; cafÃ©"), (3, "cafÃ©\n" + "z" * 3000 + " \u4e2d&amp;\u0007"), (4, None), (5, "")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+
+    def brute(h):
+        lines = []
+        for line in h.split("\n"):
+            try:
+                lines.append(line.encode("cp1252").decode("utf-8"))
+            except UnicodeError:
+                lines.append(line)
+        return "\n".join(lines)
+
+    want = [(k, None, False) if h is None else (k, len(unicodedata.normalize("NFC", html.unescape(brute(h)))), brute(h) != h) for k, h in pages]
+    got = text_queries.text_repair(spark, str(tmp_path)).select("page_id", "n", "mojibake").collect()
+    assert sorted(map(tuple, got)) == want and [r[2] for r in want] == [True, True, True, False, False]
+
+
 def test_reject_reasons(spark):
     df = spark.createDataFrame([(None,), ("  \t",), ("!!!",), ("日本",)], "x string")
     got = [r.y for r in df.select(tx.reject_reason(F.col("x"), tx.tidied(F.col("x"))).alias("y")).collect()]

@@ -25,7 +25,11 @@ DOMAIN_STOPWORDS = (
 
 
 def demojibake(s: str) -> str:
-    """UTF-8 that was read as cp1252 (or latin-1), read right; narrower than a full repair library."""
+    """UTF-8 that was read as cp1252 (or latin-1), read right, line by line; narrower than a full repair library."""
+    return "\n".join(_demojibake_line(line) for line in s.split("\n"))
+
+
+def _demojibake_line(s: str) -> str:
     if not any("\u0080" <= ch <= "ÿ" or ch in "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ" for ch in s):
         return s
     for codec in ("cp1252", "latin-1"):

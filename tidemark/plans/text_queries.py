@@ -117,7 +117,7 @@ def leak_tally(spark, sf):
 
 @query("text_repair")
 def text_repair(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.length(tx.repaired(F.substring("html", 1, 2000))).alias("n"), tx.is_mojibake("html").alias("mojibake"))
+    return table(spark, sf, "pages").select("page_id", F.length(tx.repaired(F.col("html"))).alias("n"), tx.is_mojibake("html").alias("mojibake"))
 
 
 @query("text_variants")
