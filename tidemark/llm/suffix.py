@@ -7,12 +7,12 @@ aggregated, in each task and again in each shard: the earliest stays, all window
 earlier start. Only anchors with different contexts are left, and of these contexts only such as agree with another on half of what a window has beside
 its anchor, on one side (equal windows do); their texts are fetched, dealt into shards by anchor, and sorted there by external induced sorting (see induced.py): tuples of position and
 common prefix in queues that spill to disk beyond a budget. Runs of suffixes with common prefixes of `width` or more
-are equal windows, and all but the earliest go. Contexts are laid out in the order (doc_id, offset), so
-the earliest is the least position. Strings are judged on the input; nothing is approximate but 64-bit hashes of contexts.
+are equal windows, and all but the earliest go. Contexts are laid out in the order (doc_id, row, offset), so
+the earliest is the least position. Row numbers are given once, in the order of the input, and stored with it. Strings are judged on the input; nothing is approximate but 64-bit hashes of contexts.
 
 Defined results: a null text counts as empty; texts shorter than `width` lose nothing; matches never cross documents;
-rows that share a doc_id are one document to the order, and their texts are told apart by hash; a null id
-ranks first; an empty table gives an empty result; extra columns travel along in `deduplicate`
+rows that share a doc_id, or have none, are documents of their own in the order of their rows, so of repeated rows the first stays
+whole; a null id ranks first; an empty table gives an empty result; extra columns travel along in `deduplicate`
 unless named like one that it adds.
 """
 
@@ -40,7 +40,7 @@ BUDGET = 64 << 20
 BROADCAST_IDS = 1_000_000
 BLOCK_ENTRIES = 500_000
 _BYTES = np.random.Generator(np.random.PCG64(4242)).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-ENTRY = np.dtype([("gram", "<u4"), ("context", "<u8"), ("doc", "<i8"), ("text", "<u2"), ("lo", "<u4"), ("span", "u1"), ("rel", "u1"), ("left", "<u2"), ("right", "<u2")])
+ENTRY = np.dtype([("gram", "<u4"), ("context", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("lo", "<u4"), ("span", "u1"), ("rel", "u1"), ("left", "<u2"), ("right", "<u2")])
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH):
@@ -98,29 +98,28 @@ def _pieces(batch: pa.RecordBatch, width: int):
             yield row0, part, np.array([0, len(part)], np.int64), at
 
 
-def _merged(doc, text, lo, hi, width):
-    """Rows (doc, text, starts, ends) of merged byte ranges for windows lo..hi, by document."""
-    order = np.lexsort((lo, text, doc))
-    doc, text, lo, end = doc[order], text[order], lo[order].astype(np.int64), hi[order].astype(np.int64) + width
-    if not len(doc):
+def _merged(row, lo, hi, width):
+    """(row, starts, ends) of merged byte ranges for windows lo..hi, by row."""
+    order = np.lexsort((lo, row))
+    row, lo, end = row[order], lo[order].astype(np.int64), hi[order].astype(np.int64) + width
+    if not len(row):
         return []
-    head = np.append(True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]))
-    cut = np.append(np.flatnonzero(head), len(doc))
+    cut = np.append(np.flatnonzero(np.append(True, row[1:] != row[:-1])), len(row))
     out = []
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
         s, e = lo[a:b], np.maximum.accumulate(end[a:b])
         new = np.append(True, s[1:] > e[:-1])
         last = np.append(np.flatnonzero(new)[1:], b - a) - 1
-        out.append((int(doc[a]), int(text[a]), s[new], e[last]))
+        out.append((int(row[a]), s[new], e[last]))
     return out
 
 
 NULL_ID = np.iinfo(np.int64).min
-_RANGES = "doc long, text long, starts array<long>, ends array<long>"
+_RANGES = "rowno long, starts array<long>, ends array<long>"
 
 
-def _range_batch(rows, names=("doc", "text", "starts", "ends")):
-    return [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.int64()))]
+def _range_batch(rows):
+    return [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.int64()))]
 
 
 def _dealt(docs: DataFrame, blocks: int, width: int) -> DataFrame:
@@ -132,33 +131,33 @@ def _dealt(docs: DataFrame, blocks: int, width: int) -> DataFrame:
 
         def flush():
             e = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-            order = np.lexsort((e["lo"], e["text"], e["doc"], e["context"], e["gram"]))
+            order = np.lexsort((e["lo"], e["row"], e["doc"], e["context"], e["gram"]))
             e = {k: v[order] for k, v in e.items()}
             again = np.append(False, (e["gram"][1:] == e["gram"][:-1]) & (e["context"][1:] == e["context"][:-1]))
-            rows = _merged(e["doc"][again], e["text"][again], e["lo"][again], e["lo"][again] + e["span"][again], width)
+            rows = _merged(e["row"][again], e["lo"][again], e["lo"][again] + e["span"][again], width)
             if rows:
                 none = pa.nulls(len(rows), kinds[1])
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32) % blocks), none, *_range_batch(rows)], ["block", "entries", "doc", "text", "starts", "ends"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32) % blocks), none, *_range_batch(rows)], ["block", "entries", "rowno", "starts", "ends"])
             e = {k: v[~again] for k, v in e.items()}
             block = (e["gram"] >> U(32)).astype(np.int64) % blocks
             order = np.argsort(block, kind="stable")
             packed = np.empty(len(block), ENTRY)
             packed["gram"] = (e["gram"] & U(0xFFFFFFFF))[order]
-            for k in ("context", "doc", "text", "lo", "span", "rel", "left", "right"):
+            for k in ("context", "doc", "row", "lo", "span", "rel", "left", "right"):
                 packed[k] = e[k][order]
             block = block[order]
             cut = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
             blobs = pa.array([packed[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())
             m = len(cut) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(block[cut[:-1]].astype(np.int32)), blobs, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))], ["block", "entries", "doc", "text", "starts", "ends"])
+            yield pa.RecordBatch.from_arrays([pa.array(block[cut[:-1]].astype(np.int32)), blobs, pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))], ["block", "entries", "rowno", "starts", "ends"])
 
         for batch in batches:
             ids = batch.column("doc").fill_null(int(NULL_ID)).to_numpy()
-            texts = batch.column("tkey").to_numpy()
+            rows = batch.column("rowno").to_numpy()
             for row0, data, offsets, at in _pieces(batch, width):
                 row, lo, hi, gram, context, rel, left, right = anchors(data, offsets, width)
                 if len(row):
-                    held.append({"gram": gram, "context": context, "doc": ids[row + row0], "text": texts[row + row0], "lo": lo - offsets[row] + at, "span": hi - lo, "rel": rel, "left": left, "right": right})
+                    held.append({"gram": gram, "context": context, "doc": ids[row + row0], "row": rows[row + row0], "lo": lo - offsets[row] + at, "span": hi - lo, "rel": rel, "left": left, "right": right})
                     size += len(row)
                 if size > FLUSH:
                     yield from flush()
@@ -178,65 +177,65 @@ def _agrees(e: np.ndarray, side: str) -> np.ndarray:
 
 def _matched(dealt: DataFrame, width: int) -> DataFrame:
     """Ranges that go, and (starts null) contexts whose text is wanted: gram, lo, size, of document doc."""
-    names = ["doc", "text", "starts", "ends", "gram", "lo", "size"]
+    names = ["rowno", "starts", "ends", "doc", "gram", "lo", "size"]
 
     def run(key, table):
         mine = table.column("entries").drop_null()
         e = np.concatenate([np.frombuffer(b.as_py(), ENTRY) for b in mine]) if len(mine) else np.zeros(0, ENTRY)
-        e = e[np.lexsort((e["lo"], e["text"], e["doc"], e["context"], e["gram"]))]
+        e = e[np.lexsort((e["lo"], e["row"], e["doc"], e["context"], e["gram"]))]
         same_gram = np.append(False, e["gram"][1:] == e["gram"][:-1])[: len(e)]
         again = same_gram & np.append(False, e["context"][1:] == e["context"][:-1])[: len(e)]
         gone = e[again]
-        rows = _merged(gone["doc"], gone["text"], gone["lo"], gone["lo"].astype(np.int64) + gone["span"], width)
+        rows = _merged(gone["row"], gone["lo"], gone["lo"].astype(np.int64) + gone["span"], width)
         first = e[~again]
         wanted = first[_agrees(first, "left") | _agrees(first, "right")]
-        through = table.filter(table.column("doc").is_valid()).select(["doc", "text", "starts", "ends"])
+        through = table.filter(table.column("rowno").is_valid()).select(names[:3])
         k, m = len(rows), len(wanted)
         block = np.int64(key[0].as_py()) << np.int64(32)
-        cols = [pa.concat_arrays([a, b]) for a, b in zip(_range_batch(rows), [pa.array(wanted["doc"]), pa.array(wanted["text"].astype(np.int64)), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))])]
-        cols += [pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(x)]) for x in (wanted["gram"].astype(np.int64) | block, wanted["lo"].astype(np.int64), wanted["span"].astype(np.int64) + width)]
+        cols = [pa.concat_arrays([a, b]) for a, b in zip(_range_batch(rows), [pa.array(wanted["row"]), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))])]
+        cols += [pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(x)]) for x in (wanted["doc"], wanted["gram"].astype(np.int64) | block, wanted["lo"].astype(np.int64), wanted["span"].astype(np.int64) + width)]
         out = pa.table(cols, names=names)
-        for x in names[4:]:
+        for x in names[3:]:
             through = through.append_column(x, pa.nulls(through.num_rows, pa.int64()))
         return pa.concat_tables([out, through.cast(out.schema)])
 
-    return dealt.groupBy("block").applyInArrow(run, f"{_RANGES}, gram long, lo long, size long")
+    return dealt.groupBy("block").applyInArrow(run, f"{_RANGES}, doc long, gram long, lo long, size long")
 
 
 def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """docs whose `doc` is (not) in a stored table of distinct ids, broadcast up to a counted size."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc", how)
+    """docs whose `rowno` is (not) in a stored table of distinct ones, broadcast up to a counted size."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "rowno", how)
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(gram, doc, text, lo, bytes) of the wanted contexts."""
-    grouped = wanted.groupBy("doc", "text").agg(F.collect_list(F.struct("gram", "lo", "size")).alias("parts")).withColumnRenamed("text", "tkey")
-    ids = Stored(wanted.select("doc").distinct()).read()
-    own = only(docs, ids).join(grouped, ["doc", "tkey"])
+    """(gram, doc, rowno, lo, bytes) of the wanted contexts."""
+    grouped = wanted.groupBy("rowno").agg(F.collect_list(F.struct("gram", "lo", "size")).alias("parts"))
+    ids = Stored(wanted.select("rowno").distinct()).read()
+    own = only(docs, ids).join(grouped, "rowno")
 
     def run(batches):
         for batch in batches:
-            ids, keys, parts = batch.column("doc").to_numpy(), batch.column("tkey").to_numpy(), batch.column("parts")
+            ids, numbers, parts = batch.column("doc").to_numpy(), batch.column("rowno").to_numpy(), batch.column("parts")
             for row0, data, offsets in chunks(batch, "text", PIECE):
-                grams, docs_, texts, los, out = [], [], [], [], []
+                grams, docs_, rows, los, out = [], [], [], [], []
                 for i in range(len(offsets) - 1):
                     flat = parts[row0 + i].values
                     lo, size = flat.field("lo").to_numpy(), flat.field("size").to_numpy()
                     grams.append(flat.field("gram").to_numpy())
                     docs_.append(np.full(len(lo), ids[row0 + i]))
-                    texts.append(np.full(len(lo), keys[row0 + i]))
+                    rows.append(np.full(len(lo), numbers[row0 + i]))
                     los.append(lo)
                     raw = data[offsets[i] : offsets[i + 1]].tobytes()
                     out += [raw[a : a + b] for a, b in zip(lo.tolist(), size.tolist())]
-                yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x)) for x in (grams, docs_, texts, los)], pa.array(out, pa.binary())], ["gram", "doc", "text", "lo", "bytes"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x)) for x in (grams, docs_, rows, los)], pa.array(out, pa.binary())], ["gram", "doc", "rowno", "lo", "bytes"])
 
-    return own.mapInArrow(run, "gram long, doc long, text long, lo long, bytes binary")
+    return own.mapInArrow(run, "gram long, doc long, rowno long, lo long, bytes binary")
 
 
-def repeated(doc: np.ndarray, text: np.ndarray, lo: np.ndarray, parts: list[bytes], width: int, budget: int = BUDGET, base: int = 1 << 23):
-    """(doc, text, lo, hi) of the windows of these contexts that also start earlier in one of them."""
-    order = np.lexsort((lo, text, doc))
-    doc, text, lo, parts = doc[order], text[order], lo[order], [parts[i] for i in order]
+def repeated(doc: np.ndarray, row: np.ndarray, lo: np.ndarray, parts: list[bytes], width: int, budget: int = BUDGET, base: int = 1 << 23):
+    """(row, lo, hi) of the windows of these contexts that also start earlier in one of them."""
+    order = np.lexsort((lo, row, doc))
+    row, lo, parts = row[order], lo[order], [parts[i] for i in order]
     size = np.array([len(b) for b in parts])
     start = np.cumsum(size + 1) - size - 1
     joined = np.zeros(int(size.sum()) + len(parts) + 1, np.int32)
@@ -274,33 +273,33 @@ def repeated(doc: np.ndarray, text: np.ndarray, lo: np.ndarray, parts: list[byte
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at))[: len(first)] - 1
     o = own[first]
-    return doc[o], text[o], lo[o] + at[first] - start[o], lo[o] + at[last] - start[o]
+    return row[o], lo[o] + at[first] - start[o], lo[o] + at[last] - start[o]
 
 
 def _sorted_out(contexts: DataFrame, shards: int, width: int, budget: int) -> DataFrame:
     """Ranges of the contexts that also start earlier, found in a suffix array for each shard."""
 
     def run(table):
-        doc, text, lo = (table.column(c).to_numpy() for c in ("doc", "text", "lo"))
-        rows = _merged(*repeated(doc, text, lo, table.column("bytes").to_pylist(), width, budget), width)
-        return pa.table(_range_batch(rows), names=["doc", "text", "starts", "ends"])
+        doc, row, lo = (table.column(c).to_numpy() for c in ("doc", "rowno", "lo"))
+        rows = _merged(*repeated(doc, row, lo, table.column("bytes").to_pylist(), width, budget), width)
+        return pa.table(_range_batch(rows), names=["rowno", "starts", "ends"])
 
     return contexts.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(run, _RANGES)
 
 
 def ranges(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
-    """(doc, tkey, parts: array<struct<starts, ends>>) of what goes, for docs(doc, tkey, text)."""
+    """(rowno, parts: array<struct<starts, ends>>) of what goes, for stored docs(doc, rowno, text) with unique rowno."""
     spark = docs.sparkSession
     n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(partitions(docs), -(-int(n) * 2 // (width - GRAM) // BLOCK_ENTRIES)) * 2
     found = Stored(_matched(_dealt(docs, blocks, width), width)).read()
-    gone = found.where("starts is not null").select("doc", "text", "starts", "ends")
-    wanted = found.where("starts is null").select("doc", "text", "gram", "lo", "size")
+    gone = found.where("starts is not null").select("rowno", "starts", "ends")
+    wanted = found.where("starts is null").select("doc", "rowno", "gram", "lo", "size")
     total = wanted.agg(F.sum("size")).first()[0] or 0
     if total:
         shards = max(partitions(docs), -(-int(total) // SHARD_BYTES))
         gone = gone.unionByName(Stored(_sorted_out(_contexts(docs, wanted), shards, width, budget)).read())
-    return gone.groupBy("doc", "text").agg(F.collect_list(F.struct("starts", "ends")).alias("parts")).withColumnRenamed("text", "tkey")
+    return gone.groupBy("rowno").agg(F.collect_list(F.struct("starts", "ends")).alias("parts"))
 
 
 ADDED = ("kept", "n_bytes", "n_removed", "n_spans", "spans")
@@ -308,11 +307,12 @@ ADDED = ("kept", "n_bytes", "n_removed", "n_spans", "spans")
 
 def deduplicate(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
     """docs with kept (bytes), n_bytes, n_removed, n_spans and spans (byte ranges that went)."""
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in (*ADDED, "doc", "tkey", "parts")])
-    keyed = docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))), "tkey": F.pmod(F.xxhash64("text"), F.lit(1 << 16))})
-    parts = Stored(ranges(keyed.select("doc", "tkey", "text"), width, budget)).read()
-    ids = Stored(parts.select("doc").distinct()).read()
-    touched = only(keyed, ids).join(parts, ["doc", "tkey"], "left")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in (*ADDED, "doc", "rowno", "parts")])
+    numbered = docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))), "rowno": F.monotonically_increasing_id()})
+    keyed = Stored(numbered).read()
+    parts = Stored(ranges(keyed.select("doc", "rowno", "text"), width, budget)).read()
+    ids = Stored(parts.select("rowno")).read()
+    touched = only(keyed, ids).join(parts, "rowno")
     fields = docs.columns
     kind = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField("kept", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in ADDED[1:4]], T.StructField("spans", kind)])
