@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans
+import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 from tidemark.functions import text as tx
 from tidemark.functions.numbers import rounded
+from tidemark.llm.common import Stored
+from tidemark.llm.components import labelled
 
 
 @dataclass(frozen=True)
@@ -29,6 +31,7 @@ class Params:
     n_keywords: int = 8
     n_representatives: int = 5
     exact_density_most: int = 5000
+    block_rows: int = 2500
     seed: int = 42
 
 
@@ -84,23 +87,76 @@ def min_samples(n: int) -> int:
     return min(int(min(10, max(3, round(n / 1000)))), min_cluster_size(n))
 
 
+def _squares(xt: np.ndarray, at: int) -> np.ndarray:
+    """Squared distances of all columns from one, added up dimension by dimension, so a pair's is the same in any block."""
+    return ((xt - xt[:, at : at + 1]) ** 2).sum(0)
+
+
+def core_distances(x: np.ndarray, samples: int, others: np.ndarray | None = None) -> np.ndarray:
+    """Squared distances of each row to its nearest (samples + 1) among others (default: the rows themselves), sorted, inf where there are fewer."""
+    xt = np.ascontiguousarray((x if others is None else others).T)
+    out = np.full((len(x), samples + 1), np.inf)
+    for i in range(len(x)):
+        d = ((xt - x[i][:, None]) ** 2).sum(0)
+        near = np.sort(np.partition(d, samples)[: samples + 1]) if len(d) > samples + 1 else np.sort(d)
+        out[i, : len(near)] = near
+    return out
+
+
+def spanning_tree(x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, squared reach) of the spanning tree of mutual reachability, squared; equal reaches rank by their rows (a < b), so the tree is unique."""
+    n, xt = len(x), np.ascontiguousarray(x.T)
+    place, best, code = np.arange(n), np.full(n, np.inf), np.full(n, n * n, np.int64)
+    outside, at = np.ones(n, bool), 0
+    a, b, w = np.empty(max(0, n - 1), np.int64), np.empty(max(0, n - 1), np.int64), np.empty(max(0, n - 1))
+    for k in range(n - 1):
+        outside[at] = False
+        reach = np.maximum(_squares(xt, at), np.maximum(core, core[at]))
+        pair = np.minimum(place, at) * n + np.maximum(place, at)
+        closer = (reach < best) | ((reach == best) & (pair < code))
+        best = np.where(closer, reach, best)
+        code = np.where(closer, pair, code)
+        open_ = np.flatnonzero(outside)
+        own = best[open_]
+        ties = open_[own == own.min()]
+        at = int(ties[np.argmin(code[ties])])
+        a[k], b[k], w[k] = code[at] // n, code[at] % n, best[at]
+    return a, b, w
+
+
+def forest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Places of the edges of the spanning forest, in the order (w, a, b), by rounds of each component's least edge."""
+    order = np.lexsort((b, a, w))
+    _, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    u, v = ends[: len(a)][order], ends[len(a) :][order]
+    comp, chosen = np.arange(int(ends.max()) + 1 if len(ends) else 0), np.zeros(len(a), bool)
+    live = np.flatnonzero(comp[u] != comp[v])
+    while len(live):
+        least = np.full(len(comp), len(a))
+        np.minimum.at(least, comp[u[live]], live)
+        np.minimum.at(least, comp[v[live]], live)
+        fresh = np.unique(least[least < len(a)])
+        chosen[fresh] = True
+        nodes, label = labelled(comp[u[fresh]], comp[v[fresh]])
+        onto = np.arange(len(comp))
+        onto[nodes] = label
+        comp = onto[comp]
+        live = live[comp[u[live]] != comp[v[live]]]
+    return order[chosen]
+
+
 def density_labels(x: np.ndarray, size: int, samples: int) -> np.ndarray:
     """Density clusters of a small matrix: mutual-reachability spanning tree, condensed at `size`, most stable clusters; -1 is noise."""
     n = len(x)
     if n < 2 * size:
         return np.full(n, -1)
-    sq = (x**2).sum(1)
-    d = np.sqrt(np.maximum(sq[:, None] + sq[None] - 2 * x @ x.T, 0))
-    core = np.partition(d, min(samples, n - 1), axis=1)[:, min(samples, n - 1)]
-    reach = np.maximum(np.maximum(core[:, None], core[None]), d)
-    best, parent, inside, at = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool), 0
-    edges = []
-    for _ in range(n - 1):
-        inside[at] = True
-        closer = ~inside & (reach[at] < best)
-        best[closer], parent[closer] = reach[at][closer], at
-        at = int(np.argmin(np.where(inside, np.inf, best)))
-        edges.append((best[at], parent[at], at))
+    return condensed(n, *spanning_tree(x, core_distances(x, min(samples, n - 1))[:, -1]), size)
+
+
+def condensed(n: int, a: np.ndarray, b: np.ndarray, squared: np.ndarray, size: int) -> np.ndarray:
+    """Labels of n rows from their spanning tree."""
+    order = np.lexsort((b, a, squared))
+    edges = zip(np.sqrt(squared[order]).tolist(), a[order].tolist(), b[order].tolist())
     # single linkage: node -> (left, right, distance, members)
     top = list(range(n))
     link: dict[int, tuple[int, int, float]] = {}
@@ -112,7 +168,7 @@ def density_labels(x: np.ndarray, size: int, samples: int) -> np.ndarray:
             i = top[i]
         return i
 
-    for w, a, b in sorted(edges):
+    for w, a, b in edges:
         new = len(top)
         top.append(new)
         ra, rb = root(a), root(b)
@@ -181,10 +237,9 @@ def _leaves(node: int, link: dict) -> list[int]:
 
 
 def micro_clusters(df: DataFrame, vector: str = "embedding", key: str = "vec_id", p: Params = Params()) -> DataFrame:
-    """(key, micro): density clusters on principal components, -1 noise.
+    """(key, micro): density clusters on principal components, -1 noise; exact at every size.
 
-    Up to `exact_density_most` rows they are found exactly on the driver; beyond, by bisecting k-means over all rows with
-    about one cluster per minimum size (its clusters are merged next), and rows far from their centre are noise.
+    Up to `exact_density_most` rows the driver finds them; beyond, tasks do over pairs of blocks of rows, with the same labels.
     """
     n = df.count()
     if n == 0:
@@ -196,13 +251,61 @@ def micro_clusters(df: DataFrame, vector: str = "embedding", key: str = "vec_id"
         rows = low.select(key, "reduced").orderBy(key).collect()  # at most exact_density_most rows
         labels = density_labels(np.array([r["reduced"] for r in rows]), size, min_samples(n))
         return df.sparkSession.createDataFrame([(r[key], int(c)) for r, c in zip(rows, labels)], f"{key} long, micro int")
-    vec = low.withColumn("features", array_to_vector("reduced"))
-    model = BisectingKMeans(k=min(200, max(2, n // (size * 10))), seed=p.seed, minDivisibleClusterSize=float(size)).fit(vec)
-    centers = [c.tolist() for c in model.clusterCenters()]
-    placed = model.transform(vec).withColumn("center", F.element_at(F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centers]), F.col("prediction") + 1))
-    placed = placed.withColumn("far", F.sqrt(F.aggregate(F.zip_with("reduced", "center", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)))
-    cut = placed.groupBy("prediction").agg(F.percentile_approx("far", 0.95).alias("cut"))
-    return placed.join(F.broadcast(cut), "prediction").select(key, F.when(F.col("far") <= F.col("cut"), F.col("prediction")).otherwise(-1).alias("micro"))
+    return blocked_density(low.select(F.col(key).cast("long").alias("id"), "reduced"), n, size, min_samples(n), p.block_rows).withColumnRenamed("id", key)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy()
+    return flat.reshape(len(column), -1)
+
+
+def blocked_density(low: DataFrame, n: int, size: int, samples: int, block: int) -> DataFrame:
+    """(id, micro) of density_labels for (id, reduced) with unique ids, in tasks of two blocks of rows each.
+
+    Every edge lies in some pair of blocks, so the spanning tree of all rows is that of the edges of the pairs' trees. Work grows with the square
+    of n, a task's memory with the block; the last task holds one tree (24 bytes an edge, and its Python hierarchy).
+    """
+    blocks = -(-n // block)
+    part = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        every = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return every.withColumns({"a": F.least("part", "other"), "b": F.greatest("part", "other")}).groupBy("a", "b")
+
+    def near(key, table):
+        own, x, ids = table.column("part").to_numpy(), _matrix(table.column("reduced")), table.column("id").to_numpy()
+        left, right = own == key[0].as_py(), own == key[1].as_py()
+        sides = [(left, left)] if key[0] == key[1] else [(left, right), (right, left)]
+        found = [(ids[u], core_distances(x[u], samples, x[v])) for u, v in sides]
+        return pa.table({"id": np.concatenate([f[0] for f in found]), "d": pa.array(list(np.concatenate([f[1] for f in found])), pa.list_(pa.float64()))})
+
+    def trees(key, table):
+        table = table.sort_by("id")
+        ids = table.column("id").to_numpy()
+        a, b, w = spanning_tree(_matrix(table.column("reduced")), table.column("core").to_numpy())
+        return pa.table({"a": ids[a], "b": ids[b], "w": w})
+
+    def thinned(table):
+        a, b, w = (table.column(c).to_numpy() for c in "abw")
+        return table.select(["a", "b", "w"]).take(pa.array(forest(a, b, w)))
+
+    def labels(table):
+        a, b, w = (table.column(c).to_numpy() for c in "abw")
+        keep = forest(a, b, w)
+        ids, ends = np.unique(np.concatenate((a[keep], b[keep])), return_inverse=True)
+        return pa.table({"id": ids, "micro": condensed(len(ids), ends[: len(keep)], ends[len(keep) :], w[keep], size).astype(np.int32)})
+
+    rows = Stored(low.withColumn("part", part)).read()
+    nearest_few = pairs(rows).applyInArrow(near, "id long, d array<double>")
+    core = nearest_few.groupBy("id").agg(F.element_at(F.sort_array(F.flatten(F.collect_list("d"))), samples + 1).alias("core"))
+    rows = Stored(rows.join(core, "id")).read()
+    edge = "a long, b long, w double"
+    edges = Stored(pairs(rows).applyInArrow(trees, edge)).read()
+    most = max(4_000_000, 4 * n)
+    while (held := edges.count()) > most:
+        group = F.pmod(F.xxhash64("a", "b"), F.lit(-(-held // most))).cast("int")
+        edges = Stored(edges.withColumn("g", group).groupBy("g").applyInArrow(thinned, edge)).read()
+    return Stored(edges.groupBy(F.lit(0).alias("g")).applyInArrow(labels, "id long, micro int")).read()
 
 
 def merge_micro(df: DataFrame, micro: str = "micro", vector: str = "embedding", p: Params = Params()) -> DataFrame:
@@ -211,12 +314,20 @@ def merge_micro(df: DataFrame, micro: str = "micro", vector: str = "embedding",
     ids = [r[micro] for r in cents]
     groups = {c: {i} for i, c in enumerate(ids)}
     m = np.array([r["centroid"] for r in cents]) if cents else np.zeros((0, 1))
-    dist = 1 - m @ m.T
+    total, count = 1 - m @ m.T, np.ones(len(ids))  # distances between two groups, summed over their members
+    gap = np.where(np.triu(np.ones((len(ids), len(ids)), bool), 1), total, np.inf)
     while len(groups) > 1:
-        best = min(((np.mean([dist[i, j] for i in a for j in b]), x, y) for x, a in groups.items() for y, b in groups.items() if x < y), default=None)
-        if best is None or best[0] > 1 - p.merge_threshold:
+        x, y = divmod(int(np.argmin(gap)), len(ids))
+        if gap[x, y] > 1 - p.merge_threshold:
             break
-        groups[best[1]] |= groups.pop(best[2])
+        groups[ids[x]] |= groups.pop(ids[y])
+        total[x] += total[y]
+        total[:, x] += total[:, y]
+        count[x] += count[y]
+        gap[y] = gap[:, y] = np.inf
+        mean = total[x] / (count[x] * count)
+        gap[x, x + 1 :] = np.where(np.isinf(gap[x, x + 1 :]), np.inf, mean[x + 1 :])
+        gap[:x, x] = np.where(np.isinf(gap[:x, x]), np.inf, mean[:x])
     table = [(ids[i], g) for g, own in groups.items() for i in own]
     mapped = df.join(F.broadcast(df.sparkSession.createDataFrame(table or [], "m int, g int")), F.col(micro) == F.col("m"), "left").drop("m")
     sizes = mapped.where("g is not null").groupBy("g").agg(F.count("*").alias("n"))
@@ -356,7 +467,7 @@ def unique_names(rows: list[tuple[int, str, list[str]]]) -> list[tuple[int, str]
 def discover(df: DataFrame, key: str, text: str, vector: str = "embedding", p: Params = Params()) -> tuple[DataFrame, DataFrame]:
     """(rows with theme columns, themes): the whole of discovery over (key, text, vector)."""
     micro = micro_clusters(df, vector, key, p)
-    rows = assigned(merge_micro(df.join(micro, key), "micro", vector, p), vector, p)
+    rows = Stored(assigned(merge_micro(df.join(micro, key), "micro", vector, p), vector, p)).read()  # many passes read them
     stop = tx.stop_words()
     kw = keywords(ctfidf(rows, "theme_rank", text, stop), "theme_rank", p.n_keywords)
     cover = names(rows, "theme_rank", key, text, stop)
