@@ -23,9 +23,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents, the one with the least id."""
-    others = Stored(jaccard.link(docs).where("doc_id != component_id").select("doc_id").distinct()).read()
-    return docs.join(F.broadcast(others) if others.count() <= BROADCAST_IDS else others, "doc_id", "left_anti").select(docs.columns)
+    """Of each component of linked rows, the one with the least id (null last), the first of such rows; texts without words stay."""
+    rows = jaccard.numbered(docs)
+    others = Stored(jaccard.linked(rows).where("not kept").select("rowno")).read()
+    return rows.join(F.broadcast(others) if others.count() <= BROADCAST_IDS else others, "rowno", "left_anti").select(docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

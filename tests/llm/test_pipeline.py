@@ -29,3 +29,20 @@ def test_stages(spark, tmp_path):
     out = cp.shard(spark, mixed, str(tmp_path))
     assert out.count() == mixed.count() and {"shard", "slot"} <= set(out.columns)
     assert cp.run(spark, str(tmp_path)).groupBy("shard").agg(F.count("*")).count() == 24
+
+
+def test_near_duplicates_of_null_ids_and_repeated_rows(spark):
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 80) for _ in range(4))
+    mid, end = (d + "".join(f" x{k}" for k in range(n)) for n in (14, 32))  # d and end are linked through mid only
+    assert jac(d, mid) >= 0.75 <= jac(mid, end) and jac(d, end) < 0.75
+    rows = [(1, a), (1, a), (None, a), (None, b), (None, b), (4, c), (4, c + " tail"), (None, c), (7, d), (None, mid), (8, end), (None, None), (None, ""), (9, "one two"), (None, "One two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = [tuple(r) for r in cp.drop_near_duplicates(spark, docs, "").collect()]
+    want = [(1, a), (None, b), (4, c), (7, d), (None, None), (None, ""), (9, "one two")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def jac(p, q):
+    x, y = shingle_set(p), shingle_set(q)
+    return len(x & y) / len(x | y)

@@ -66,9 +66,9 @@ def node_of(own: np.ndarray) -> int:
 
 
 def _survey(docs: DataFrame) -> Stored:
-    """A row (doc_id, n, node) for each document, and rows with n-grams that recur (grams, counts) without these."""
-    schema = "doc_id long, n long, node long, grams binary, counts binary"
-    names = ["doc_id", "n", "node", "grams", "counts"]
+    """A row (rowno, doc_id, n, node) for each document, and rows with n-grams that recur (grams, counts) without these."""
+    schema = "rowno long, doc_id long, n long, node long, grams binary, counts binary"
+    names = ["rowno", "doc_id", "n", "node", "grams", "counts"]
 
     def run(batches):
         held, seen, size = [], set(), 0
@@ -76,7 +76,7 @@ def _survey(docs: DataFrame) -> Stored:
         def flush():
             grams, counts = np.unique(np.concatenate(held), return_counts=True)
             often = counts >= RECUR
-            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 3 + [pa.array([grams[often].tobytes()], pa.binary()), pa.array([counts[often].astype(np.int64).tobytes()], pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 4 + [pa.array([grams[often].tobytes()], pa.binary()), pa.array([counts[often].astype(np.int64).tobytes()], pa.binary())], names)
 
         for batch in batches:
             n, node = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
@@ -92,7 +92,7 @@ def _survey(docs: DataFrame) -> Stored:
                     yield flush()
                     held, seen, size = [], set(), 0
             none = pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(node, mask=n == 0), none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column("rowno"), batch.column("doc_id"), pa.array(n), pa.array(node, mask=n == 0), none, none], names)
         if held:
             yield flush()
 
@@ -247,8 +247,8 @@ def _reachable(pairs: DataFrame, longs: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, survey: DataFrame) -> DataFrame:
     """The pairs (x, y) whose sets link, by exact overlap of whole rows."""
     nodes = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
-    first = survey.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    ids = Stored(first.join(nodes, "node", "left_semi").select("doc_id").where("doc_id is not null").distinct())
+    first = survey.where("node is not null").groupBy("node").agg(F.min("rowno").alias("rowno"))
+    ids = Stored(first.join(nodes, "node", "left_semi").select("rowno"))
     wanted = ids.read()
     n = wanted.count()
 
@@ -258,7 +258,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, survey: DataFrame) -> DataFrame
                 found = [s for s in row_sets(data, offsets) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["node", "grams"])
 
-    own = docs.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "doc_id", "left_semi").select("text")
+    own = docs.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "rowno", "left_semi").select("text")
     sets = own.mapInArrow(rows, "node long, grams array<long>")
     a, b = sets.select(F.col("node").alias("x"), F.col("grams").alias("gx")), sets.select(F.col("node").alias("y"), F.col("grams").alias("gy"))
     met = pairs.join(a, "x").join(b, "y").select("x", "y", F.size("gx").alias("n"), F.size("gy").alias("m"), F.size(F.array_intersect("gx", "gy")).alias("both"))
@@ -295,10 +295,22 @@ def _open_pairs(columns: DataFrame, comps: DataFrame | None, longs: DataFrame) -
     return rows.groupBy("x", "a", "b").applyInArrow(run, "x long, y long, n long, m long").distinct()
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs, stored, with a unique rowno in the order of the input."""
+    return Stored(docs.withColumn("rowno", F.monotonically_increasing_id())).read()
+
+
 def link(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for docs(doc_id, text)."""
+    with scratch():
+        return linked(numbered(docs.select("doc_id", "text"))).select("doc_id", "n_shingles", "component_id")
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """(rowno, doc_id, n_shingles, component_id, kept) for stored docs(rowno, doc_id, text) with unique rowno. kept: a text without words,
+    or the row of its component with the least doc_id (null last), then the least rowno."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select("rowno", F.col("doc_id").cast("long").alias("doc_id"), "text")
     with scratch() as own:
         table = _survey(docs)
         survey = table.read()
@@ -322,10 +334,11 @@ def link(docs: DataFrame) -> DataFrame:
             named = members.withColumn("comp", F.col("node"))
         else:
             named = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        named = own.keep(Stored(named.select("doc_id", F.col("n").alias("n_shingles"), "comp")))
-        least = own.keep(Stored(named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))))
+        named = own.keep(Stored(named.select("rowno", "doc_id", F.col("n").alias("n_shingles"), "comp")))
+        least = own.keep(Stored(named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rowno"))["rowno"].alias("first"))))
     out = named.join(least, "comp", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    kept = F.col("comp").isNull() | (F.col("rowno") == F.col("first"))
+    return out.select("rowno", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), kept.alias("kept"))
 
 
 def prefix_length_column(n):
