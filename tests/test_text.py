@@ -76,6 +76,12 @@ def test_repair_query_reads_whole_pages(spark, tmp_path):
     assert sorted(map(tuple, got)) == want and [r[2] for r in want] == [True, True, True, False, False]
 
 
+def test_variants_have_the_one_without_mojibake_repair(spark, tmp_path):
+    spark.createDataFrame([(1, "cafÃ© &amp; &eacute;!!!!! ask @some_user"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.variant): r.n for r in text_queries.text_variants(spark, str(tmp_path)).collect()}
+    assert len(got) == 18 and got[1, "no_ftfy"] == len("cafÃ© & \u00e9!!! ask @user") == got[1, "current"] + 1 and got[2, "no_ftfy"] == got[2, "current"]
+
+
 def test_reject_reasons(spark):
     df = spark.createDataFrame([(None,), ("  \t",), ("!!!",), ("日本",)], "x string")
     got = [r.y for r in df.select(tx.reject_reason(F.col("x"), tx.tidied(F.col("x"))).alias("y")).collect()]

@@ -46,6 +46,12 @@ def unescaped_nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", html.unescape(demojibake(x))))
 
 
+@F.pandas_udf(T.StringType())
+def only_unescaped_nfc(s: pd.Series) -> pd.Series:
+    """HTML entities and NFC, without mojibake repair."""
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", html.unescape(x)))
+
+
 @F.pandas_udf(T.StringType())
 def html_unescaped(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else html.unescape(x))
@@ -60,6 +66,11 @@ def repaired(c: Column) -> Column:
     return F.regexp_replace(unescaped_nfc(c), CONTROL, " ")
 
 
+def unrepaired(c: Column) -> Column:
+    """As repaired, but mojibake stays."""
+    return F.regexp_replace(only_unescaped_nfc(c), CONTROL, " ")
+
+
 def squeezed(c: Column) -> Column:
     """White space of any length to one space, trimmed."""
     return F.btrim(F.regexp_replace(c, SPACE + "+", " "))

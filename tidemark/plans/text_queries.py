@@ -123,10 +123,12 @@ def text_repair(spark, sf):
 @query("text_variants")
 def text_variants(spark, sf):
     """Preprocessing variants of each text, by name; raw ones are for reference only."""
-    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("raw"), tx.repaired(F.col("text")).alias("fixed")).withColumn("red", pii.redacted("fixed")["text"])
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("raw"), tx.repaired(F.col("text")).alias("fixed"), tx.unrepaired(F.col("text")).alias("plain"))
+    d = d.withColumns({"red": pii.redacted("fixed")["text"], "plain_red": pii.redacted("plain")["text"]})
     cur = tx.tidied(F.col("red"))
     variants = {
         "current": tx.model_input(cur),
+        "no_ftfy": tx.model_input(tx.tidied(F.col("plain_red"))),
         "no_punct_tidy": tx.model_input(tx.squeezed(F.col("red"))),
         "urls_removed": tx.model_input(tx.squeezed(F.replace(cur, F.lit("[URL]"), F.lit("")))),
         "mentions_removed": tx.model_input(tx.squeezed(F.replace(cur, F.lit("[USER]"), F.lit("")))),
