@@ -6,13 +6,13 @@ two sets are of like size, however long the document. Window and item signatures
 minimum makes a candidate (bands of one row). A window that holds a share s of an item of n shingles misses with
 probability below (1 - s * n / (n + 2**(c + 1)))**HASHES, and the windows of a document that shares 75 % of an
 item in scattered pieces have as many chances together. Candidates are verified by exact shingle
-containment: 100 * |item and document| >= 75 * |item|, over sets of distinct five-word shingles (shorter items: the
-whole item as one shingle, looked for as such runs of words). Items are few by nature; their signatures are
-broadcast after a count, and in blocks when there are more.
+containment: 100 * |item and document| >= 75 * |item|, over sets of distinct five-word shingles. Items of up to five
+words are one shingle; these are looked up exactly among the document's runs of as many words, without signatures.
+Items are few by nature; they are broadcast in blocks of `ITEM_BLOCK`, as plain arrays.
 
 Defined results: a null or wordless item matches nothing; a null or wordless document is clean; repeated rows
-are judged each; items with equal text all report; empty tables give empty or clean results; extra columns
-travel along in `decontaminate`.
+are judged each; items with equal text all report, and so does an item without an id (as null); empty tables give
+empty or clean results; extra columns travel along in `decontaminate`, but for one called leaks.
 """
 
 from __future__ import annotations
@@ -54,20 +54,19 @@ def minima(h: np.ndarray, step: int) -> np.ndarray:
 
 
 class Items:
-    """Shingle sets and signatures of a block of items, by size class; `few` holds items of under WIDTH words by length."""
+    """Shingle sets and signatures of a block of items, by size class; `few` holds items of up to WIDTH words: by length, items by shingle."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int | None, str | None]]):
         self.ids, self.sets, self.few = [], [], {}
         for item, text in rows:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             offsets = np.array([0, len(raw)], np.int64)
-            starts, ends, _ = words(raw, offsets)
-            if not len(starts):
+            n = len(words(raw, offsets)[0])
+            if not n:
                 continue
-            own = np.unique(shingles(raw, offsets)[1])
-            if len(starts) < WIDTH:
-                key = shingles(raw, offsets, len(starts))[1]
-                self.few.setdefault(len(starts), []).append((int(key[0]), item))
+            own = np.unique(shingles(raw, offsets, min(n, WIDTH))[1])
+            if n <= WIDTH:
+                self.few.setdefault(n, {}).setdefault(int(own[0]), []).append(item)
             else:
                 self.ids.append(item)
                 self.sets.append(own)
@@ -78,12 +77,23 @@ class Items:
             self.classes[c]["items"].append(i)
             self.classes[c]["sig"].append(minima(folded(own), len(own))[:, 0])
         for x in self.classes.values():
-            sig, items = np.array(x["sig"]), np.array(x["items"])
+            sig, items = np.array(x.pop("sig")), np.array(x.pop("items"))
             keys = (np.arange(HASHES, dtype=np.uint64)[None, :] << U(32)) | sig.astype(np.uint64)
             flat = keys.ravel()
             order = np.argsort(flat, kind="stable")
             x["keys"], x["owner"] = flat[order], np.repeat(items, HASHES)[order]
 
+    @property
+    def plain(self) -> dict:
+        """Lists, dicts and arrays only: what a broadcast value may hold where executors lack this package."""
+        return dict(vars(self))
+
+    @classmethod
+    def of(cls, plain: dict) -> Items:
+        out = cls([])
+        vars(out).update(plain)
+        return out
+
     def candidates(self, h: np.ndarray, row: np.ndarray, rows: int) -> set[tuple[int, int]]:
         """(row, item) pairs with an equal minimum in one of the row's windows; `h` in text order, rows ascending."""
         out: set[tuple[int, int]] = set()
@@ -140,10 +150,11 @@ class Items:
             if 100 * shared >= PERCENT * len(self.sets[i]):
                 found.append((r, self.ids[i], shared, len(self.sets[i])))
         for width, keys in self.few.items():
-            r, h = shingles(data, offsets, width)
-            known = np.array([k for k, _ in keys], np.uint64)
-            at = np.flatnonzero(np.isin(h, known))
-            found += sorted({(int(r[x]), item, 1, 1) for x in at for key, item in keys if key == int(h[x])})
+            r, g = (row, h) if width == WIDTH else shingles(data, offsets, width)
+            known = np.fromiter(keys, np.uint64, len(keys))
+            at = np.flatnonzero(np.isin(g, known))
+            for x, key in sorted(set(zip(r[at].tolist(), g[at].tolist()))):
+                found += [(x, item, 1, 1) for item in keys[key]]
         return found
 
 
@@ -157,10 +168,10 @@ def leaks(docs: DataFrame, items: DataFrame, item_col: str = "item_id") -> DataF
     out = docs.withColumn("leaks", F.array().cast(kind))
     stream = ((r[0], r[1]) for r in rows.toLocalIterator())
     while block := list(islice(stream, ITEM_BLOCK)):  # each block of items is a pass over docs
-        shared = docs.sparkSession.sparkContext.broadcast(Items(block))
+        shared = docs.sparkSession.sparkContext.broadcast(Items(block).plain)
 
         def find(batches, shared=shared):
-            known = shared.value
+            known = Items.of(shared.value)
             for batch in batches:
                 old = batch.column(batch.schema.get_field_index("leaks")).to_pylist()
                 for row0, data, offsets in chunks(batch, "text"):
