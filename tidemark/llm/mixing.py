@@ -2,12 +2,17 @@
 
 A source's rate is its target share of the byte budget over its own bytes. Each document draws its number of
 copies from a Poisson distribution of that mean by inverting the distribution at hash-seeded uniforms, is
-exploded by that number, and all copies are shuffled by a hash of (document, copy). A rate over `piece` is the
-sum of equal pieces with a uniform of their own each, so no probability underflows.
+exploded by that number, and all copies are shuffled by a hash of (document, copy). A rate over `PIECE` is the
+sum of equal pieces with a uniform of their own each, so no probability underflows. No array is longer than about
+`CHUNK` or the number of chunks: copies are exploded chunk by chunk, and where a rate passes `CHUNK`, the chunks are dealt over
+tasks before their copies are made.
 
-Defined results: a null source is the source ''; a null text counts as 0 bytes; a null id hashes as ''; repeated
-ids draw alike (the draw is a function of seed and id); sources without bytes are kept once; an empty
-table gives an empty result; extra columns travel along unless named like copy, n_copies or shuffle_key.
+A draw is a function of seed and id. Rows without an id, and rows that share one, draw by their number in the input as well
+(given once and stored), so that each draws for itself.
+
+Defined results: a null source is the source ''; a null text counts as 0 bytes; sources without bytes are kept once; a
+rate above `MOST` raises; an empty table gives an empty result; extra columns travel along unless named like
+copy, n_copies or shuffle_key or with the prefix _mix_.
 """
 
 from __future__ import annotations
@@ -15,9 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import partitions
+from tidemark.llm.common import Stored, partitions
 
 PIECE = 8.0
+CHUNK = 4096
+MOST = 1e9
 DIGITS, SPAN = 13, float(1 << 52)
 BROADCAST_SOURCES = 20_000
 
@@ -40,8 +47,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, budget: floa
 
 
 def _with_cdf(rated: DataFrame) -> DataFrame:
-    """Adds pieces, and the piece's distribution function at 0, 1, ... until it is 1."""
-    pieces = F.greatest(F.ceil(F.col("rate") / PIECE), F.lit(1)).cast("int")
+    """(_mix_source, _mix_pieces, _mix_cdf): a piece's distribution function at 0, 1, ... until it is 1."""
+    rated = rated.withColumn("pieces", F.greatest(F.ceil(F.col("rate") / PIECE), F.lit(1)))
     lam = F.col("rate") / F.col("pieces")
     step = F.aggregate(
         F.sequence(F.lit(1), F.lit(60)),
@@ -49,21 +56,53 @@ def _with_cdf(rated: DataFrame) -> DataFrame:
         lambda a, k: F.struct((a["p"] * lam / k).alias("p"), F.concat(a["cdf"], F.array(F.element_at(a["cdf"], -1) + a["p"] * lam / k)).alias("cdf")),
         lambda a: a["cdf"],
     )
-    return rated.withColumn("pieces", pieces).withColumn("cdf", step)
+    return rated.select(F.col("source").alias("_mix_source"), F.col("pieces").alias("_mix_pieces"), step.alias("_mix_cdf"))
+
+
+def _chunks(n: Column) -> Column:
+    """0, 1, ... one for each CHUNK of n > 0."""
+    return F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / CHUNK))
+
+
+def _chunk(c: Column, n: Column) -> Column:
+    """The numbers from 0 to n - 1 that chunk c has."""
+    return F.sequence(c * CHUNK, F.least((c + 1) * CHUNK, n) - 1)
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    """docs with _mix_ident: the id, and for rows without one or that share it also their number."""
+    ident = F.col("doc_id").cast("string")
+    shared = Stored(docs.groupBy(F.col("doc_id").alias("_mix_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or _mix_id is null").select("_mix_id"))
+    n = shared.read().count()
+    if not n:
+        return docs.withColumn("_mix_ident", ident)
+    numbered = Stored(docs.withColumn("_mix_row", F.monotonically_increasing_id())).read()
+    few = F.broadcast(shared.read()) if n <= BROADCAST_SOURCES else shared.read()
+    found = numbered.join(few, F.col("doc_id").eqNullSafe(F.col("_mix_id")), "left_semi")
+    rest = numbered.join(few, F.col("doc_id").eqNullSafe(F.col("_mix_id")), "left_anti")
+    own = F.concat(F.coalesce(ident, F.lit("")), F.lit("#"), F.col("_mix_row").cast("string"))
+    return found.withColumn("_mix_ident", own).unionByName(rest.withColumn("_mix_ident", ident)).drop("_mix_row")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0, seed: str = "mix") -> DataFrame:
     """The columns of docs, n_copies, copy (from 0) and shuffle_key; partitions are dealt by the key and sorted by it."""
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("copy", "n_copies", "shuffle_key")])
-    rated = _with_cdf(rates(docs, weights, budget)).withColumnRenamed("source", "_source")
-    key = F.coalesce("source", F.lit("")) == F.col("_source")
-    n = rated.count()
-    out = docs.join(F.broadcast(rated) if n <= BROADCAST_SOURCES else rated, key)
-    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    draw = lambda j: F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(seed), ident, j.cast("string"))))
-    out = out.withColumn("n_copies", F.aggregate(F.sequence(F.lit(1), F.col("pieces")), F.lit(0), lambda a, j: a + draw(j)))
-    out = out.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1))).drop("_source", "pieces", "cdf", "rate")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("copy", "n_copies", "shuffle_key") and not c.lower().startswith("_mix_")])
+    rated = Stored(rates(docs, weights, budget)).read()
+    n, most = rated.agg(F.count(F.lit(1)), F.coalesce(F.max("rate"), F.lit(0.0))).first()
+    if most > MOST:
+        raise ValueError(f"a source would be repeated {most:g} times, more than {MOST:g}")
+    of_source = _with_cdf(rated)
+    out = _identified(docs).join(F.broadcast(of_source) if n <= BROADCAST_SOURCES else of_source, F.coalesce("source", F.lit("")) == F.col("_mix_source"))
+    ident, cdf, pieces = F.col("_mix_ident"), F.col("_mix_cdf"), F.col("_mix_pieces")
+    draw = lambda j: F.size(F.filter(cdf, lambda c: c <= uniform(F.lit(seed), ident, (j + 1).cast("string")))).cast("long")
+    total = lambda numbers, own: F.aggregate(numbers, F.lit(0).cast("long"), lambda a, j: a + own(j))
+    out = out.withColumn("_mix_n", total(_chunks(pieces), lambda c: total(_chunk(c, pieces), draw))).where("_mix_n > 0")
+    out = out.withColumn("_mix_chunk", F.explode(_chunks(F.col("_mix_n")))).drop("_mix_source", "_mix_pieces", "_mix_cdf")
+    if most > CHUNK:
+        out = out.repartition(partitions(docs), "_mix_ident", "_mix_chunk")
+    out = out.withColumn("copy", F.explode(_chunk(F.col("_mix_chunk"), F.col("_mix_n"))))
     out = out.withColumn("shuffle_key", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), ident, F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long"))
+    out = out.withColumns({"n_copies": F.col("_mix_n").cast("int"), "copy": F.col("copy").cast("int")}).drop("_mix_ident", "_mix_chunk", "_mix_n")
     return out.repartition(partitions(docs), "shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy")
 
 
