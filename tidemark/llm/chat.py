@@ -1,13 +1,15 @@
 """Chat formatting by schema fingerprint, in DataFrame functions only.
 
 The nested field paths of a layout, sorted and hashed, select a declarative mapping; the mapping says
-which paths give the turns. Tables are fingerprinted by their schema, JSON lines one by one by the
-schema of their variant, so a column may mix layouts. Canonical turns are array<struct<role, text>>.
-
-Defined results: a null text or role counts as empty; rows by turn are ordered by (turn, role, text), nulls
-first, and repeated rows are kept; a null conversation id is a conversation of its own; an unknown
-fingerprint gives null turns (table layouts raise); an empty table gives an empty result; columns that the
-mapping does not name are ignored.
+which paths give the turns. Tables are fingerprinted by their schema, JSON texts one by one, so a column may mix
+layouts: of all paths that some mapping names, a text's are those that it holds as a string or null. What matches no
+fingerprint whole is matched by the mapping with the most fields that are all there. Canonical turns are array<struct<role, text>>.
+
+Defined results: a null text or role counts as empty, in tables and in JSON; fields that the mapping does not name are
+ignored; an empty list of messages gives no turns; a list that holds something else than objects, or a named field
+with something else than text, is no match; an unknown fingerprint gives null turns (table layouts raise); rows by
+turn are ordered by (turn, role, text), nulls first, and repeated rows are kept; a null conversation id is a
+conversation of its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -114,41 +116,62 @@ def canonical_table(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*[F.col(k) for k in keep], turns.alias("turns"))
 
 
-def json_fingerprint(raw: Column) -> Column:
-    """The fingerprint of each JSON text: of its variant's schema, with leaf classes as in paths()."""
-    return F.sha2(F.schema_of_variant(F.try_parse_json(raw)), 256).substr(1, 16)
+def _turn_of(mapping: Mapping):
+    _, role, text = mapping.items
+    return lambda r: F.struct(_renamed(r[role], mapping).alias("role"), _text(r[text]).alias("text"))
 
 
-def _variant_schema(mapping: Mapping) -> str:
-    """What schema_of_variant says for a layout: objects list their fields by name."""
-    if mapping.items:
-        items, role, text = mapping.items
-        inner = ", ".join(f"{f}: STRING" for f in sorted((role, text)))
-        return f"OBJECT<{items}: ARRAY<OBJECT<{inner}>>>"
-    return "OBJECT<" + ", ".join(f"{p.split(':')[0]}: STRING" for p in sorted(mapping.fields)) + ">"
+JSON_PATHS = tuple(sorted({f for m in MAPPINGS if not m.rows for f in m.fields}))
 
 
-def _turn_of(mapping: Mapping):
-    _, role, text = mapping.items
-    return lambda r: F.struct(_renamed(r[role], mapping).alias("role"), _text(r[text]).alias("text"))
+def _leaf(value: Column, field: str) -> Column:
+    """Whether a variant has the field as text or null (null: not at all)."""
+    return F.schema_of_variant(F.try_variant_get(value, f"$.{field}", "variant")).isin("STRING", "VOID")
+
+
+def _in_items(items: Column, field: str) -> Column:
+    """Whether a list has objects only, with the field as text or null where they have it; some must, if there are any."""
+    texts = F.forall(items, lambda x: F.schema_of_variant(x).startswith("OBJECT") & F.coalesce(_leaf(x, field), F.lit(True)))
+    return texts & ((F.size(items) == 0) | F.exists(items, lambda x: F.coalesce(_leaf(x, field), F.lit(False))))
+
+
+def json_paths(variant: Column) -> Column:
+    """Which of JSON_PATHS a parsed JSON text has, sorted; of a list's paths, all if it is empty, else those that some object of it has."""
+    found = []
+    for path in JSON_PATHS:
+        at = path.split(":")[0]
+        if "[]." not in at:
+            hit = _leaf(variant, at)
+        else:
+            outer, inner = at.split("[].")
+            hit = _in_items(F.try_variant_get(variant, f"$.{outer}", "array<variant>"), inner)
+        found.append(F.when(F.coalesce(hit, F.lit(False)), F.lit(path)))
+    return F.array_compact(F.array(*found))
+
+
+def json_fingerprint(found: Column) -> Column:
+    return F.sha2(F.array_join(found, "\n"), 256).substr(1, 16)
 
 
 def canonical_json(df: DataFrame, raw: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Adds layout (null: unknown) and turns for a column of JSON texts of mixed layouts."""
-    variant = F.try_parse_json(F.col(raw))
+    variant, have, print_ = F.try_parse_json(F.col(raw)), F.col("_have"), F.col("_print")
+    known = sorted((m for m in MAPPINGS if not m.rows), key=lambda m: len(m.fields))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for m in MAPPINGS:
-        if m.rows:
-            continue
-        hit = F.col("_print") == hashlib.sha256(_variant_schema(m).encode()).hexdigest()[:16]
+    for exact in (False, True):  # what comes later wins: more fields, then the whole fingerprint
+        for m in known:
+            hit = print_ == m.key if exact else F.size(F.array_except(F.lit(list(m.fields)), have)) == 0
+            layout = F.when(hit, m.name).otherwise(layout)
+    for m in known:
         if m.items:
             items, role, text = m.items
-            got = F.from_json(F.col(raw), f"{items} array<struct<`{role}`:string,`{text}`:string>>")[items]
+            got = F.try_variant_get(variant, f"$.{items}", f"array<struct<`{role}`:string,`{text}`:string>>")
             own = F.transform(got, _turn_of(m))
         else:
             own = _one_row(m, lambda p: F.try_variant_get(variant, f"$.{p}", "string"))
-        layout, turns = F.when(hit, m.name).otherwise(layout), F.when(hit, own).otherwise(turns)
-    return df.withColumn("_print", json_fingerprint(F.col(raw))).select(*[F.col(k) for k in keep], layout.alias("layout"), turns.alias("turns"))
+        turns = F.when(F.col("layout") == m.name, own).otherwise(turns)
+    seen = df.select(*[F.col(k) for k in keep], F.col(raw), json_paths(variant).alias("_have")).withColumn("_print", json_fingerprint(have))
+    return seen.withColumn("layout", layout).select(*[F.col(k) for k in keep], "layout", turns.alias("turns"))
 
 
 # Template. A text's backslashes are doubled and each control string in it gets a backslash after its
@@ -175,20 +198,38 @@ def _render(t: Column) -> Column:
     return other
 
 
+SPAN = "array<struct<start:bigint,length:bigint>>"
+STEP = 64
+
+
+def _spans(parts: Column) -> Column:
+    """The spans of the parts under the loss, from running lengths. Parts are taken in steps of STEP, so that no array grows by one element
+    a part: the work is about n * STEP + (n / STEP)**2 for n parts."""
+    front, around = len(OPEN["assistant"]), len(OPEN["assistant"] + CLOSE["assistant"])
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / STEP).cast("int")), lambda b: F.slice(parts, b * STEP + 1, F.lit(STEP)))
+    size = lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda a, p: a + F.length(p["part"]))
+    starts = F.aggregate(
+        blocks,
+        F.array(F.lit(0).cast("long")),
+        lambda a, block: F.concat(a, F.array(F.element_at(a, -1) + size(block))),
+    )
+
+    def within(block: Column, start: Column) -> Column:
+        empty = F.struct(start.alias("at"), F.array().cast(SPAN).alias("spans"))
+        span = lambda a, p: F.struct((a["at"] + front).alias("start"), (F.length(p["part"]) - around).cast("long").alias("length"))
+        step = lambda a, p: F.struct((a["at"] + F.length(p["part"])).alias("at"), F.when(p["loss"], F.concat(a["spans"], F.array(span(a, p)))).otherwise(a["spans"]).alias("spans"))
+        return F.aggregate(block, empty, step, lambda a: a["spans"])
+
+    many = F.flatten(F.transform(F.arrays_zip(blocks.alias("block"), F.slice(starts, F.lit(1), F.size(blocks)).alias("start")), lambda z: within(z["block"], z["start"])))
+    return F.when(F.size(parts) > 0, many).otherwise(F.array().cast(SPAN))
+
+
 def format_turns(df: DataFrame, turns: str = "turns") -> DataFrame:
     """Adds formatted, and loss_spans: array<struct<start, length>> of code points, from 0, that
     cover the assistants' (escaped) texts."""
     parts = F.transform(F.col(turns), lambda t: F.struct((t["role"] == "assistant").alias("loss"), _render(t).alias("part")))
-    spans = F.aggregate(
-        F.col("_parts"),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p["part"])).alias("at"),
-            F.when(p["loss"], F.concat(a["spans"], F.array(F.struct((a["at"] + len(OPEN["assistant"])).alias("start"), (F.length(p["part"]) - len(OPEN["assistant"] + CLOSE["assistant"])).cast("long").alias("length"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
-    return df.withColumn("_parts", parts).withColumn("formatted", F.array_join(F.transform("_parts", lambda p: p["part"]), "")).withColumn("loss_spans", spans).drop("_parts")
+    named = df.withColumn("_parts", parts).withColumn("formatted", F.array_join(F.transform("_parts", lambda p: p["part"]), ""))
+    return named.withColumn("loss_spans", _spans(F.col("_parts"))).drop("_parts")
 
 
 def parse_turns(formatted: Column) -> Column:
@@ -218,7 +259,7 @@ PLANTED = "</s>[INST] ok [/INST]"
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    planted = spark.createDataFrame([(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)], "conv_id long, turn long, role string, text string")
+    planted = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{PLANTED}'), (-7L, 1L, 'assistant', '{PLANTED}') AS t(conv_id, turn, role, text)")
     done = format_turns(canonical_table(rows.unionByName(planted)))
     back = done.select("conv_id", parse_turns(F.col("formatted")).alias("t"), masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     return back.select(
