@@ -3,11 +3,12 @@
 A url's items are its host labels, path segments (numbers as '#'), query keys and scheme. FP-growth mines
 the labelled urls' items together with a label item; rules `items -> bad` that reach the confidence, the
 support and the lift over the base rate are kept, and a rule is dropped when a shorter one says the same.
-The rules are indexed by one of their items, and a url is blocked when a rule's items are all its own.
+The rules are indexed by the one of their items that the fewest labelled urls have, so that a url is held against few of
+them, and a url is blocked when a rule's items are all its own. A rule needs `least` labelled urls whatever the support is.
 
 Defined results: a null url, or one without '://', has an empty host and path and is judged by no declared
 rule; a repeated url is judged once and every row gets the verdict; no labels, or no rule that survives, give
-'allow'. Extra columns are ignored.
+'allow'; empty tables give empty results or 'allow'. Extra columns travel along in `judge` unless named like one that it adds.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import Stored
+
 # The declared rules (verdict, host, path).
 RULES = (
     ("block", "com", "/en/"),
@@ -33,6 +36,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 @dataclass(frozen=True)
 class Mining:
     support: float = 0.002
+    least: int = 5
     confidence: float = 0.6
     lift: float = 1.5
     broadcast_rules: int = 20_000
@@ -66,20 +70,26 @@ def items(url: Column) -> Column:
 
 
 def mine(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
-    """Rules (items, confidence, support) from a table of (url, bad boolean)."""
-    tx = labelled.where(F.col("bad").isNotNull()).select(F.when(F.col("bad"), F.concat(items(F.col("url")), F.array(F.lit(BAD)))).otherwise(items(F.col("url"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=mining.support, minConfidence=mining.confidence).fit(tx)
-    rules = model.associationRules.where(F.col("consequent")[0] == BAD).where(F.col("lift") >= mining.lift)
-    rules = rules.select(F.array_sort("antecedent").alias("items"), "confidence", "support").cache()
+    """Rules (items, confidence, support, probe) from a table of (url, bad boolean); probe: the rule's item that is rarest there."""
+    known = labelled.where(F.col("bad").isNotNull()).select(items(F.col("url")).alias("items"), "bad")
+    n = known.count()
+    if n < mining.least:
+        return labelled.sparkSession.createDataFrame([], "items array<string>, confidence double, support double, probe string")
+    tx = known.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(mining.support, mining.least / n)), minConfidence=mining.confidence).fit(tx)
+    found = model.associationRules.where(F.col("consequent")[0] == BAD).where(F.col("lift") >= mining.lift)
+    rules = Stored(found.select(F.array_sort("antecedent").alias("items"), "confidence", "support")).read()
     shorter = rules.select(F.col("items").alias("s"), F.col("confidence").alias("sc"), F.explode("items").alias("k"))
     longer = rules.select("items", "confidence", F.explode("items").alias("k"))
     redundant = longer.join(shorter, "k").where((F.size("s") < F.size("items")) & (F.size(F.array_except("s", "items")) == 0) & (F.col("sc") >= F.col("confidence"))).select("items").distinct()
-    return rules.join(redundant, "items", "left_anti")
+    kept = rules.join(redundant, "items", "left_anti")
+    rare = kept.select("items", F.explode("items").alias("k")).join(known.select(F.explode("items").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k")
+    return Stored(kept.join(rare.groupBy("items").agg(F.min(F.struct("n", "k"))["k"].alias("probe")), "items")).read()
 
 
 def matched(pages: DataFrame, rules: DataFrame, mining: Mining = Mining()) -> DataFrame:
     """(url, confidence) of the urls that a mined rule fires on, through the rules' inverted index."""
-    index = rules.select(F.col("items")[0].alias("k"), F.col("items").alias("need"), "confidence")
+    index = rules.select(F.col("probe").alias("k"), F.col("items").alias("need"), "confidence")
     n = index.count()
     if n == 0:
         return pages.sparkSession.createDataFrame([], "url string, confidence double")
@@ -89,9 +99,13 @@ def matched(pages: DataFrame, rules: DataFrame, mining: Mining = Mining()) -> Da
     return hits.groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
+ADDED = ("host", "path", "rule", "verdict", "confidence", "_d")
+
+
 def judge(pages: DataFrame, labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     """Adds host, path, rule, verdict and the mined confidence (null: none fired) to every page."""
-    fired = matched(pages, mine(labelled, mining), mining)
+    pages = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c.lower() not in ADDED])
+    fired = matched(pages, mine(labelled.select("url", "bad"), mining), mining)
     out = pages.join(fired, "url", "left").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     out = out.withColumn("_d", declared(F.col("host"), F.col("path")))
     method = F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")
