@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tidemark.llm.toxicity as tox
-from tidemark.llm import chat, containment, induced, jaccard, kernels, knn, mixing, shards, suffix, units, urls
+from tidemark.llm import chat, containment, induced, jaccard, kernels, mixing, shards, suffix, units, urls
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -212,23 +212,6 @@ def test_containment(spark, corpus, docs):
     assert containment.decontaminate(docs, spark.createDataFrame([], "item_id long, text string")).count() == len(corpus)
 
 
-def test_knn(spark):
-    rng = np.random.default_rng(5)
-    vec = [(i, [float(x) for x in v]) for i, v in enumerate(rng.standard_normal((400, 8)) / 3)]
-    vec += [(400 + i, vec[0][1]) for i in range(50)] + [(900, None), (901, [1.0] * 7 + [float("nan")]), (902, [1.0] * 7 + [None]), (None, vec[1][1])]
-    df = spark.createDataFrame(vec, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1))
-    data = knn.integers(df, "vec_id", "embedding", 64)
-    got = knn.top_k(data.where("id % 20 = 0"), data, 20, pivots=12, groups=3)
-    ints = {i: np.floor(64 * np.asarray(v, np.float32).astype(float)).astype(int) for i, v in vec if i is not None and i < 900}
-    want = set()
-    for q in (i for i in ints if i % 20 == 0):
-        order = sorted(((-int(ints[q] @ v), i) for i, v in ints.items() if i != q))[:20]
-        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(order)}
-    assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == want
-    assert knn.top_k(data.where("false"), data, 20).count() == 0 and knn.top_k(data, data.where("false"), 20).count() == 0
-    assert knn.top_k(data.where("id = 0"), data.where("id < 3"), 20).count() == 2
-
-
 def test_toxicity_learns_and_holds_out(spark):
     rng = random.Random(1)
     rows = [(i, prose(rng, 60) + (" vile nasty vilest" if i % 8 == 0 else ""), int(i % 8 == 0)) for i in range(600)] + [(700, None, 0), (701, "", None)]
@@ -298,13 +281,23 @@ def test_chat_layouts_by_fingerprint(spark):
 
 def test_url_rules(spark):
     cases = {
-        "http://A.Example.com/en/7?x=1": ("com/en/", None), "https://example.com/en/71": ("example.com/en/7", "allow"), "http://x.com/en/1": ("com/en/", "block"), "http://q.net/de/8": ("net/de/", "allow"),
+        "http://A.Example.com/en/7?x=1": ("example.com/en/7", "allow"), "https://example.com/en/71": ("example.com/en/7", "allow"), "http://x.com/en/1": ("com/en/", "block"), "http://q.net/de/8": ("net/de/", "allow"),
         "http://m.example.net/de/88#t": ("example.net/de/8", "block"), "http://a.org/es/": ("org/es/", "block"), "http://badexample.com/en/7": ("com/en/", "block"), "no scheme": (None, "allow"), None: (None, "allow"), "": (None, "allow"),
     }
-    cases["http://A.Example.com/en/7?x=1"] = ("example.com/en/7", "allow")
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(cases)], "page_id long, url string").withColumn("Host", F.lit("x")).drop("Host")
-    got = {r.url: (r.rule, r.verdict) for r in urls.judge(pages, pages.limit(0).withColumn("bad", F.lit(True))).collect()}
-    assert got == cases
+    rows = [(i, u) for i, u in enumerate(cases)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({"Host": F.lit("x"), "confidence": F.lit("y"), "probe": F.lit(1)})
+    none = pages.limit(0).withColumn("bad", F.lit(True))
+    out = urls.judge(pages, none)
+    got = out.select("url", "rule", "verdict", "probe", "confidence").collect()
+    assert len(got) == 2 * len(cases) and {r.url: (r.rule, r.verdict) for r in got} == cases and {(r.probe, r.confidence) for r in got} == {(1, None)}
+    assert urls.judge(pages.limit(0), none).count() == 0
+
+
+def test_url_rules_need_enough_labelled_urls(spark):
+    rows = [(f"http://a.info/x/{i}", False) for i in range(60)] + [(f"http://b.info/win/{i}", True) for i in range(4)] + [(None, True)]
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    assert urls.mine(df, urls.Mining(support=0.001)).count() == 0
+    assert urls.mine(df, urls.Mining(support=0.001, least=4)).count() > 0
 
 
 def test_url_miner_matches_brute_force(spark):
@@ -312,9 +305,25 @@ def test_url_miner_matches_brute_force(spark):
     rows = [(i, f"http://{rng.choice('abc')}.site.info/{rng.choice(['win', 'news', 'shop'])}/{rng.choice(['cash', 'day'])}/{i}", None) for i in range(400)]
     rows = [(i, u, "/win/cash/" in u) for i, u, _ in rows]
     df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
-    rules = [(set(r["items"]), r["confidence"]) for r in urls.mine(df).collect()]
+    mined = urls.mine(df).collect()
+    rules = [(set(r["items"]), r["confidence"]) for r in mined]
     assert any({"path=win", "path=cash"} == need for need, _ in rules)
     have = {r.url: set(r.t) for r in df.select("url", urls.items(F.col("url")).alias("t")).collect()}
+    times = collections.Counter(t for own in have.values() for t in own)
+    assert all(r.probe == min(r["items"], key=lambda t: (times[t], t)) for r in mined)
+    # every frequent, confident antecedent is a rule or says no more than a shorter one
+    held = [(have[u], bad) for _, u, bad in rows]
+    for need, confidence in rules:
+        n = sum(need <= t for t, _ in held)
+        assert confidence == sum(need <= t and b for t, b in held) / n
+    tokens = sorted(times)
+    for a in tokens:
+        for b in tokens:
+            need = {a, b}
+            both = sum(need <= t and bad for t, bad in held)
+            n = sum(need <= t for t, _ in held)
+            if both >= max(5, 0.002 * 400) and both / n >= 0.6 and both / n >= 1.5 * sum(bad for _, bad in held) / 400:
+                assert any(own <= need and c >= both / n for own, c in rules)
     got = {r.url: r.verdict for r in urls.judge(df.select("page_id", "url"), df).collect()}
     assert got == {u: "block" if any(need <= t for need, _ in rules) else "allow" for u, t in have.items()}
     assert sum(v == "block" for v in got.values()) == sum(b for *_, b in rows)
