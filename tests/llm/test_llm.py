@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tidemark.llm.toxicity as tox
-from tidemark.llm import chat, containment, induced, jaccard, kernels, mixing, shards, suffix, units, urls
+from tidemark.llm import chat, containment, induced, jaccard, kernels, mixing, shards, suffix, urls
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -161,40 +161,6 @@ def test_jaccard_edges(docs):
     assert [(r.doc_id, r.component_id) for r in twice] == [(1, 1), (1, 1)]
 
 
-def test_units(docs, corpus):
-    out = {r.doc_id: r for r in units.deduplicate(docs).collect()}
-    assert len(out) == len(corpus)
-    first, *later = (out[100 + i] for i in range(6))
-    assert first.removed_bytes == 0 and all(r.removed_bytes > 300 for r in later)
-    texts = dict(corpus)
-    for r in later:
-        raw = texts[r.doc_id].encode()
-        assert len(raw) - r.removed_bytes == len(r.kept.encode()) and all(0 <= a < len(raw) for a in r.removed_at)
-    assert out[207].kept == "" and out[0].n_removed == 0 and out[200].kept == ""
-    assert units.deduplicate(empty(docs)).count() == 0
-
-
-def test_units_keep_the_earliest_line(spark):
-    df = spark.createDataFrame([(2, "A line that repeats here\nother words stand here"), (1, "a  LINE that repeats here\nshort one"), (3, "short one\na line that repeats here")], "doc_id long, text string")
-    assert {r.doc_id: r.kept for r in units.deduplicate(df).collect()} == {1: "a  LINE that repeats here\nshort one", 2: "other words stand here", 3: "short one\n"}
-
-
-def test_units_query_exempts_no_short_line(spark, tmp_path):
-    texts = {1: "Chapter\nSee also\na line of some more words", 2: "see  ALSO\nand one\nmore\nmore", 3: "more\n\n \nchapter\nand one two"}
-    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    seen, want = set(), {}
-    for k, t in texts.items():
-        at, want[k] = 0, []
-        for line in t.split("\n"):
-            key = tuple(words(line))
-            if key and key in seen:
-                want[k].append(at)
-            seen.add(key)
-            at += len(line) + 1
-    got = {r.doc_id: r.removed_at or [] for r in units.op10_units(spark, str(tmp_path)).collect()}
-    assert {k: len(v) for k, v in got.items()} == {k: len(v) for k, v in want.items()} == {1: 0, 2: 2, 3: 2}
-
-
 def test_containment(spark, corpus, docs):
     items = [(1, corpus[3][1]), (2, " ".join(corpus[5][1].split()[2:18])), (3, None), (4, ""), (5, "one two"), (6, prose(random.Random(9), 30))]
     got = {(r.doc_id, x.item_id) for r in containment.leaks(docs.where("doc_id is not null"), spark.createDataFrame(items, "item_id long, text string")).collect() for x in r.leaks}
