@@ -9,10 +9,15 @@ places i and j of its rows can share no more than 1 + min(|a| - 1 - i, |b| - 1 -
 that recur last, by counts taken over all documents, so that shared passages rarely meet. Survivors are
 verified by their whole rows: exact overlap, exact bound.
 
+The overlap is not accumulated over all columns: beyond a document's first columns lie those that recur most, whose products
+are most of the work and would only complete counts of pairs that the first columns have already named. Their part is
+multiplied for the survivors alone, as the intersection of the two whole rows.
+
 Rows with equal sets are one node. A column with up to `SHORT` nodes yields all its pairs. A longer one
 first yields pairs with one leader only, the row in which it comes first; once these are verified and connected,
 it yields the pairs of nodes that are still in different components, in blocks of bounded size, so nothing that could join
-components is left out and a large group of near copies costs no square of its size.
+components is left out and a large group of near copies costs no square of its size. A column that more than `HEAVY` rows hold
+is dealt over several blocks of the product by node, with a leader in each.
 
 Nodes and shingles are 64-bit hashes; among n distinct sets n**2 / 2**65 pairs are expected to be taken for equal.
 
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Stored, chunks, scratch, small_batches
+from tidemark.llm.common import Stored, chunks, partitions, scratch, small_batches
 from tidemark.llm.components import components
 from tidemark.llm.kernels import U, mix, shingles
 
@@ -38,9 +43,10 @@ FLUSH = 2_000_000
 RECUR = 2
 HOT_LEAST, HOT_MOST = 4, 1 << 20
 BLOCK_POSTINGS = 1_000_000
-SEGMENT = 8192
+SEGMENT_LEAST, SEGMENT_MOST = 512, 8192
+HEAVY = 100_000
 BROADCAST_IDS = 1_000_000
-POSTING = np.dtype([("gram", "<u4"), ("node", "<i8"), ("size", "<u4"), ("at", "<u4")])
+POSTING = np.dtype([("gram", "<u4"), ("node", "<i8"), ("size", "<u4"), ("at", "<u4"), ("heavy", "u1")])
 
 
 def needed(n, m):
@@ -117,7 +123,7 @@ def _hot(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _postings(docs: DataFrame, hot, blocks: int) -> DataFrame:
     """(block, postings): each document's first columns in the global order, packed by block of columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    shared, heavy = docs.sparkSession.sparkContext.broadcast(hot), HEAVY
 
     def run(batches):
         grams, counts = shared.value
@@ -125,11 +131,12 @@ def _postings(docs: DataFrame, hot, blocks: int) -> DataFrame:
         held, size = [], 0
 
         def flush():
-            g, node, n, at = (np.concatenate(c) for c in zip(*held))
-            block = ((g >> U(32)) % U(blocks)).astype(np.int64)
+            g, node, n, at, parts = (np.concatenate(c) for c in zip(*held))
+            part = mix(node.view(np.uint64) ^ U(0x6A09E667F3BCC909)) % parts.astype(np.uint64)
+            block = (((g >> U(32)) + part) % U(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             packed = np.empty(len(g), POSTING)
-            packed["gram"], packed["node"], packed["size"], packed["at"] = (g & U(0xFFFFFFFF))[order], node[order], n[order], at[order]
+            packed["gram"], packed["node"], packed["size"], packed["at"], packed["heavy"] = (g & U(0xFFFFFFFF))[order], node[order], n[order], at[order], (parts > 1)[order]
             block = block[order]
             cut = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
             return pa.RecordBatch.from_arrays([pa.array(block[cut[:-1]].astype(np.int32)), pa.array([packed[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], ["block", "postings"])
@@ -145,12 +152,14 @@ def _postings(docs: DataFrame, hot, blocks: int) -> DataFrame:
                     if len(seen) < 1_000_000:
                         seen.add(node)
                     p = prefix_length(len(own))
+                    count = np.zeros(len(own), np.int64)
                     if len(grams):
                         at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
                         count = np.where(grams[at] == own, counts[at], 0)
-                        own = own[np.argsort(count, kind="stable")]
+                        order = np.argsort(count, kind="stable")
+                        own, count = own[order], count[order]
                     size += p
-                    held.append((own[:p], np.full(p, node), np.full(p, len(own), np.uint32), np.arange(p, dtype=np.uint32)))
+                    held.append((own[:p], np.full(p, node), np.full(p, len(own), np.uint32), np.arange(p, dtype=np.uint32), 1 + count[:p] // heavy))
                 if size > FLUSH // 4:
                     yield flush()
                     held, size = [], 0
@@ -176,8 +185,9 @@ def multiply(p: np.ndarray):
     start = np.flatnonzero(np.append(True, p["gram"][1:] != p["gram"][:-1])) if len(p) else np.zeros(0, np.int64)
     length = np.diff(np.append(start, len(p)))
     own = np.repeat(length, length)
-    p, own = p[own > 1], own[own > 1]
-    few = p[own <= SHORT]
+    some = (own > 1) | (p["heavy"] > 0)
+    p, own = p[some], own[some]
+    few = p[(own <= SHORT) & (p["heavy"] == 0)]
     met, open_ = [np.zeros((0, 4), np.int64)], [np.zeros(0, bool)]
 
     def add(a, b, all_meetings):
@@ -196,7 +206,7 @@ def multiply(p: np.ndarray):
         if not same.any():
             break
         add(few[:-d][same], few[d:][same], True)
-    long = p[own > SHORT]
+    long = p[(own > SHORT) | (p["heavy"] > 0)]
     if len(long):
         order = np.lexsort((long["node"], long["at"], long["gram"]))
         head = np.append(True, long["gram"][1:] != long["gram"][:-1])
@@ -218,7 +228,7 @@ def _products(postings: DataFrame) -> DataFrame:
         pairs, counts, may, long, (sharing, shared) = multiply(p)
         kind = np.repeat(np.array([0, 1, 2], np.int32), [len(pairs), len(long), len(sharing)])
         none = np.zeros(len(sharing), np.int64)
-        column = long["gram"].astype(np.int64) | (np.int64(key[0].as_py()) << np.int64(32))
+        column = long["gram"].astype(np.int64) | np.where(long["heavy"] > 0, np.int64(-1), np.int64(key[0].as_py())) << np.int64(32)
         return pa.table(
             {
                 "kind": kind,
@@ -271,24 +281,31 @@ def _open_pairs(columns: DataFrame, comps: DataFrame | None, longs: DataFrame) -
     named = named.join(longs.select(F.col("node").alias("y"), (F.col("long") + F.col("short")).alias("all")), "y", "left")
     named = Stored(named.select("x", "y", "n", "m", "comp", "all")).read()
     sizes = Stored(named.groupBy("x").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("x", "rows")).read()
-    cut = F.ceil(F.col("rows") / SEGMENT).cast("int")
+    total = sizes.agg(F.sum("rows")).first()[0] or 0
+    segment = min(SEGMENT_MOST, max(SEGMENT_LEAST, int(total) // partitions(columns)))  # no part much above a task's mean
+    cut = F.ceil(F.col("rows") / segment).cast("int")
     rows = named.join(sizes, "x").withColumn("cut", cut).withColumn("s", F.pmod(F.xxhash64("y"), F.col("cut")).cast("int"))
     rows = rows.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
     rows = rows.select("x", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), "s", "y", "n", "m", "comp", "all")
 
     def run(key, table):
-        y, n, m, comp, s, every = (table.column(c).to_numpy() for c in ("y", "n", "m", "comp", "s", "all"))
+        order = np.argsort(table.column("n").to_numpy(), kind="stable")
+        y, n, m, comp, s, every = (table.column(c).to_numpy()[order] for c in ("y", "n", "m", "comp", "s", "all"))
         a, b = key[1].as_py(), key[2].as_py()
         out = [np.zeros((0, 4), np.int64)]
         for lo in range(0, len(y), 256):
             i = np.arange(lo, min(lo + 256, len(y)))
-            ok = (comp[i][:, None] != comp[None]) & (y[i][:, None] < y[None]) & _may_link(n[i][:, None], n[None], m[i][:, None], m[None])
-            left = -(-PERCENT * np.maximum(n[i][:, None], n[None]) // 100) - 1
-            ok &= np.minimum(every[i][:, None], every[None]) + left >= needed(n[i][:, None], n[None])
+            j = np.arange(lo, np.searchsorted(n, 4 * n[i[-1]] // 3, "right"))  # by size, only these can link
+            ok = (comp[i][:, None] != comp[j]) & (i[:, None] < j) & _may_link(n[i][:, None], n[j], m[i][:, None], m[j])
+            left = -(-PERCENT * np.maximum(n[i][:, None], n[j]) // 100) - 1
+            ok &= np.minimum(every[i][:, None], every[j]) + left >= needed(n[i][:, None], n[j])
             if a != b:
-                ok &= s[i][:, None] != s[None]
+                ok &= s[i][:, None] != s[j]
             r, c = np.nonzero(ok)
-            out.append(np.stack([y[i][r], y[c], n[i][r], n[c]], 1))
+            r, c = i[r], j[c]
+            swap = y[r] > y[c]
+            r, c = np.where(swap, c, r), np.where(swap, r, c)
+            out.append(np.stack([y[r], y[c], n[r], n[c]], 1))
         found = np.concatenate(out)
         return pa.table({k: found[:, j] for j, k in enumerate(("x", "y", "n", "m"))})
 
