@@ -53,16 +53,16 @@ def _hypergeometric_large(rng: np.random.Generator, good: int, bad: int, draws:
 
 
 def _split(rng: np.random.Generator, sizes: np.ndarray, draws: int) -> np.ndarray:
-    """How many of `draws` rows fall to each cell of these sizes."""
+    """How many of `draws` rows fall to each cell of these sizes; beyond the library's limit, cells are halved until each half is within it."""
     total = int(sizes.sum())
     if total < EXACT_LIMIT:
         return rng.multivariate_hypergeometric(sizes, draws, method="marginals")
-    out = np.zeros_like(sizes)
-    for k, size in enumerate(sizes.tolist()):
-        total -= size
-        out[k] = _hypergeometric_large(rng, size, total, draws) if size + total >= EXACT_LIMIT else (rng.hypergeometric(size, total, draws) if draws and size else 0)
-        draws -= int(out[k])
-    return out
+    if len(sizes) == 1:
+        return np.array([draws], np.int64)
+    mid = len(sizes) // 2
+    left = int(sizes[:mid].sum())
+    first = _hypergeometric_large(rng, left, total - left, draws)
+    return np.concatenate((_split(rng, sizes[:mid], first), _split(rng, sizes[mid:], draws - first)))
 
 
 def matrix_row(part: int, counts: np.ndarray, cells: np.ndarray, seed: int) -> np.ndarray:
