@@ -3,10 +3,10 @@
 A linear model over word features is trained from confirmed toxic texts and unlabelled ones, by gradient
 steps on the non-negative risk  pi * E_p[l(f)] + max(0, E_u[l(-f)] - pi * E_p[l(-f)])  with the logistic loss; when the
 second part falls below -`slack`, the step goes the other way on that part alone. The class prior pi is the toxic
-share of the labels that may be learned from. Features are a document's distinct words and their first four to
+share of the labels that may be learned from: the one thing for which negative labels are used. Features are a document's distinct words and their first four to
 six bytes, hashed to 2**22 places; those that are clearly more frequent in the positive texts than
-in the unlabelled ones are kept. Fitting takes at most `positives` and `unlabelled` documents, the least by a
-hash of the id (a documented bound); scoring reads every whole text, and the model's size is fixed.
+in the unlabelled ones are kept. Fitting takes at most `positives` and `unlabelled` documents of different id or text, the least
+by a hash of the id (a documented bound); scoring reads every whole text, and the model's size is fixed.
 
 Defined results: a null or empty text is scored by the model's bias alone; repeated rows score alike; a null id
 is never held out and never learned from; null labels are ignored; without a positive label every score is 0; an empty
@@ -144,19 +144,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _sampled(docs: DataFrame, ids: DataFrame) -> list[np.ndarray]:
-    """Distinct places of the named documents; ids is bounded by Fit."""
+def _sampled(docs: DataFrame, most: int, seed: int) -> list[np.ndarray]:
+    """Distinct places of at most `most` documents, rows of the same id and text being one."""
 
     def find(batches):
         for batch in batches:
-            for _, data, offsets in chunks(batch, "text"):
+            for row0, data, offsets in chunks(batch, "text"):
                 row, place = features(data, offsets)
                 key = np.unique(row * (1 << BITS) + place) if len(row) else row
                 cut = np.searchsorted(key, np.arange(len(offsets)) << BITS)
-                yield pa.RecordBatch.from_arrays([pa.array([(key[a:b] & ((1 << BITS) - 1)).astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], ["p"])
+                found = [(key[a:b] & ((1 << BITS) - 1)).astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:])]
+                own = slice(row0, row0 + len(found))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[own], batch.column("t")[own], pa.array(found, pa.binary())], ["doc_id", "t", "p"])
 
-    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").mapInArrow(find, "p binary").collect()
-    return [np.frombuffer(r["p"], np.int32) for r in rows]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    keys = docs.select("doc_id", "t").distinct().orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "t").limit(most)
+    rows = docs.join(F.broadcast(keys), ["doc_id", "t"], "left_semi").select("doc_id", "t", "text").mapInArrow(find, "doc_id long, t long, p binary")
+    return [np.frombuffer(r["p"], np.int32) for r in rows.groupBy("doc_id", "t").agg(F.first("p").alias("p")).select("p").collect()]
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), seed: int = 3) -> Model:
@@ -164,10 +168,9 @@ def fit_model(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), seed: int =
     small_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
-    rank = F.xxhash64(F.lit(seed), "doc_id")
-    pos = known.where("toxic = 1").orderBy(rank, "doc_id").limit(fit.positives).select("doc_id")
-    unl = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").orderBy(rank, "doc_id").limit(fit.unlabelled)
-    return train(_sampled(docs, pos), _sampled(docs, unl), prior, fit)
+    pos = known.where("toxic = 1").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(fit.positives).select("doc_id")
+    own = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return train(_sampled(own.join(F.broadcast(pos), "doc_id", "left_semi"), fit.positives, seed), _sampled(own, fit.unlabelled, seed), prior, fit)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
