@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import text as tx
+from tidemark.functions.graph import labelled
 from tidemark.functions.numbers import rounded
-from tidemark.llm.common import Stored
-from tidemark.llm.components import labelled
+from tidemark.shared import Stored
 
 
 @dataclass(frozen=True)
