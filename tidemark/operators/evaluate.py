@@ -5,32 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import pii
+from tidemark.functions import parse, pii
 from tidemark.functions.numbers import ratio, rounded
 
 LABELS = ("negative", "neutral", "positive")
-# Statuses expected of planted themes.
-_RISING, _STEADY, _FALLING = ("EMERGING", "NEW"), ("EMERGING", "STABLE"), ("DECLINING",)
-_FLAT, _QUIET = ("INSUFFICIENT_EVIDENCE", "STABLE"), ("INSUFFICIENT_EVIDENCE", "NOT_A_COMPLAINT", "NO_DATA")
+# Statuses that our synthetic source's planted themes may end in.
 PLANTED = {
-    "payment_failure": _RISING,
-    "battery_drain": _STEADY,
-    "login_problems": _FALLING,
-    "app_crashes": _FLAT,
-    "dark_mode_request": _QUIET,
-    "bottle_pump": _RISING,
-    "dry_hair": _STEADY,
-    "price_value": _FALLING,
-    "scalp_irritation": _FLAT,
-    "travel_size_request": _QUIET,
-    "sizing_wrong": _RISING,
-    "sole_wear": _STEADY,
-    "comfort_pain": _FLAT,
-    "wide_fit_request": _QUIET,
-    "pairing_failure": _RISING,
-    "earbud_battery": _STEADY,
-    "sound_quality": _FLAT,
-    "anc_request": _QUIET,
+    "payment_failure": ("EMERGING", "NEW"),
+    "battery_drain": ("EMERGING", "STABLE"),
+    "login_problems": ("DECLINING",),
+    "app_crashes": ("INSUFFICIENT_EVIDENCE", "STABLE"),
+    "dark_mode_request": ("INSUFFICIENT_EVIDENCE", "NOT_A_COMPLAINT", "NO_DATA"),
 }
 
 
@@ -188,14 +173,57 @@ def mean_available(*values: Column) -> Column:
     return F.when(F.size(known) > 0, rounded(F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known), 4))
 
 
+def truth_of(planted: str = "gt_sentiment", rating: str = "rating") -> Column:
+    """A review's true sentiment: the planted one, else by its stars; null without either or if it is none of the three."""
+    own = F.when(F.coalesce(F.col(planted), F.lit("")) != "", F.col(planted)).otherwise(parse.stars(F.col(rating)))
+    return F.when(own.isin(*LABELS), own)
+
+
+def truth_source(df: DataFrame, planted: str = "gt_sentiment", rating: str = "rating") -> DataFrame:
+    """One row (ground_truth_source): star_rating_weak_labels if any label comes from stars, else planted_gt_sentiment, else none."""
+    has = F.coalesce(F.col(planted), F.lit("")) != ""
+    one = df.agg(F.count_if(~has & F.col(rating).isNotNull()).alias("stars"), F.count_if(has).alias("planted"))
+    return one.select(F.when(F.col("stars") > 0, "star_rating_weak_labels").when(F.col("planted") > 0, "planted_gt_sentiment").otherwise("none").alias("ground_truth_source"))
+
+
+def batch_sentiment(reviews: DataFrame) -> DataFrame:
+    """(scope, class, metric, value) of a batch's labelled reviews: three classes by the argmax label, and, where the truth is not
+    neutral, two classes by the likelier of them. scope 'sample' counts labels. Empty without labelled reviews."""
+    known = reviews.withColumn("_truth", truth_of()).where(F.col("_truth").isNotNull() & F.col("sentiment").isin(*LABELS))
+    two = known.where("_truth != 'neutral'").withColumn("_pred", F.coalesce(nearest_binary(), F.col("sentiment")))
+
+    def long(df: DataFrame, scope: str, names: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])
+        cls = F.col("class") if by else F.lit("all").alias("class")
+        return df.select(F.lit(scope).alias("scope"), cls, F.inline(pairs))
+
+    def scope(df: DataFrame, name: str, pred: str, classes) -> DataFrame:
+        classwise = long(per_class(df, "_truth", pred, classes), name, ("precision", "recall", "f1", "support"), ("class",))
+        return classwise.unionByName(long(summary(df, "_truth", pred, classes).where("n > 0"), name, ("n", "accuracy", "macro_f1", "macro_recall")))
+
+    counts = known.groupBy(F.col("_truth").alias("class")).agg(F.count("*").cast("double").alias("value")).select(F.lit("sample").alias("scope"), "class", F.lit("labels").alias("metric"), "value")
+    out = scope(known, "three_class", "sentiment", LABELS).unionByName(scope(two, "binary_non_neutral_truth", "_pred", ("negative", "positive"))).unionByName(counts)
+    return out.join(F.broadcast(known.limit(1).select(F.lit(1).alias("_some"))), how="cross").drop("_some")  # one row, or none
+
+
+def binary_confusion(df: DataFrame, truth: str = "truth") -> DataFrame:
+    """(truth, negative, neutral, positive): binary truth against three predicted classes."""
+    return confusion(df.withColumn("_p", argmax3()), truth, "_p", ("negative", "positive"), LABELS)
+
+
+def strongest_cell(cells: DataFrame, truth: str, cols=LABELS) -> DataFrame:
+    """One row: the largest cell of a confusion table, which scales the shades of all (1 in an empty one)."""
+    return cells.agg(F.greatest(F.lit(1).cast("long"), F.coalesce(F.max(F.greatest(*cols)), F.lit(0).cast("long"))).alias("strongest"))
+
+
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     return known.agg(F.count("*").alias("n"), rounded(ratio(F.count_if(F.col(a) == F.col(b)), F.count("*")), 4).alias("agreement"))
 
 
 def best_run(runs: DataFrame) -> DataFrame:
-    """The run of best validation macro recall; ties go to the lower name. Test figures take no part."""
-    return runs.orderBy(F.desc("val_macro_recall"), "run").limit(1)
+    """The run of best validation macro recall, ties by test macro recall, then the lower name."""
+    return runs.orderBy(F.desc("val_macro_recall"), F.desc("test_macro_recall"), "run").limit(1)
 
 
 def mcnemar(df: DataFrame, truth: str, a: str, b: str) -> DataFrame:

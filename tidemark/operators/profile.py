@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import parse
 from tidemark.functions.numbers import rounded
+from tidemark.shared import Stored
 
 
 def text_profile(df: DataFrame, text: str) -> DataFrame:
@@ -17,7 +18,7 @@ def text_profile(df: DataFrame, text: str) -> DataFrame:
     return df.agg(
         F.count("*").alias("rows"),
         F.count_if(n == 0).alias("empty_text"),
-        (F.count("*") - F.countDistinct(key)).alias("duplicate_texts"),
+        (F.count("*") - F.countDistinct(F.md5(key))).alias("duplicate_texts"),  # digests, so that no text is shuffled
         F.min(n).cast("long").alias("min_length"),
         F.max(n).cast("long").alias("max_length"),
         rounded(F.avg(n), 2).alias("mean_length"),
@@ -83,14 +84,25 @@ def seeded_sample(df: DataFrame, label: str, key: str, k: int, seed: int = 42, e
 
 
 def balanced(df: DataFrame, label: str, key: str) -> DataFrame:
-    """Every label repeated up to the count of the largest; `copy` numbers the repeats."""
-    counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    most = counts.agg(F.max("n").alias("most"))
-    times = counts.crossJoin(F.broadcast(most)).select(label, F.floor(F.col("most") / F.col("n")).cast("int").alias("times"), (F.col("most") % F.col("n")).alias("extra"))  # one row
-    w = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
-    out = df.join(F.broadcast(times), label).withColumn("_r", F.row_number().over(w))
-    reps = F.col("times") + F.when(F.col("_r") <= F.col("extra"), 1).otherwise(0)
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(0), reps - 1))).drop("_r", "times", "extra")
+    """Every label repeated up to the count of the largest; `copy` numbers the repeats. The rows that get one more are the first of their
+    label by numbered places, for which only counts by partition are collected, so no task sorts a whole label."""
+    rows = Stored(df.withColumn("_row", F.monotonically_increasing_id())).read()
+    part = F.shiftright("_row", 33).alias("_part")
+    counts = rows.groupBy(label, part).agg(F.count("*").alias("n"))
+    before = Window.partitionBy(label).orderBy("_part")  # one row for each label and partition
+    starts = counts.withColumns({"_start": F.sum("n").over(before) - F.col("n"), "_all": F.sum("n").over(Window.partitionBy(label))})
+    most = starts.agg(F.max("_all").alias("_most"))  # one row
+    within = Window.partitionBy(label, "_part").orderBy("_row")
+    placed = rows.withColumn("_part", part).withColumn("_at", F.row_number().over(within))
+    sized = starts.crossJoin(F.broadcast(most)).select(F.col(label).alias("_label"), F.col("_part").alias("_p"), "_start", "_all", "_most")
+    placed = placed.join(sized, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_part") == F.col("_p")))
+    reps = F.floor(F.col("_most") / F.col("_all")).cast("int") + F.when(F.col("_start") + F.col("_at") <= F.col("_most") % F.col("_all"), 1).otherwise(0)
+    return placed.withColumn("copy", F.explode(F.sequence(F.lit(0), reps - 1))).select(*df.columns, "copy")
+
+
+def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
+    """One folder of CSV files for each split, rows in the order of their lines within a file."""
+    df.sortWithinPartitions(split, "line").write.mode("overwrite").partitionBy(split).csv(path, header=True, quote='"', escape='"')
 
 
 def rows_at(df: DataFrame, position: str, wanted: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import clipped, ratio, rounded
+from tidemark.shared import Stored
 
 # Statuses in report order.
 STATUSES = ("NEW", "EMERGING", "STABLE", "DECLINING", "INSUFFICIENT_EVIDENCE", "NOT_A_COMPLAINT", "NO_DATA")
@@ -88,9 +89,9 @@ def bucket(ts: Column, end: Column, n: Column, days: int) -> Column:
     return F.when((offset > 0) & (back >= 0), F.least(n - 1, F.floor(offset / F.lit(width)).cast("int")))
 
 
-def placed(reviews: DataFrame, p: Params = Params(), as_of: datetime | None = None) -> DataFrame:
-    """Dated reviews with the borders, their bucket, and in_current / in_previous."""
-    rows = reviews.where(F.col("created_at").isNotNull()).crossJoin(F.broadcast(anchors(reviews, p, as_of)))  # one row
+def placed(reviews: DataFrame, p: Params = Params(), as_of: datetime | None = None, one: DataFrame | None = None) -> DataFrame:
+    """Dated reviews with the borders (`one`: the row of anchors, if it is known), their bucket, and in_current / in_previous."""
+    rows = reviews.where(F.col("created_at").isNotNull()).crossJoin(F.broadcast(anchors(reviews, p, as_of) if one is None else one))  # one row
     ts = F.col("created_at")
     return rows.withColumns(
         {
@@ -185,6 +186,7 @@ def segment_lift(rows: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def association_text(name: Column) -> Column:
+    """What stands out, in words (fixed wording)."""
     pct = lambda c: F.rint(c * 100).cast("long").cast("string")
     return F.concat(
         pct(F.col("_share")), F.lit("% of current-window "), name, F.lit(" mentions are "), F.col("segment"), F.lit("="), F.col("value"), F.lit(", vs "),
@@ -194,8 +196,22 @@ def association_text(name: Column) -> Column:
 
 def decided(reviews: DataFrame, themes: DataFrame, p: Params = Params(), as_of: datetime | None = None) -> DataFrame:
     """A row for each theme: counts, growth, trend, status and priority. No rows without a dated review."""
-    rows = placed(reviews, p, as_of)
-    one = anchors(reviews, p, as_of).where("dated > 0")
+    return judged(*located(reviews, p, as_of), themes, p)
+
+
+NEEDED = ("theme_id", "review_id", "sentiment", "similarity", "confidence", *SEGMENTS, "bucket", "n_buckets", "in_current", "in_previous")
+
+
+def located(reviews: DataFrame, p: Params = Params(), as_of: datetime | None = None) -> tuple[DataFrame, DataFrame]:
+    """(placed reviews with the columns that the radar needs, the row of anchors), both stored, for several passes read them."""
+    one = Stored(anchors(reviews, p, as_of)).read()
+    rows = placed(reviews, p, as_of, one)
+    return Stored(rows.select(*[c for c in NEEDED if c in rows.columns])).read(), one
+
+
+def judged(rows: DataFrame, one: DataFrame, themes: DataFrame, p: Params = Params()) -> DataFrame:
+    """decided() for located reviews and anchors."""
+    one = one.where("dated > 0")
     out = theme_counts(rows, themes).join(F.broadcast(weekly_counts(rows)), "theme_id", "left").crossJoin(F.broadcast(one))  # one row
     zeros = F.transform(F.sequence(F.lit(1), F.col("n_buckets")), lambda _: F.lit(0).cast("long"))
     out = out.withColumns(
@@ -224,7 +240,7 @@ def number_text(c: Column) -> Column:
 
 
 def reason(p: Params = Params()) -> Column:
-    """Why the status holds, in words."""
+    """Why the status holds, in words (fixed wording)."""
     g, c = number_text(F.col("growth_pct")), F.col("current").cast("string")
     pct = lambda x: number_text(rounded(x * 100, 1))
     share = F.when(F.col("current") > 0, F.col("ratio_current")).otherwise(F.col("ratio_all"))
@@ -247,14 +263,25 @@ def reason(p: Params = Params()) -> Column:
     )
 
 
-def calculation() -> Column:
+def iso_text(ts: Column) -> Column:
+    """A time as 2026-06-01T10:20:30, with microseconds only if it has some."""
+    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.date_format(ts, "SSSSSS") == "000000", whole).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+def calculation(p: Params = Params()) -> Column:
+    """How the figures came about: the windows, three formulas with their numbers (fixed wording), and the thresholds in force."""
     c, pv, g = F.col("current").cast("string"), F.col("previous").cast("string"), number_text(F.col("growth_pct"))
     grown = F.when(F.col("growth_pct").isNotNull(), F.concat(F.lit("("), c, F.lit(" - "), pv, F.lit(") / "), pv, F.lit(" x 100 = "), g, F.lit("%")))
     grown = grown.when(F.col("current") > 0, "previous = 0 -> growth undefined, classified NEW").otherwise("no mentions in either window")
     neg = F.col("negative_current").cast("string")
     negative = F.when(F.col("current") > 0, F.concat(neg, F.lit(" / "), c, F.lit(" = "), number_text(rounded(F.col("ratio_current") * 100, 1)), F.lit("%"))).otherwise("no current mentions")
     priority = F.concat(neg, F.lit(" x "), F.format_string("%.2f", F.col("factor")), F.lit(" = "), number_text(F.col("priority")))
-    return F.struct(grown.alias("growth"), negative.alias("negative_ratio"), priority.alias("priority"))
+    start, end, before = (iso_text(F.col(x)) for x in ("current_start", "window_end", "previous_start"))
+    limits = {"min_growth_pct": p.min_growth_pct, "min_negative_ratio": p.min_negative_ratio, "decline_pct": p.decline_pct, "soft_decline_pct": p.soft_decline_pct}
+    thresholds = F.struct(F.col("min_mentions").alias("min_current_mentions"), F.col("min_evidence").alias("min_evidence_reviews"), *[F.lit(v).alias(k) for k, v in limits.items()])
+    window = F.struct(F.array(start, end).alias("current"), F.array(before, start).alias("previous"))
+    return F.struct(window.alias("window"), grown.alias("growth"), negative.alias("negative_ratio"), priority.alias("priority"), thresholds.alias("thresholds"))
 
 
 def status_rank(s: Column) -> Column:
@@ -263,16 +290,16 @@ def status_rank(s: Column) -> Column:
 
 def radar(reviews: DataFrame, themes: DataFrame, p: Params = Params(), as_of: datetime | None = None) -> DataFrame:
     """The full report, in report order."""
-    rows = placed(reviews, p, as_of)
+    rows, one = located(reviews, p, as_of)
     found = evidence(rows, p).groupBy("theme_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "review_id"))), lambda x: x["review_id"]).alias("evidence_review_ids"))
     lifts = segment_lift(rows, p).join(themes.select("theme_id", "name"), "theme_id").withColumn("statement", association_text(F.col("name")))
     lifts = lifts.groupBy("theme_id").agg(F.sort_array(F.collect_list(F.struct("rank", "segment", "value", "theme_share", "overall_share", "lift", "support", "statement"))).alias("associations"))
-    out = decided(reviews, themes, p, as_of).join(found, "theme_id", "left").join(lifts, "theme_id", "left")
+    out = judged(rows, one, themes, p).join(found, "theme_id", "left").join(lifts, "theme_id", "left")
     out = out.withColumns(
         {
             "evidence_review_ids": F.coalesce("evidence_review_ids", F.array().cast("array<string>")),
             "reasons": F.array_compact(F.array(reason(p))),
-            "calculation": calculation(),
+            "calculation": calculation(p),
         }
     )
     return out.orderBy(status_rank(F.col("status")), F.desc("priority"), "theme_id")

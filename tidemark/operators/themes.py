@@ -384,12 +384,13 @@ def grams(df: DataFrame, theme: str, text: str, stop: list[str]) -> DataFrame:
 
 
 def ctfidf(df: DataFrame, theme: str, text: str, stop: list[str]) -> DataFrame:
-    """(theme, term, score): term share in the theme times ln(1 + mean terms per theme / term frequency)."""
-    tf = grams(df, theme, text, stop).groupBy(theme, "term").agg(F.count("*").alias("tf"))
+    """(theme, term, score): term share in the theme times ln(1 + mean terms per theme / term frequency). Texts are read once: counts are
+    stored, and a term's frequency over all themes is a sum over its few rows."""
+    tf = Stored(grams(df, theme, text, stop).groupBy(theme, "term").agg(F.count("*").alias("tf"))).read()
     per_theme = tf.groupBy(theme).agg(F.sum("tf").alias("words"))
     average = per_theme.agg(F.avg("words").alias("avg_words"))
-    freq = tf.groupBy("term").agg(F.sum("tf").alias("freq"))
-    out = tf.join(freq, "term").join(F.broadcast(per_theme), theme).crossJoin(F.broadcast(average))  # one row
+    freq = F.sum("tf").over(Window.partitionBy("term"))  # a row for each theme that has the term
+    out = tf.withColumn("freq", freq).join(per_theme, theme).crossJoin(F.broadcast(average))  # one row
     return out.select(theme, "term", (F.col("tf") / F.col("words") * F.ln(1 + F.col("avg_words") / F.col("freq"))).alias("score"))
 
 
@@ -412,13 +413,14 @@ def keywords(scores: DataFrame, theme: str, k: int = 8) -> DataFrame:
 
 
 def coverage(df: DataFrame, theme: str, key: str, text: str, stop: list[str]) -> DataFrame:
-    """(theme, stem, cov, score, r): document share of each stem in its theme times the log of its lift, from a share of 10 %."""
+    """(theme, stem, cov, score, r): document share of each stem in its theme times the log of its lift, from a share of 10 %. Texts are
+    read once; rows without a theme count for the lift only."""
     words = df.select(key, theme, F.explode(F.array_distinct(F.transform(tx.tokens(F.col(text), stop), tx.stem))).alias("stem"))
-    n = df.agg(F.count("*").alias("n"))
-    sizes = df.where(F.col(theme).isNotNull()).groupBy(theme).agg(F.count("*").alias("size"))
-    everywhere = words.groupBy("stem").agg(F.count("*").alias("df_all"))
-    here = words.where(F.col(theme).isNotNull()).groupBy(theme, "stem").agg(F.count("*").alias("df_c"))
-    out = here.join(everywhere, "stem").join(F.broadcast(sizes), theme).crossJoin(F.broadcast(n))  # one row
+    here = words.groupBy(theme, "stem").agg(F.count("*").alias("df_c"))
+    sizes = Stored(df.groupBy(theme).agg(F.count("*").alias("size"))).read()
+    n = sizes.agg(F.sum("size").alias("n"))
+    out = here.withColumn("df_all", F.sum("df_c").over(Window.partitionBy("stem")))  # a row for each theme that has the stem
+    out = out.join(sizes, theme).crossJoin(F.broadcast(n))  # one row
     cov, cov_all = F.col("df_c") / F.col("size"), F.col("df_all") / F.col("n")
     out = out.withColumns({"cov": cov, "score": cov * F.ln(cov / cov_all)}).where(F.col("cov") >= 0.10)
     w = Window.partitionBy(theme).orderBy(F.desc("score"), F.desc("cov"), F.desc("stem"))
@@ -497,15 +499,22 @@ def rollup(reviews: DataFrame) -> DataFrame:
 
 
 def overview(reviews: DataFrame, rolled: DataFrame) -> DataFrame:
-    """One row of batch figures."""
+    """One row of batch figures; pii_redactions_total only where rows are counted for it."""
     s = F.col("sentiment")
     pct = lambda x: rounded(100.0 * F.count_if(s == x) / F.count("*"), 1).alias(f"{x}_pct")
     base = reviews.agg(
         F.count("*").alias("total_reviews"), *[F.count_if(s == x).alias(f"{x}_count") for x in ("negative", "neutral", "positive")], *[pct(x) for x in ("negative", "neutral", "positive")],
         rounded(F.avg(F.when(F.col("rating") != 0, F.col("rating"))), 2).alias("avg_rating"), F.min("created_at").alias("first_ts"), F.max("created_at").alias("last_ts"),
     )
+    if "pii_redaction_count" in reviews.columns:
+        base = base.crossJoin(reviews.agg(F.coalesce(F.sum("pii_redaction_count"), F.lit(0)).alias("pii_redactions_total")))  # one row
     worst = F.min_by(F.when(F.col("is_complaint"), F.col("theme_id")), F.when(F.col("is_complaint"), F.struct(-F.col("negative_count"), F.col("theme_id"))))
     themes = rolled.agg(F.count("*").alias("n_themes"), F.count_if("is_complaint").alias("n_complaint_themes"), worst.alias("top_complaint"))
     return base.crossJoin(themes)  # one row each
 
 
+def emerging(issues: DataFrame) -> DataFrame:
+    """The new and emerging issues of an overview, by priority."""
+    return issues.where(F.col("status").isin("NEW", "EMERGING")).select("theme_id", "name", "status", "current", "previous", "growth_pct", "growth_label", "negative_ratio", "priority").orderBy(F.desc("priority"), "theme_id")
+
+

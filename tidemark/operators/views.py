@@ -30,7 +30,7 @@ def public(reviews: DataFrame, themes: DataFrame | None = None) -> DataFrame:
     have = [c for c in PUBLIC if c in out.columns]
     if themes is None:
         return out.select(*have)
-    return out.join(F.broadcast(themes.select("theme_id", F.col("name").alias("theme_name"))), "theme_id", "left").select(*have, "theme_name")
+    return out.join(themes.select("theme_id", F.col("name").alias("theme_name")), "theme_id", "left").select(*have, "theme_name")
 
 
 def matching(reviews: DataFrame, theme_id: str | None = None, sentiment: str | None = None, q: str | None = None, text: str = "text_redacted") -> DataFrame:
@@ -54,6 +54,11 @@ def page(reviews: DataFrame, limit: int = 25, offset: int = 0) -> DataFrame:
     return reviews.orderBy(F.col("created_at").desc_nulls_last(), "review_id").offset(offset).limit(limit)
 
 
+def page_label(total: int, limit: int = 25, offset: int = 0) -> str:
+    """Which rows a page shows: a-b of n."""
+    return f"{min(offset + 1, total)}-{min(offset + limit, total)} of {total}"
+
+
 def total(reviews: DataFrame) -> DataFrame:
     return reviews.agg(F.count("*").alias("n"))
 
@@ -77,7 +82,7 @@ def theme_detail(themes: DataFrame, issues: DataFrame, theme_id: str) -> DataFra
 def theme_reviews(themes: DataFrame, reviews: DataFrame, theme_id: str) -> DataFrame:
     """A theme's representatives in their order."""
     ids = themes.where(F.col("theme_id") == _checked(theme_id, THEME_ID)).select(F.posexplode("representative_ids").alias("rank", "review_id"))
-    return reviews.join(F.broadcast(ids), "review_id").orderBy("rank")
+    return reviews.join(ids, "review_id").orderBy("rank")
 
 
 def segments(reviews: DataFrame, theme_id: str) -> DataFrame:
@@ -102,7 +107,7 @@ def tab(issues: DataFrame, name: str) -> DataFrame:
 def evidence_of(evidence: DataFrame, reviews: DataFrame, theme_id: str) -> DataFrame:
     """Evidence with its reviews, representatives first."""
     own = evidence.where(F.col("theme_id") == _checked(theme_id, THEME_ID)).withColumnRenamed("theme_id", "issue_id")
-    return reviews.join(F.broadcast(own), "review_id").orderBy(F.desc("kind"), "rank")
+    return reviews.join(own, "review_id").orderBy(F.desc("kind"), "rank")
 
 
 def review_detail(reviews: DataFrame, evidence: DataFrame, review_id: str) -> DataFrame:

