@@ -71,15 +71,17 @@ def test_repair_query_reads_whole_pages(spark, tmp_path):
                 lines.append(line)
         return "\n".join(lines)
 
-    want = [(k, None, False) if h is None else (k, len(unicodedata.normalize("NFC", html.unescape(brute(h)))), brute(h) != h) for k, h in pages]
-    got = text_queries.text_repair(spark, str(tmp_path)).select("page_id", "n", "mojibake").collect()
+    want = [(k, None, False) if h is None else (k, "".join(" " if c == "\u0007" else c for c in unicodedata.normalize("NFC", html.unescape(brute(h)))), brute(h) != h) for k, h in pages]
+    got = text_queries.text_repair(spark, str(tmp_path)).select("page_id", "repaired", "mojibake").collect()
     assert sorted(map(tuple, got)) == want and [r[2] for r in want] == [True, True, True, False, False]
 
 
 def test_variants_have_the_one_without_mojibake_repair(spark, tmp_path):
     spark.createDataFrame([(1, "cafÃ© &amp; &eacute;!!!!! ask @some_user"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r.doc_id, r.variant): r.n for r in text_queries.text_variants(spark, str(tmp_path)).collect()}
-    assert len(got) == 18 and got[1, "no_ftfy"] == len("cafÃ© & \u00e9!!! ask @user") == got[1, "current"] + 1 and got[2, "no_ftfy"] == got[2, "current"]
+    got = {(r.doc_id, r.variant): r.text for r in text_queries.text_variants(spark, str(tmp_path)).collect()}
+    assert len(got) == 18 and got[1, "no_ftfy"] == "cafÃ© & \u00e9!!! ask @user" and got[1, "current"] == "café & \u00e9!!! ask @user" and got[2, "no_ftfy"] == got[2, "current"]
+    assert got[1, "no_punct_tidy"] == "café & \u00e9!!!!! ask @user" and got[1, "bracket_placeholders"] == "café & \u00e9!!! ask [USER]" and got[1, "raw_html_ws"] == "cafÃ© & \u00e9!!!!! ask @some_user"
+    assert got[1, "mentions_removed"] == "café & \u00e9!!! ask" and got[2, "raw"] is None
 
 
 def test_reject_reasons(spark):
@@ -133,6 +135,37 @@ def test_store_swaps_and_registers(spark, tmp_path):
         store.activate(spark, root, "c")
 
 
+def paths_outside(d, n, m):
+    """The share of all orders of two samples whose largest distance reaches d, path by path."""
+    from fractions import Fraction
+    from itertools import combinations
+
+    hit = total = 0
+    for at in combinations(range(n + m), n):
+        i = j = 0
+        far = Fraction(0)
+        for k in range(n + m):
+            i, j = (i + 1, j) if k in at else (i, j + 1)
+            far = max(far, abs(Fraction(i, n) - Fraction(j, m)))
+        total += 1
+        hit += far >= Fraction(d)
+    return hit / total
+
+
+@pytest.mark.parametrize(("n", "m"), [(3, 4), (5, 5), (2, 6), (4, 6), (1, 3)])
+def test_ks_p_values_are_exact(n, m):
+    from fractions import Fraction
+    from math import lcm
+
+    for k in range(1, lcm(n, m) + 1):  # distances that occur
+        assert drift.ks_p_value(k / lcm(n, m), n, m) == pytest.approx(paths_outside(Fraction(k, lcm(n, m)), n, m)), k
+
+
+def test_ks_p_values_meet_the_series():
+    far = 1.3 * (2 / 9000) ** 0.5
+    assert drift.ks_p_value(round(far * 9000) / 9000, 9000, 9000) == pytest.approx(drift.ks_p_value(round(far * 9000) / 9000, 9000, 10_001), rel=0.2)
+
+
 def test_ks_p_values():
     assert drift.ks_p_value(1.0, 2, 2) == pytest.approx(1 / 3)
     assert drift.ks_p_value(0.0, 5, 7) == pytest.approx(1.0)
@@ -169,3 +202,106 @@ def test_brief_validator(old, new, failed):
 
 def test_split_is_stable(spark):
     assert one(spark, " Hello ", parse.split_by_sha) == one(spark, "hello", parse.split_by_sha)
+
+
+def unguarded(text):
+    """The steps of redaction without looking first for what they need."""
+    needs, words = dict(pii._NEEDS), dict(pii._CUE_WORDS)
+    try:
+        pii._NEEDS.update({k: lambda s: True for k in needs})
+        digit, pii._DIGIT = pii._DIGIT, None
+        pii._NEEDS.update({k: lambda s: True for k, _ in pii.PATTERNS})
+        pii._CUE_WORDS.update({k: ("",) for k in words})
+        pii._DIGIT = digit
+        return pii.redact_text(text)
+    finally:
+        pii._NEEDS.clear()
+        pii._NEEDS.update(needs)
+        pii._CUE_WORDS.clear()
+        pii._CUE_WORDS.update(words)
+
+
+def test_looking_first_skips_no_step():
+    import random
+
+    rng = random.Random(6)
+    bits = "a.b@c.org www.x.io http://y x.com/q [URL] /z order #77112 ACC-99112 CUST-5512 ticket 5551234 4111 1111 1111 1111 +1 202-555-0143 @me ] Mr Smith Dr. Miller my NAME is Anna name's bob signed, Regards, omar sincerely This is Rahul Jain ı am Karen ſigned amit call me Im from it's From Priya 12345 ٣٤٥٦٧٨ # ( ) . -".split(" ")
+    for _ in range(3000):
+        text = " ".join(rng.choice(bits) for _ in range(rng.randrange(1, 14)))
+        assert pii.redact_text(text) == unguarded(text), text
+
+
+def test_blake_split_matches_its_definition(spark):
+    import hashlib
+
+    keys = ["a", "b c", "", "é", "x" * 500]
+    got = {r.k: r.s for r in spark.createDataFrame([(k,) for k in keys], "k string").select("k", parse.split_by_blake()(F.col("k")).alias("s")).collect()}
+    for k in keys:
+        v = int.from_bytes(hashlib.blake2b(f"42:{k}".encode(), digest_size=8).digest(), "big") % 1000
+        assert got[k] == ("train" if v < 800 else "val" if v < 900 else "test")
+
+
+def test_encoding_is_found_line_by_line(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("text\ncafé\n".encode())
+    (tmp_path / "b.csv").write_bytes("text\nok\ncafé\n".encode("latin-1"))
+    assert source.encoding_of(spark, str(tmp_path / "a.csv")) == "UTF-8" and source.encoding_of(spark, str(tmp_path / "b.csv")) == "ISO-8859-1"
+    assert [r.text for r in source.read_csv(spark, str(tmp_path / "b.csv")).orderBy("_pos").collect()] == ["ok", "café"]
+
+
+def test_even_sample_and_balance(spark):
+    from tidemark.operators import profile
+
+    df = spark.range(1000).select(F.col("id").alias("_pos"), F.when(F.col("id") % 10 == 0, "a").when(F.col("id") % 7 == 0, None).otherwise("b").alias("label")).repartition(6)
+    assert sorted(r._pos for r in clean.even_sample(df, 5).collect()) == [0, 250, 500, 749, 999]
+    assert clean.even_sample(df, 2000).count() == 1000 and clean.even_sample(df.limit(0), 5).count() == 0
+    out = profile.balanced(df, "label", "_pos")
+    counts = {r.label: r["count"] for r in out.groupBy("label").count().collect()}
+    assert len(set(counts.values())) == 1 and out.select("_pos").distinct().count() == 1000 and out.columns == ["_pos", "label", "copy"]
+    times = out.groupBy("_pos", "label").count().groupBy("label").agg(F.max("count").alias("hi"), F.min("count").alias("lo")).collect()
+    assert all(r.hi - r.lo <= 1 for r in times)
+
+
+def test_macro_recall_of_a_sweep(spark):
+    from tidemark.operators import scoring
+
+    df = spark.createDataFrame([(0.0, 0.0)] * 8 + [(1.0, 0.0)] * 2, "_y double, prediction double")
+    assert scoring.MacroRecall().evaluate(df) == 0.5
+    words = {"negative": "bad awful broken", "neutral": "plain usual average", "positive": "good great lovely"}
+    rows = [(w, k) for k, said in words.items() for w in said.split() for _ in range(6)]
+    best = scoring.sweep(spark.createDataFrame(rows, "text string, label string"), folds=2)
+    assert 0.7 < max(best.avgMetrics) <= 1.0
+
+
+def test_predicted_classes_go_by_name(spark):
+    from tidemark.operators import scoring
+
+    rows = [("good fine", "positive"), ("bad poor", "negative")] * 20
+    model = scoring.train(spark.createDataFrame(rows, "text string, label string"), 1 << 8)
+    got = scoring.predict(spark.createDataFrame([("good fine", "x"), ("bad poor", "y")], "text string, label string"), model).collect()
+    assert [(r.label, r.sentiment, r.p_neutral) for r in got] == [("x", "positive", 0.0), ("y", "negative", 0.0)] and all(abs(r.p_negative + r.p_positive - 1) < 0.001 for r in got)
+
+
+def test_batch_sentiment_without_labels(spark):
+    from tidemark.operators import evaluate
+
+    df = spark.createDataFrame([("positive", None, None, 0.1, 0.2, 0.7)], "sentiment string, gt_sentiment string, rating int, p_negative double, p_neutral double, p_positive double")
+    assert evaluate.batch_sentiment(df).count() == 0 and evaluate.truth_source(df).first()[0] == "none"
+
+
+def test_template_says_what_there_is():
+    issue = {"key": "E1", "name": "Payment", "status": "EMERGING", "current": 90, "previous": 30, "growth_label": "+200%", "negative_pct": 95.0, "trend": "rising", "evidence_review_ids": ["R1", "R2", "R3", "R4"], "quotes": [], "calculation": {"growth": "(90 - 30) / 30 x 100 = 200.0%"}, "associations": [{"statement": "much of it on web."}]}
+    sheet = {
+        "slots": {"total_reviews": 1200, "n_themes": 3, "negative_pct": 40.0, "neutral_pct": 10.5, "positive_pct": 49.5}, "overview": {"first_ts": "2026-06-01 00:00", "last_ts": "2026-08-23 00:00"}, "emerging": [issue],
+        "top_complaints": [{"name": "Payment", "negative_count": 1100, "size": 1150, "negative_pct": 95.7, "growth_label": None}], "declining": [], "drift": {"theme": "significant", "volume": "none"}, "window_days": 14, "synthetic": True, "scores": {"accuracy": 0.9616, "macro_recall": 0.9207},
+    }
+    got = brief.template(sheet)
+    assert got["executive_summary"] == (
+        "Across 1,200 reviews (2026-06-01 to 2026-08-23), 40% are negative, 10.5% neutral and 49.5% positive, grouped into 3 themes. Emerging complaints in the latest 14-day window: "
+        "Payment (+200%, 30 to 90 mentions). The largest complaint theme by negative volume is Payment (1,100 negative of 1,150 mentions)."
+    )
+    assert got["emerging_complaints"] == ["Payment [EMERGING]: 30 -> 90 mentions (+200%); 95% negative; trend rising. Calculation: (90 - 30) / 30 x 100 = 200.0%."]
+    assert got["top_complaints"][0].endswith("window change n/a.") and got["possible_associations"] == ["much of it on web."]
+    assert got["suggested_investigation_areas"][0].startswith("Review the 90 current-window Payment reports (evidence IDs R1, R2, R3) to confirm") and "theme drift" in got["suggested_investigation_areas"][1]
+    assert got["caveats"][2].startswith("This batch is synthetic") and got["caveats"][3].endswith("accuracy 96.2%, macro recall 92.1%.")
+    bare = brief.template({**sheet, "emerging": [{**issue, "status": "NEW", "associations": None, "calculation": None}], "overview": {}, "drift": {}, "synthetic": False, "scores": {}})
+    assert "Payment (new: 90 mentions vs 0)" in bare["executive_summary"] and bare["possible_associations"][0].startswith("No segment") and len(bare["caveats"]) == 2

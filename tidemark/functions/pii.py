@@ -58,6 +58,20 @@ LEAKS = {
 }
 _DATES = tuple(re.compile(p) for p in (r"(?:19|20)\d{2}[-./]\d{1,2}[-./]\d{1,2}", r"\d{1,2}[-./]\d{1,2}[-./](?:19|20)?\d{2}"))
 _COMPILED = tuple((kind, re.compile(p)) for kind, p in PATTERNS)
+_DIGIT = re.compile(r"\d")
+# What a text must hold for a pattern to match at all; looked for first, since most texts hold little of it.
+_NEEDS = {
+    "EMAIL": lambda s: "@" in s,
+    "URL": lambda s: "." in s or "://" in s,
+    "URL_TAIL": lambda s: "[URL]" in s,
+    "USER": lambda s: "@" in s,
+}
+_CUE_WORDS = {
+    "honorific": ("Mr", "Ms", "Miss", "Mx", "Dr", "Prof"),
+    "strong": ("my name is", "name's", "signed", "regards", "sincerely"),
+    "weak": ("this is", "i am", "i'm", "im", "call me"),
+    "known": ("this is", "i am", "i'm", "im", "call me", "it's", "from"),
+}
 RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("counts", T.MapType(T.StringType(), T.IntegerType()))])
 
 
@@ -99,6 +113,8 @@ def redact_text(text: str | None, ner=None) -> tuple[str, dict[str, int]]:
         counts[kind] = counts.get(kind, 0) + 1
 
     for kind, pattern in _COMPILED:
+        if not _NEEDS.get(kind, _DIGIT.search)(s):
+            continue
         shown = {"BARE_PHONE": "PHONE", "URL_TAIL": "URL"}.get(kind, kind)
 
         def put(m: re.Match, kind=kind, shown=shown) -> str:
@@ -109,7 +125,10 @@ def redact_text(text: str | None, ner=None) -> tuple[str, dict[str, int]]:
             return f"[{shown}]"
 
         s = pattern.sub(put, s)
+    folded = s.casefold().replace("\u0131", "i")  # as patterns without case see it
     for cue, pattern in _CUES:
+        if not any(w in (s if cue == "honorific" else folded) for w in _CUE_WORDS[cue]):
+            continue
 
         def hide(m: re.Match, cue=cue) -> str:
             name = _person(cue, m.group(1).split())

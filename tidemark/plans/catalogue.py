@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import radar_queries, text_queries, theme_queries
+from tidemark.plans import radar_queries, report_queries, text_queries, theme_queries
 
-MODULES = (radar_queries, text_queries, theme_queries)
+MODULES = (radar_queries, text_queries, theme_queries, report_queries)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _module in MODULES:
