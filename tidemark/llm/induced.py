@@ -7,6 +7,10 @@ S suffixes from L ones in descending order. Each induction runs on a priority qu
 prefix with the tuple before), keyed by first character and first-in-first-out within a key; it spills
 to disk beyond `budget` bytes and hands out segments. Common prefixes are carried along: that of two tuples of one
 key is one more than the least common prefix between those that induced them. They are capped at CAP.
+
+Whatever is as long as the text (its types, runs, hashes, ranks, names, the recursion's string) is written in segments, and lies in
+mapped files where it is larger than the budget. In memory are a segment at a time, the queue's budget, the `base` names, and one small
+object for each key that has tuples waiting.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
 
 import numpy as np
 
@@ -25,13 +29,48 @@ NONE = 255
 SEGMENT = 1 << 20
 
 
+class Space:
+    """Arrays in memory up to `budget` bytes each, in mapped files beyond. The folder is the task's own, and what it holds can be made again."""
+
+    def __init__(self, budget: int):
+        self.budget, self.made = budget, 0
+        self.folder: str | None = None
+
+    def path(self) -> str:
+        self.folder = self.folder or tempfile.mkdtemp(prefix="suffixes-")
+        self.made += 1
+        return os.path.join(self.folder, str(self.made))
+
+    def zeros(self, n: int, kind) -> np.ndarray:
+        if n * np.dtype(kind).itemsize <= self.budget:
+            return np.zeros(n, kind)
+        return np.memmap(self.path(), kind, "w+", shape=(n,))
+
+    def close(self) -> None:
+        if self.folder:
+            shutil.rmtree(self.folder, ignore_errors=True)
+            self.folder = None
+
+    def __enter__(self) -> Space:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
+
+
+def blocks(n: int):
+    """(first, end) of each segment of n."""
+    return ((lo, min(n, lo + SEGMENT)) for lo in range(0, n, SEGMENT))
+
+
 class TupleQueue:
-    """A monotone priority queue of (position, prefix) tuples: first in, first out within a key; spills to disk."""
+    """A monotone priority queue of (position, prefix) tuples: first in, first out within a key; spills to disk, a file a spill."""
 
     def __init__(self, budget: int):
         self.budget, self.held = budget, 0
         self.memory: dict[int, deque] = defaultdict(deque)
         self.files: dict[int, deque] = defaultdict(deque)
+        self.waiting: Counter = Counter()
         self.folder: str | None = None
         self.spilled = 0
 
@@ -43,61 +82,79 @@ class TupleQueue:
 
     def _spill(self) -> None:
         self.folder = self.folder or tempfile.mkdtemp(prefix="tuples-")
-        for key, parts in self.memory.items():
-            if parts:
-                pos, lcp = (np.concatenate(x) for x in zip(*parts))
-                name = os.path.join(self.folder, f"{self.spilled}")
-                with open(name, "wb") as f:
+        name, at = os.path.join(self.folder, str(self.spilled)), 0
+        with open(name, "wb") as f:
+            for key, parts in self.memory.items():
+                if parts:
+                    pos, lcp = (np.concatenate(x) for x in zip(*parts))
                     f.write(pos.tobytes())
                     f.write(lcp.tobytes())
-                self.files[key].append((name, len(pos), pos.dtype, lcp.dtype, 0))
-                self.spilled += 1
-                parts.clear()
+                    self.files[key].append((name, at, len(pos), pos.dtype, lcp.dtype, 0))
+                    self.waiting[name] += 1
+                    at += pos.nbytes + lcp.nbytes
+        self.memory.clear()
         self.held = 0
+        self.spilled += 1
+
+    def _read(self, entry, first: int, m: int):
+        name, at, n, kind, own, _ = entry
+        with open(name, "rb") as f:
+            f.seek(at + first * kind.itemsize)
+            pos = np.frombuffer(f.read(m * kind.itemsize), kind)
+            f.seek(at + n * kind.itemsize + first * own.itemsize)
+            lcp = np.frombuffer(f.read(m * own.itemsize), own)
+        return pos, lcp
+
+    def _done(self, key: int, name: str) -> None:
+        if not self.files[key]:
+            del self.files[key]
+        self.waiting[name] -= 1
+        if not self.waiting[name]:
+            os.remove(name)
 
     def pop(self, key: int):
         """The next segment of a key, or None."""
-        if self.files[key]:
-            name, n, kind, own, done = self.files[key].popleft()
+        if key in self.files:
+            entry = self.files[key].popleft()
+            name, at, n, kind, own, done = entry
             m = min(SEGMENT, n - done)
-            with open(name, "rb") as f:
-                f.seek(done * kind.itemsize)
-                pos = np.frombuffer(f.read(m * kind.itemsize), kind)
-                f.seek(n * kind.itemsize + done * own.itemsize)
-                lcp = np.frombuffer(f.read(m * own.itemsize), own)
+            found = self._read(entry, done, m)
             if done + m < n:
-                self.files[key].appendleft((name, n, kind, own, done + m))
+                self.files[key].appendleft((name, at, n, kind, own, done + m))
             else:
-                os.remove(name)
-            return pos, lcp
-        if self.memory[key]:
-            return self._gathered(key, self.memory[key].popleft)
-        return None
+                self._done(key, name)
+            return found
+        return self._gathered(key, False)
 
-    def _gathered(self, key: int, take):
+    def _gathered(self, key: int, last: bool):
         """What is held of a key, up to a segment, as one."""
-        parts, n = [], 0
-        while self.memory[key] and n < SEGMENT:
-            parts.append(take())
-            n += len(parts[-1][0])
-        if take == self.memory[key].pop:
-            parts.reverse()
-        pos, lcp = parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts))
+        parts, n = self.memory.get(key), 0
+        if not parts:
+            return None
+        taken = []
+        while parts and n < SEGMENT:
+            taken.append(parts.pop() if last else parts.popleft())
+            n += len(taken[-1][0])
+        if not parts:
+            del self.memory[key]
+        if last:
+            taken.reverse()
+        pos, lcp = taken[0] if len(taken) == 1 else tuple(np.concatenate(x) for x in zip(*taken))
         self.held -= pos.nbytes + lcp.nbytes
         return pos, lcp
 
     def pop_last(self, key: int):
         """The segment pushed last, for reading a key backwards."""
-        if self.memory[key]:
-            return self._gathered(key, self.memory[key].pop)
-        if self.files[key]:
-            name, n, kind, own, _ = self.files[key].pop()
-            with open(name, "rb") as f:
-                pos = np.frombuffer(f.read(n * kind.itemsize), kind)
-                lcp = np.frombuffer(f.read(n * own.itemsize), own)
-            os.remove(name)
-            return pos, lcp
-        return None
+        found = self._gathered(key, True)
+        if found is None and key in self.files:
+            name, at, n, kind, own, done = entry = self.files[key].pop()
+            m = min(SEGMENT, n - done)  # here `done` counts from the end
+            found = self._read(entry, n - done - m, m)
+            if done + m < n:
+                self.files[key].append((name, at, n, kind, own, done + m))
+            else:
+                self._done(key, name)
+        return found
 
     def close(self) -> None:
         if self.folder:
@@ -107,17 +164,37 @@ class TupleQueue:
 class _Text:
     """A string of small integers that ends with a unique least one, with its types and runs."""
 
-    def __init__(self, t: np.ndarray):
+    def __init__(self, t: np.ndarray, space: Space):
         self.t, n = t, len(t)
-        differs = np.flatnonzero(t[1:] != t[:-1])
-        stop = np.append(differs, n - 1)
-        at = np.searchsorted(stop, np.arange(n))
-        self.run = (stop[at] - np.arange(n) + 1).clip(max=CAP).astype(np.uint8)
-        up = np.append(t[1:] > t[:-1], True)
-        up[n - 1] = True
-        self.s = up[stop[at]]
-        self.lms = np.flatnonzero(self.s[1:] & ~self.s[:-1]) + 1
-        self.keys = int(t.max()) + 1
+        self.run, self.s = space.zeros(n, np.uint8), space.zeros(n, bool)
+        self.run[n - 1], self.s[n - 1] = 1, True
+        for hi in range(n - 1, 0, -SEGMENT):  # from the right: positions lo .. hi - 1, each beside its follower
+            lo = max(0, hi - SEGMENT)
+            part, at = t[lo : hi + 1], np.arange(hi - lo)
+            stop = np.where(part[1:] != part[:-1], at, hi - lo)
+            stop = np.minimum.accumulate(stop[::-1])[::-1]
+            inside = stop < hi - lo
+            length = np.where(inside, stop - at + 1, hi - lo - at + int(self.run[hi]))
+            self.run[lo:hi] = np.minimum(length, CAP)
+            up = np.append(part[1:] > part[:-1], self.s[hi])
+            self.s[lo:hi] = up[stop]
+        follows = lambda lo, hi: np.flatnonzero(self.s[lo + 1 : hi + 1] & ~self.s[lo:hi][: len(self.s[lo + 1 : hi + 1])]) + lo + 1
+        self.lms = space.zeros(sum(len(follows(lo, hi)) for lo, hi in blocks(n)), np.int64)
+        done = 0
+        for lo, hi in blocks(n):
+            found = follows(lo, hi)
+            self.lms[done : done + len(found)] = found
+            done += len(found)
+        self.keys = max((int(t[lo:hi].max()) for lo, hi in blocks(n)), default=0) + 1
+
+
+def _starts(x: _Text, order: np.ndarray) -> np.ndarray:
+    """Where each key's LMS positions begin in their order."""
+    counts = np.zeros(x.keys + 1, np.int64)
+    for lo, hi in blocks(len(order)):
+        keys, n = np.unique(x.t[order[lo:hi]], return_counts=True)
+        counts[keys + 1] += n
+    return np.cumsum(counts)
 
 
 def _induce(x: _Text, order: np.ndarray, lcp: np.ndarray | None, budget: int):
@@ -125,9 +202,9 @@ def _induce(x: _Text, order: np.ndarray, lcp: np.ndarray | None, budget: int):
     each prefix is that with the tuple yielded before, 0 for a key's first. `order`: LMS positions, ascending."""
     t, kind = x.t, np.int32 if len(x.t) < 2**31 else np.int64
     carry = lcp is not None
-    first = np.searchsorted(t[order], np.arange(x.keys + 1))
-    lcp = np.zeros(len(order), np.uint8) if lcp is None else lcp
-    since, stamp, ever = np.full(x.keys, NONE, np.uint8), np.full(x.keys, -1, np.int64), np.zeros(x.keys, bool)
+    first = _starts(x, order)
+    many = x.keys if carry else 0  # without prefixes, keys may be very many
+    since, stamp, ever = np.full(many, NONE, np.uint8), np.full(many, -1, np.int64), np.zeros(many, bool)
 
     def feed(queue: TupleQueue, key: int, pos: np.ndarray, own: np.ndarray, want_s: bool) -> None:
         """Push what the tuples of a segment induce."""
@@ -173,7 +250,8 @@ def _induce(x: _Text, order: np.ndarray, lcp: np.ndarray | None, budget: int):
                 last = pos[-1]
             a, b = first[key], first[key + 1]
             for lo in range(a, b, SEGMENT):
-                pos, own = order[lo : min(b, lo + SEGMENT)].astype(kind), lcp[lo : min(b, lo + SEGMENT)].copy()
+                pos = order[lo : min(b, lo + SEGMENT)].astype(kind)
+                own = np.array(lcp[lo : lo + len(pos)]) if carry else np.zeros(len(pos), np.uint8)
                 if lo == a:
                     own[0] = 0 if last is None else min(x.run[last], x.run[pos[0]])
                 feed(rising, key, pos, own, False)
@@ -217,19 +295,36 @@ def _doubled(names: np.ndarray) -> np.ndarray:
         step *= 2
 
 
-def _hashes(t: np.ndarray):
+def _powers(base: int, n: int):
+    """A function for base**i modulo 2**64, i <= n, from two small tables."""
+    bits = 16
+    low = np.full(1 << bits, base, np.uint64)
+    high = np.full((n >> bits) + 1, pow(base, 1 << bits, 1 << 64), np.uint64)
+    low[0] = high[0] = 1
+    with np.errstate(over="ignore"):
+        low, high = np.multiply.accumulate(low), np.multiply.accumulate(high)
+
+    def of(i: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return low[i & ((1 << bits) - 1)] * high[i >> bits]
+
+    return of
+
+
+def _hashes(t: np.ndarray, space: Space):
     base = 0x9E3779B97F4A7C15
-    inverse = pow(base, -1, 1 << 64)
-    n = len(t) + 1
+    n = len(t)
+    up, down = _powers(base, n), _powers(pow(base, -1, 1 << 64), n)
+    sums, total = space.zeros(n + 1, np.uint64), U(0)
     with np.errstate(over="ignore"):
-        up, down = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
-        up[0] = down[0] = 1
-        up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        sums = np.append(U(0), np.cumsum(mix(t.astype(np.uint64) + U(1)) * up[:-1]))
+        for lo, hi in blocks(n):
+            part = np.cumsum(mix(t[lo:hi].astype(np.uint64) + U(1)) * up(np.arange(lo, hi))) + total
+            sums[lo + 1 : hi + 1] = part
+            total = part[-1]
 
     def of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return (sums[b] - sums[a]) * down[a]
+            return (sums[b] - sums[a]) * down(a)
 
     return of
 
@@ -245,41 +340,67 @@ def _prefixes(of, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(out, CAP).astype(np.uint8)
 
 
-def _lms_order(x: _Text, of, budget: int, base: int) -> np.ndarray:
+def _by_key(x: _Text, space: Space) -> np.ndarray:
+    """LMS positions by their first character, dealt out segment by segment."""
+    out = space.zeros(len(x.lms), np.int64)
+    to = _starts(x, x.lms)
+    for lo, hi in blocks(len(x.lms)):
+        part = np.array(x.lms[lo:hi])
+        key = x.t[part]
+        by = np.argsort(key, kind="stable")
+        keys, first, n = np.unique(key[by], return_index=True, return_counts=True)
+        out[np.repeat(to[keys], n) + np.arange(len(by)) - np.repeat(first, n)] = part[by]
+        to[keys] += n
+    return out
+
+
+def _lms_order(x: _Text, of, budget: int, base: int, space: Space) -> np.ndarray:
     """LMS positions in the order of their suffixes."""
-    if len(x.lms) < 2:
+    n, m = len(x.t), len(x.lms)
+    if m < 2:
         return x.lms
-    guess = x.lms[np.argsort(x.t[x.lms], kind="stable")]
-    is_lms = np.zeros(len(x.t), bool)
-    is_lms[x.lms] = True
-    found = [pos[is_lms[pos]] for pos, _, s in _induce(x, guess, None, budget) if s]
-    ranked = np.concatenate(found)[::-1].astype(np.int64)
-    end = np.append(x.lms[1:], len(x.t) - 1)
-    index = np.empty(len(x.t), np.int64 if len(x.t) >= 2**31 else np.int32)
-    index[x.lms] = np.arange(len(x.lms))
-    size = end - x.lms + 1
-    own = mix(of(x.lms, np.minimum(x.lms + size, len(x.t)))) ^ size.astype(np.uint64)
-    mine = own[index[ranked]]
-    name = np.append(0, np.cumsum(mine[1:] != mine[:-1]))
-    names = np.empty(len(x.lms), np.int64)
-    names[index[ranked]] = name
-    if name[-1] == len(name) - 1:
+    is_lms, index = space.zeros(n, bool), space.zeros(n, np.int64 if n >= 2**31 else np.int32)
+    for lo, hi in blocks(m):
+        is_lms[x.lms[lo:hi]] = True
+        index[x.lms[lo:hi]] = np.arange(lo, hi)
+    ranked, end = space.zeros(m, np.int64), m
+    for pos, _, s in _induce(x, _by_key(x, space), None, budget):
+        if s:
+            own = pos[is_lms[pos]]
+            ranked[end - len(own) : end] = own[::-1]
+            end -= len(own)
+    names, name, before = space.zeros(m + 1, np.int64), 0, None
+    for lo, hi in blocks(m):
+        at = index[ranked[lo:hi]]
+        start = x.lms[at]
+        stop = np.where(at + 1 < m, x.lms[np.minimum(at + 1, m - 1)] + 1, n)  # with the next one's first character
+        mine = mix(of(start, stop)) ^ (stop - start).astype(np.uint64)
+        new = np.append(before is not None and mine[0] != before, mine[1:] != mine[:-1])
+        own = name + np.cumsum(new)
+        names[at] = own + 1
+        name, before = int(own[-1]), mine[-1]
+    if name == m - 1:
         return ranked
-    if len(names) <= base:
-        return x.lms[_doubled(names)]
-    reduced = np.append(names + 1, 0)
-    inner = np.concatenate([pos[::1] for pos, _ in suffixes(reduced, budget, base)])[::-1]
-    return x.lms[inner[inner < len(names)]]
+    if m <= base:
+        return x.lms[_doubled(np.array(names[:m]))]
+    end = m  # the names end with a 0, which is the least suffix and no LMS
+    for pos, _ in suffixes(names, budget, base, space, False):
+        own = pos[pos < m]
+        ranked[end - len(own) : end] = x.lms[own[::-1]]
+        end -= len(own)
+    return ranked
 
 
-def suffixes(t: np.ndarray, budget: int = 64 << 20, base: int = 1 << 23):
+def suffixes(t: np.ndarray, budget: int = 64 << 20, base: int = 1 << 23, space: Space | None = None, carry: bool = True):
     """Yield (positions, prefixes), descending: all suffixes of t, whose last item is 0 and its only 0. A prefix is that
-    with the suffix before, capped at CAP; 0 where the first item changes."""
-    x = _Text(t)
-    of = _hashes(t)
-    order = _lms_order(x, of, budget, base)
-    lcp = np.zeros(len(order), np.uint8)
-    if len(order) > 1:
-        lcp[1:] = _prefixes(of, order[:-1], order[1:], len(t))
-    for pos, own, _ in _induce(x, order, lcp, budget):
-        yield pos, own
+    with the suffix before, capped at CAP; 0 where the first item changes. Without `carry`, prefixes mean nothing."""
+    with Space(budget) as own:
+        space = own if space is None else space
+        x = _Text(t, space)
+        of = _hashes(t, space)
+        order = _lms_order(x, of, budget, base, space)
+        lcp = space.zeros(len(order), np.uint8) if carry else None
+        for lo, hi in blocks(len(order) - 1) if carry else ():
+            lcp[lo + 1 : hi + 1] = _prefixes(of, np.array(order[lo:hi]), np.array(order[lo + 1 : hi + 1]), len(t))
+        for pos, own_lcp, _ in _induce(x, order, lcp, budget):
+            yield pos, own_lcp

@@ -3,12 +3,16 @@
 The corpus is far larger than any shard, so windows of `width` bytes are first dealt out by content: a window's
 anchor is the least hash among its 32-byte grams, the leftmost if several, and neighbouring windows of one anchor
 form a context (their bytes). Equal windows have equal anchors, so shards by anchor lose no match. Equal contexts are
-aggregated, in each task and again in each shard: the earliest stays, all windows of the others have an
-earlier start. Only anchors with different contexts are left, and of these contexts only such as agree with another on half of what a window has beside
-its anchor, on one side (equal windows do); their texts are fetched, dealt into shards by anchor, and sorted there by external induced sorting (see induced.py): tuples of position and
-common prefix in queues that spill to disk beyond a budget. Runs of suffixes with common prefixes of `width` or more
+aggregated, in each task and again for each block of anchors: the earliest stays, all windows of the others have an
+earlier start. Only anchors with different contexts are left, and of these contexts only such as agree with another on half of what a
+window has beside its anchor, on one side (equal windows do); their texts are fetched and dealt into shards by anchor. The contexts of an
+anchor that has more than `HOT` of them are cut into their windows first, and these dealt by anchor and window, so no shard
+grows with one anchor. A shard streams into a text in its task and is sorted by external induced sorting (see induced.py): tuples
+of position and common prefix in queues that spill to disk beyond a budget, everything as long as the text in mapped files beyond it,
+recursion on names beyond `base`. Runs of suffixes with common prefixes of `width` or more
 are equal windows, and all but the earliest go. Contexts are laid out in the order (doc_id, row, offset), so
-the earliest is the least position. Row numbers are given once, in the order of the input, and stored with it. Strings are judged on the input; nothing is approximate but 64-bit hashes of contexts.
+the earliest is the least position. Row numbers are given once, in the order of the input, and stored with it. Strings are judged on the
+input; nothing is approximate but 64-bit hashes of contexts.
 
 Defined results: a null text counts as empty; texts shorter than `width` lose nothing; matches never cross documents;
 rows that share a doc_id, or have none, are documents of their own in the order of their rows, so of repeated rows the first stays
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import Stored, chunks, partitions
-from tidemark.llm.induced import suffixes
+from tidemark.llm.induced import SEGMENT, Space, blocks, suffixes
 from tidemark.llm.kernels import U, mix, powers
 
 WIDTH = 100
@@ -37,6 +41,8 @@ PIECE = 1 << 20
 FLUSH = 400_000
 SHARD_BYTES = 1 << 20
 BUDGET = 64 << 20
+HOT = 512
+NAME_BYTES = 16
 BROADCAST_IDS = 1_000_000
 BLOCK_ENTRIES = 500_000
 _BYTES = np.random.Generator(np.random.PCG64(4242)).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -176,8 +182,9 @@ def _agrees(e: np.ndarray, side: str) -> np.ndarray:
 
 
 def _matched(dealt: DataFrame, width: int) -> DataFrame:
-    """Ranges that go, and (starts null) contexts whose text is wanted: gram, lo, size, of document doc."""
-    names = ["rowno", "starts", "ends", "doc", "gram", "lo", "size"]
+    """Ranges that go, and (starts null) contexts whose text is wanted: gram, lo, size, of document doc; parts: over how many shards
+    the anchor's windows are dealt."""
+    names, hot = ["rowno", "starts", "ends", "doc", "gram", "lo", "size", "parts"], HOT
 
     def run(key, table):
         mine = table.column("entries").drop_null()
@@ -189,17 +196,19 @@ def _matched(dealt: DataFrame, width: int) -> DataFrame:
         rows = _merged(gone["row"], gone["lo"], gone["lo"].astype(np.int64) + gone["span"], width)
         first = e[~again]
         wanted = first[_agrees(first, "left") | _agrees(first, "right")]
+        _, own, many = np.unique(wanted["gram"], return_inverse=True, return_counts=True)
+        parts = -(-many[own] // hot) if len(wanted) else np.zeros(0, np.int64)
         through = table.filter(table.column("rowno").is_valid()).select(names[:3])
         k, m = len(rows), len(wanted)
         block = np.int64(key[0].as_py()) << np.int64(32)
         cols = [pa.concat_arrays([a, b]) for a, b in zip(_range_batch(rows), [pa.array(wanted["row"]), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))])]
-        cols += [pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(x)]) for x in (wanted["doc"], wanted["gram"].astype(np.int64) | block, wanted["lo"].astype(np.int64), wanted["span"].astype(np.int64) + width)]
+        cols += [pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(x)]) for x in (wanted["doc"], wanted["gram"].astype(np.int64) | block, wanted["lo"].astype(np.int64), wanted["span"].astype(np.int64) + width, parts.astype(np.int64))]
         out = pa.table(cols, names=names)
         for x in names[3:]:
             through = through.append_column(x, pa.nulls(through.num_rows, pa.int64()))
         return pa.concat_tables([out, through.cast(out.schema)])
 
-    return dealt.groupBy("block").applyInArrow(run, f"{_RANGES}, doc long, gram long, lo long, size long")
+    return dealt.groupBy("block").applyInArrow(run, f"{_RANGES}, doc long, gram long, lo long, size long, parts long")
 
 
 def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -207,84 +216,153 @@ def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "rowno", how)
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(gram, doc, rowno, lo, bytes) of the wanted contexts."""
-    grouped = wanted.groupBy("rowno").agg(F.collect_list(F.struct("gram", "lo", "size")).alias("parts"))
+def _cut(raw: np.ndarray, parts: int, width: int):
+    """(first byte, end byte, part) of runs of windows, each window in the part that its bytes' hash names."""
+    up, down = powers(len(raw) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.append(U(0), np.cumsum(_BYTES[raw] * up[: len(raw)]))
+        own = mix((sums[width:] - sums[:-width]) * down[: len(raw) - width + 1]) % U(parts)
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    return first, np.append(first[1:], len(own)) + width - 1, own[first].astype(np.int64)
+
+
+def _contexts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(gram, doc, rowno, lo, bytes) of the wanted contexts; those of an anchor that is dealt over several parts are cut into runs of windows, and gram
+    names the anchor's part."""
+    grouped = wanted.groupBy("rowno").agg(F.collect_list(F.struct("gram", "lo", "size", "parts")).alias("spans"))
     ids = Stored(wanted.select("rowno").distinct()).read()
     own = only(docs, ids).join(grouped, "rowno")
 
     def run(batches):
         for batch in batches:
-            ids, numbers, parts = batch.column("doc").to_numpy(), batch.column("rowno").to_numpy(), batch.column("parts")
+            ids, numbers, spans = batch.column("doc").to_numpy(), batch.column("rowno").to_numpy(), batch.column("spans")
             for row0, data, offsets in chunks(batch, "text", PIECE):
                 grams, docs_, rows, los, out = [], [], [], [], []
                 for i in range(len(offsets) - 1):
-                    flat = parts[row0 + i].values
-                    lo, size = flat.field("lo").to_numpy(), flat.field("size").to_numpy()
-                    grams.append(flat.field("gram").to_numpy())
-                    docs_.append(np.full(len(lo), ids[row0 + i]))
-                    rows.append(np.full(len(lo), numbers[row0 + i]))
-                    los.append(lo)
-                    raw = data[offsets[i] : offsets[i + 1]].tobytes()
-                    out += [raw[a : a + b] for a, b in zip(lo.tolist(), size.tolist())]
+                    flat = spans[row0 + i].values
+                    gram, lo, size, parts = (flat.field(c).to_numpy() for c in ("gram", "lo", "size", "parts"))
+                    text = data[offsets[i] : offsets[i + 1]]
+                    hot = np.flatnonzero(parts > 1)
+                    whole = np.flatnonzero(parts == 1)
+                    pieces = [(gram[whole], lo[whole], lo[whole] + size[whole])]
+                    for j in hot:
+                        a, e, part = _cut(text[lo[j] : lo[j] + size[j]], int(parts[j]), width)
+                        with np.errstate(over="ignore"):
+                            pieces.append(((mix(part.astype(np.uint64) + U(1)) ^ gram[j : j + 1].view(np.uint64)).view(np.int64), lo[j] + a, lo[j] + e))
+                    gram, a, e = (np.concatenate(x) for x in zip(*pieces))
+                    grams.append(gram)
+                    docs_.append(np.full(len(a), ids[row0 + i]))
+                    rows.append(np.full(len(a), numbers[row0 + i]))
+                    los.append(a)
+                    raw = text.tobytes()
+                    out += [raw[x:y] for x, y in zip(a.tolist(), e.tolist())]
                 yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x)) for x in (grams, docs_, rows, los)], pa.array(out, pa.binary())], ["gram", "doc", "rowno", "lo", "bytes"])
 
     return own.mapInArrow(run, "gram long, doc long, rowno long, lo long, bytes binary")
 
 
-def repeated(doc: np.ndarray, row: np.ndarray, lo: np.ndarray, parts: list[bytes], width: int, budget: int = BUDGET, base: int = 1 << 23):
-    """(row, lo, hi) of the windows of these contexts that also start earlier in one of them."""
-    order = np.lexsort((lo, row, doc))
-    row, lo, parts = row[order], lo[order], [parts[i] for i in order]
-    size = np.array([len(b) for b in parts])
-    start = np.cumsum(size + 1) - size - 1
-    joined = np.zeros(int(size.sum()) + len(parts) + 1, np.int32)
-    flat = np.frombuffer(b"".join(parts), np.uint8)
-    place = np.arange(len(flat)) + np.repeat(np.arange(len(parts)), size)
-    joined[:-1] = 1  # ends a context; 0 ends all
-    joined[place] = flat.astype(np.int32) + 2
-    window = np.zeros(len(joined) + width + 1, bool)
-    edge = np.zeros(len(joined) + 1, np.int32)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, start + size - width + 1, -1)
-    window[: len(joined)] = np.cumsum(edge[:-1]) > 0
-    gone = np.zeros(len(joined) + 1, bool)
+class Shard:
+    """Contexts joined to one text of small integers (1 ends a context, 0 all), held in memory up to the budget and in files beyond."""
+
+    def __init__(self, space: Space):
+        self.space, self.held, self.size = space, 0, 0
+        self.kinds = {"text": np.int32, "row": np.int64, "lo": np.int64, "start": np.int64}
+        self.parts: dict[str, list[np.ndarray]] = {k: [] for k in self.kinds}
+        self.files: dict[str, str] = {}
+
+    def add(self, rows: np.ndarray, los: np.ndarray, contexts: pa.Array) -> None:
+        """Contexts in the order of their documents, after all that were added before."""
+        contexts = contexts.cast(pa.large_binary())
+        offsets = np.frombuffer(contexts.buffers()[1], np.int64, len(contexts) + 1, contexts.offset * 8)
+        flat = np.frombuffer(contexts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        size = np.diff(offsets)
+        text = np.ones(len(flat) + len(size), np.int32)
+        text[np.arange(len(flat)) + np.repeat(np.arange(len(size)), size)] = flat.astype(np.int32) + 2
+        start = self.size + offsets[:-1] - offsets[0] + np.arange(len(size))
+        self.size += len(text)
+        for name, part in (("text", text), ("row", rows), ("lo", los), ("start", start)):
+            self.parts[name].append(part)
+            self.held += part.nbytes
+        if self.held > self.space.budget:
+            self.dump()
+
+    def dump(self) -> None:
+        for name, parts in self.parts.items():
+            if name not in self.files:
+                self.files[name] = self.space.path()
+            with open(self.files[name], "ab") as f:
+                for part in parts:
+                    f.write(np.ascontiguousarray(part, self.kinds[name]).tobytes())
+            parts.clear()
+        self.held = 0
+
+    def arrays(self):
+        """text (with the 0 at its end), row, lo, start."""
+        self.parts["text"].append(np.zeros(1, np.int32))
+        if not self.files:
+            return tuple(np.concatenate(p).astype(self.kinds[k], copy=False) for k, p in self.parts.items())
+        self.dump()
+        return tuple(np.memmap(self.files[k], kind, "r") for k, kind in self.kinds.items())
+
+
+def repeated(shard: Shard, width: int, budget: int = BUDGET, base: int | None = None):
+    """Yield (row, lo, hi) of the windows of these contexts that also start earlier in one of them, some at a time."""
+    space = shard.space
+    text, row, lo, start = shard.arrays()
+    n = len(text)
+    gone = space.zeros(n, bool)
     pos, lcp = np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def settle(pos, lcp):
-        group = np.cumsum(lcp < width)
-        head = np.append(True, group[1:] != group[:-1])
-        least = np.minimum.reduceat(pos, np.flatnonzero(head))
-        late = pos != np.repeat(least, np.diff(np.append(np.flatnonzero(head), len(pos))))
+        head = np.append(True, lcp[1:] < width)
+        first = np.flatnonzero(head)
+        least = np.minimum.reduceat(pos, first)
+        late = pos != np.repeat(least, np.diff(np.append(first, len(pos))))
         gone[pos[late]] = True
 
-    for p, own in suffixes(joined, budget, base):
+    for p, own in suffixes(text, budget, max(64, budget // NAME_BYTES) if base is None else base, space):
         pos, lcp = np.concatenate((pos, p)), np.concatenate((lcp, own))
         cut = np.flatnonzero(lcp < width)
         if len(cut) and cut[-1] > 0:  # whole groups so far
             settle(pos[: cut[-1]], lcp[: cut[-1]])
             pos, lcp = pos[cut[-1] :], lcp[cut[-1] :]
+        elif len(pos) > 4 * SEGMENT:  # a group that is longer than some segments: its least so far stands for it
+            least = pos.min()
+            gone[pos[pos != least]] = True
+            pos, lcp = np.array([least]), lcp[:1]
     if len(pos):
         settle(pos, lcp)
-    gone[: len(joined)] &= window[: len(joined)]
-    at = np.flatnonzero(gone)
-    own = np.searchsorted(start, at, "right") - 1
-    new = np.append(True, (at[1:] != at[:-1] + 1) | (own[1:] != own[:-1]))[: len(at)]
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at))[: len(first)] - 1
-    o = own[first]
-    return row[o], lo[o] + at[first] - start[o], lo[o] + at[last] - start[o]
+    for a, e in blocks(n):
+        at = np.flatnonzero(gone[a:e]) + a
+        if not len(at):
+            continue
+        own = np.searchsorted(start, at, "right") - 1
+        size = np.append(start[own[own + 1 < len(start)] + 1], np.full(int((own + 1 >= len(start)).sum()), n - 1)) - 1 - start[own]
+        inside = at - start[own] <= size - width  # a window of the context, not one that runs beyond it
+        at, own = at[inside], own[inside]
+        if not len(at):
+            continue
+        new = np.append(True, (at[1:] != at[:-1] + 1) | (own[1:] != own[:-1]))
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at)) - 1
+        o = own[first]
+        yield np.array(row[o]), lo[o] + at[first] - start[o], lo[o] + at[last] - start[o]
 
 
 def _sorted_out(contexts: DataFrame, shards: int, width: int, budget: int) -> DataFrame:
-    """Ranges of the contexts that also start earlier, found in a suffix array for each shard."""
+    """Ranges of the contexts that also start earlier, found in a suffix array for each shard. A shard is a partition; it streams into its task."""
 
-    def run(table):
-        doc, row, lo = (table.column(c).to_numpy() for c in ("doc", "rowno", "lo"))
-        rows = _merged(*repeated(doc, row, lo, table.column("bytes").to_pylist(), width, budget), width)
-        return pa.table(_range_batch(rows), names=["rowno", "starts", "ends"])
+    def run(batches):
+        with Space(budget) as space:
+            shard = Shard(space)
+            for batch in batches:
+                shard.add(batch.column("rowno").to_numpy(), batch.column("lo").to_numpy(), batch.column("bytes"))
+            if not shard.size:
+                return
+            for row, lo, hi in repeated(shard, width, budget):
+                yield pa.RecordBatch.from_arrays(_range_batch(_merged(row, lo, hi, width)), names=["rowno", "starts", "ends"])
 
-    return contexts.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(run, _RANGES)
+    return contexts.repartition(shards, "gram").sortWithinPartitions("doc", "rowno", "lo").select("rowno", "lo", "bytes").mapInArrow(run, _RANGES)
 
 
 def ranges(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
@@ -294,11 +372,11 @@ def ranges(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET) -> DataFra
     blocks = max(partitions(docs), -(-int(n) * 2 // (width - GRAM) // BLOCK_ENTRIES)) * 2
     found = Stored(_matched(_dealt(docs, blocks, width), width)).read()
     gone = found.where("starts is not null").select("rowno", "starts", "ends")
-    wanted = found.where("starts is null").select("doc", "rowno", "gram", "lo", "size")
+    wanted = found.where("starts is null").select("doc", "rowno", "gram", "lo", "size", "parts")
     total = wanted.agg(F.sum("size")).first()[0] or 0
     if total:
         shards = max(partitions(docs), -(-int(total) // SHARD_BYTES))
-        gone = gone.unionByName(Stored(_sorted_out(_contexts(docs, wanted), shards, width, budget)).read())
+        gone = gone.unionByName(Stored(_sorted_out(_contexts(docs, wanted, width), shards, width, budget)).read())
     return gone.groupBy("rowno").agg(F.collect_list(F.struct("starts", "ends")).alias("parts"))
 
 
