@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tidemark.llm.toxicity as tox
-from tidemark.llm import chat, containment, induced, jaccard, kernels, mixing, shards, suffix, urls
+from tidemark.llm import chat, containment, induced, jaccard, kernels, mixing, shards, urls
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -84,31 +84,6 @@ def test_induced_sorting(spill):
             assert lcp[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
-def test_suffix_dedup(docs, corpus):
-    rows = [(k, t) for k, t in corpus if k is not None]
-    got = suffix.deduplicate(docs.where("doc_id is not null")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256)).collect()
-    assert sorted(map(tuple, got)) == suffix.brute(rows)
-    assert suffix.deduplicate(empty(docs)).count() == 0
-
-
-def test_suffix_dedup_of_repeated_rows_and_null_ids(spark):
-    rng = random.Random(11)
-    text, other = prose(rng, 60), prose(rng, 60)
-    rows = [(5, text), (5, text), (3, "lead " + other), (None, other), (None, other), (None, text[:150] + " " + other), (7, text), (7, other), (7, other + " tail"), (None, None), (None, None)]
-    rows += [(None, prose(rng, 16)) for _ in range(1500)]  # many texts under one id
-    got = suffix.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256)).collect()
-    least = -(1 << 63)
-    want = suffix.brute([(least if k is None else k, t) for k, t in rows])
-    assert sorted((least if r[0] is None else r[0], *r[1:]) for r in got) == sorted(want)
-    assert sum(r.n_bytes - r.n_removed for r in got) > len(text) + len(other)
-
-
-def test_suffix_dedup_with_spills(docs, corpus):
-    rows = [(k, t) for k, t in corpus if k is not None]
-    got = suffix.deduplicate(docs.where("doc_id is not null").drop("kept"), budget=2000).select("doc_id", "n_removed")
-    assert {r[0]: r[1] for r in got.collect()} == {r[0]: r[2] for r in suffix.brute(rows)}
-
-
 def components(corpus):
     sets = [(k, shingle_set(t)) for k, t in corpus if k is not None]
     up = {k: k for k, _ in sets}
