@@ -6,8 +6,8 @@ form a context (their bytes). Equal windows have equal anchors, so shards by anc
 aggregated, in each task and again for each block of anchors: the earliest stays, all windows of the others have an
 earlier start. Only anchors with different contexts are left, and of these contexts only such as agree with another on half of what a
 window has beside its anchor, on one side (equal windows do); their texts are fetched and dealt into shards by anchor. The contexts of an
-anchor that has more than `HOT` of them are cut into their windows first, and these dealt by anchor and window, so no shard
-grows with one anchor. A shard streams into a text in its task and is sorted by external induced sorting (see induced.py): tuples
+anchor that has more than `HOT` of them are cut into their windows first, and these dealt by anchor and window, about `HOT` to a shard, so
+none grows with one anchor (a whole anchor's contexts are at most 1.4 MB). A shard streams into a text in its task and is sorted by external induced sorting (see induced.py): tuples
 of position and common prefix in queues that spill to disk beyond a budget, everything as long as the text in mapped files beyond it,
 recursion on names beyond `base`. Runs of suffixes with common prefixes of `width` or more
 are equal windows, and all but the earliest go. Contexts are laid out in the order (doc_id, row, offset), so
@@ -41,7 +41,7 @@ PIECE = 1 << 20
 FLUSH = 400_000
 SHARD_BYTES = 1 << 20
 BUDGET = 64 << 20
-HOT = 512
+HOT = 8192
 NAME_BYTES = 16
 BROADCAST_IDS = 1_000_000
 BLOCK_ENTRIES = 500_000
@@ -197,7 +197,7 @@ def _matched(dealt: DataFrame, width: int) -> DataFrame:
         first = e[~again]
         wanted = first[_agrees(first, "left") | _agrees(first, "right")]
         _, own, many = np.unique(wanted["gram"], return_inverse=True, return_counts=True)
-        parts = -(-many[own] // hot) if len(wanted) else np.zeros(0, np.int64)
+        parts = np.where(many > hot, -(-many * (width - GRAM + 1) // hot), 1)[own] if len(wanted) else np.zeros(0, np.int64)
         through = table.filter(table.column("rowno").is_valid()).select(names[:3])
         k, m = len(rows), len(wanted)
         block = np.int64(key[0].as_py()) << np.int64(32)
