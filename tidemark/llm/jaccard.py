@@ -39,7 +39,7 @@ from tidemark.llm.kernels import U, mix, shingles
 
 PERCENT = 75
 SHORT = 8
-FLUSH = 2_000_000
+FLUSH = 500_000
 RECUR = 2
 HOT_LEAST, HOT_MOST = 4, 1 << 20
 BLOCK_POSTINGS = 1_000_000
@@ -160,7 +160,7 @@ def _postings(docs: DataFrame, hot, blocks: int) -> DataFrame:
                         own, count = own[order], count[order]
                     size += p
                     held.append((own[:p], np.full(p, node), np.full(p, len(own), np.uint32), np.arange(p, dtype=np.uint32), 1 + count[:p] // heavy))
-                if size > FLUSH // 4:
+                if size > FLUSH // 2:
                     yield flush()
                     held, size = [], 0
         if held:
