@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.graph import labelled
-from tidemark.llm.common import Stored
+from tidemark.llm.common import Stored, thrifty
 
 ONE_TASK_EDGES = 2_000_000
 
@@ -20,7 +20,7 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
             nodes, comp = labelled(*(np.concatenate(c) for c in zip(*parts)))
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(comp)], ["node", "comp"])
 
-    return edges.coalesce(1).mapInArrow(run, "node long, comp long")
+    return edges.coalesce(1).mapInArrow(thrifty(run), "node long, comp long")
 
 
 def components(edges: DataFrame) -> DataFrame:

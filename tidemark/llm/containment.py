@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import chunks, small_batches
+from tidemark.llm.common import chunks, small_batches, thrifty
 from tidemark.llm.kernels import U, WIDTH, mix, prefix, shingles, span_hash, words
 
 HASHES = 64
@@ -180,7 +180,7 @@ def leaks(docs: DataFrame, items: DataFrame, item_col: str = "item_id") -> DataF
                 cols = [c for c in batch.schema.names if c != "leaks"]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in cols], pa.array(old, arrow)], [*cols, "leaks"])
 
-        out = out.mapInArrow(find, T.StructType([*docs.schema.fields, T.StructField("leaks", kind)]))
+        out = out.mapInArrow(thrifty(find), T.StructType([*docs.schema.fields, T.StructField("leaks", kind)]))
     return out
 
 

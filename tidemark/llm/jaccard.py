@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Stored, chunks, partitions, scratch, small_batches
+from tidemark.llm.common import Stored, chunks, partitions, scratch, small_batches, thrifty
 from tidemark.llm.components import components
 from tidemark.llm.kernels import U, mix, shingles
 
@@ -102,7 +102,7 @@ def _survey(docs: DataFrame) -> Stored:
         if held:
             yield flush()
 
-    return Stored(docs.mapInArrow(run, schema))
+    return Stored(docs.mapInArrow(thrifty(run), schema))
 
 
 def _hot(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +113,7 @@ def _hot(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for g, c in zip(batch.column("grams"), batch.column("counts")):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(g.as_py(), np.int64)), pa.array(np.frombuffer(c.as_py(), np.int64))], ["gram", "count"])
 
-    rows = survey.where("grams is not null").select("grams", "counts").mapInArrow(spread, "gram long, count long")
+    rows = survey.where("grams is not null").select("grams", "counts").mapInArrow(thrifty(spread), "gram long, count long")
     top = rows.groupBy("gram").agg(F.sum("count").alias("count")).where(F.col("count") >= HOT_LEAST).orderBy(F.desc("count"), "gram").limit(HOT_MOST)
     found = top.toArrow()
     gram = found.column("gram").to_numpy().view(np.uint64)
@@ -166,7 +166,7 @@ def _postings(docs: DataFrame, hot, blocks: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "block int, postings binary")
+    return docs.select("text").mapInArrow(thrifty(run), "block int, postings binary")
 
 
 def _may_link(n, m, i, j):
@@ -269,7 +269,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, survey: DataFrame) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["node", "grams"])
 
     own = docs.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "rowno", "left_semi").select("text")
-    sets = own.mapInArrow(rows, "node long, grams array<long>")
+    sets = own.mapInArrow(thrifty(rows), "node long, grams array<long>")
     a, b = sets.select(F.col("node").alias("x"), F.col("grams").alias("gx")), sets.select(F.col("node").alias("y"), F.col("grams").alias("gy"))
     met = pairs.join(a, "x").join(b, "y").select("x", "y", F.size("gx").alias("n"), F.size("gy").alias("m"), F.size(F.array_intersect("gx", "gy")).alias("both"))
     return met.where(100 * F.col("both") >= PERCENT * (F.col("n") + F.col("m") - F.col("both"))).select("x", "y").distinct()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Stored, scratch
+from tidemark.llm.common import Stored, scratch, thrifty
 
 PIVOTS, SPREAD = 1024, 4
 GROUP = 32768
@@ -164,7 +164,7 @@ def top_k(data: DataFrame, is_query: Column, k: int, seed: int = 5, pivots: int
                     cell, dist = _cells(_vectors(batch.column(batch.schema.get_field_index("v"))), centre)
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(dist)], [*batch.schema.names, "cell", "dist"])
 
-        placed = Stored(table.read().mapInArrow(place, "id long, v array<long>, q boolean, row long, cell int, dist double")).read()
+        placed = Stored(table.read().mapInArrow(thrifty(place), "id long, v array<long>, q boolean, row long, cell int, dist double")).read()
         parted = placed.select("cell", "dist", "row", F.pmod(F.col("row"), F.lit(64)).alias("part"))
         nearest = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("dist", "row"))
         chosen = parted.withColumn("r", nearest("cell", "part")).where(F.col("r") <= k + 1).withColumn("r", nearest("cell")).where(F.col("r") <= k + 1).select("row")
@@ -184,7 +184,7 @@ def top_k(data: DataFrame, is_query: Column, k: int, seed: int = 5, pivots: int
                 g = (first[cell] + row % many[cell]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(g), pa.array(floors(q, row, s_vec, s_rows, k))], [*batch.schema.names, "g", "floor"])
 
-        queries = Stored(placed.where("q").select("id", "v", "row", "cell").mapInArrow(judge, "id long, v array<long>, row long, cell int, g int, floor long")).read()
+        queries = Stored(placed.where("q").select("id", "v", "row", "cell").mapInArrow(thrifty(judge), "id long, v array<long>, row long, cell int, g int, floor long")).read()
 
         def wants(batches):
             held: dict[int, np.ndarray] = {}
@@ -203,7 +203,7 @@ def top_k(data: DataFrame, is_query: Column, k: int, seed: int = 5, pivots: int
             cell = np.tile(np.arange(len(centre), dtype=np.int32), len(held))
             return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.fromiter(held, np.int32), len(centre))), pa.array(cell), pa.array(np.concatenate(list(held.values())))], ["g", "cell", "least"])
 
-        found = queries.mapInArrow(wants, "g int, cell int, least double").groupBy("g", "cell").agg(F.min("least").alias("least")).toArrow()  # groups * pivots numbers
+        found = queries.mapInArrow(thrifty(wants), "g int, cell int, least double").groupBy("g", "cell").agg(F.min("least").alias("least")).toArrow()  # groups * pivots numbers
         least = np.full((len(centre), groups), np.inf)
         least[found.column("cell").to_numpy(), found.column("g").to_numpy()] = found.column("least").to_numpy() * (1 - SLACK) - SLACK
         blocks = -(-rows // block)
@@ -217,7 +217,7 @@ def top_k(data: DataFrame, is_query: Column, k: int, seed: int = 5, pivots: int
                     take = pa.array(r)
                     yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array((row[r] % blocks).astype(np.int32)), *[batch.column(batch.schema.get_field_index(c)).take(take) for c in ("id", "v", "row")]], ["g", "b", "id", "v", "row"])
 
-        sent = placed.mapInArrow(send, "g int, b int, id long, v array<long>, row long")
+        sent = placed.mapInArrow(thrifty(send), "g int, b int, id long, v array<long>, row long")
         asked = queries.select("g", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), "id", "v", "row", "floor")
         out = "query long, query_id long, vec_id long, vec_row long, score long"
 

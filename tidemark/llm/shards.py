@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Stored
+from tidemark.llm.common import Stored, thrifty
 
 PART_BITS = 33
 EXACT_LIMIT = 10**9
@@ -116,7 +116,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 17, block: int
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], [*batch.schema.names, "_cell"])
 
     schema = T.StructType([*placed.schema.fields, T.StructField("_cell", T.IntegerType())])
-    dealt = placed.mapInArrow(deal, schema)
+    dealt = placed.mapInArrow(thrifty(deal), schema)
     window = Window.partitionBy("_cell").orderBy(F.xxhash64(F.lit(seed), "_row"), "_row")
     ranked = dealt.withColumn("_rank", F.row_number().over(window) - 1)
     pieces = len(cells) // shards

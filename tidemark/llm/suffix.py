@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Stored, chunks, partitions
+from tidemark.llm.common import Stored, chunks, partitions, thrifty
 from tidemark.llm.induced import SEGMENT, Space, blocks, suffixes
 from tidemark.llm.kernels import U, mix, powers
 
@@ -171,7 +171,7 @@ def _dealt(docs: DataFrame, blocks: int, width: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.mapInArrow(run, f"block int, entries binary, {_RANGES}")
+    return docs.mapInArrow(thrifty(run), f"block int, entries binary, {_RANGES}")
 
 
 def _agrees(e: np.ndarray, side: str) -> np.ndarray:
@@ -258,7 +258,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     out += [raw[x:y] for x, y in zip(a.tolist(), e.tolist())]
                 yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x)) for x in (grams, docs_, rows, los)], pa.array(out, pa.binary())], ["gram", "doc", "rowno", "lo", "bytes"])
 
-    return own.mapInArrow(run, "gram long, doc long, rowno long, lo long, bytes binary")
+    return own.mapInArrow(thrifty(run), "gram long, doc long, rowno long, lo long, bytes binary")
 
 
 class Shard:
@@ -362,7 +362,7 @@ def _sorted_out(contexts: DataFrame, shards: int, width: int, budget: int) -> Da
             for row, lo, hi in repeated(shard, width, budget):
                 yield pa.RecordBatch.from_arrays(_range_batch(_merged(row, lo, hi, width)), names=["rowno", "starts", "ends"])
 
-    return contexts.repartition(shards, "gram").sortWithinPartitions("doc", "rowno", "lo").select("rowno", "lo", "bytes").mapInArrow(run, _RANGES)
+    return contexts.repartition(shards, "gram").sortWithinPartitions("doc", "rowno", "lo").select("rowno", "lo", "bytes").mapInArrow(thrifty(run), _RANGES)
 
 
 def ranges(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
@@ -419,7 +419,7 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET) -> Da
             cols = [pa.array([x[k] for x in numbers], pa.int64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in fields], pa.array(kept, pa.binary()), *cols, pa.array(spans, arrow)], [*fields, *ADDED])
 
-    changed = touched.select(*fields, "parts").mapInArrow(cut, schema)
+    changed = touched.select(*fields, "parts").mapInArrow(thrifty(cut), schema)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     same = only(keyed, ids, "left_anti").select(*fields, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("kept"), size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.array().cast(kind).alias("spans"))
     return changed.unionByName(same)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import chunks, small_batches
+from tidemark.llm.common import chunks, small_batches, thrifty
 from tidemark.llm.kernels import U, prefix, span_hash, words
 
 BITS = 22
@@ -73,11 +73,6 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def table(self) -> np.ndarray:
-        out = np.zeros(1 << BITS, np.float32)
-        out[self.places] = self.weights
-        return out
-
 
 def score_rows(table: np.ndarray, bias: float, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     rows = len(offsets) - 1
@@ -159,7 +154,7 @@ def _sampled(docs: DataFrame, most: int, seed: int) -> list[np.ndarray]:
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
     keys = docs.select("doc_id", "t").distinct().orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "t").limit(most)
-    rows = docs.join(F.broadcast(keys), ["doc_id", "t"], "left_semi").select("doc_id", "t", "text").mapInArrow(find, "doc_id long, t long, p binary")
+    rows = docs.join(F.broadcast(keys), ["doc_id", "t"], "left_semi").select("doc_id", "t", "text").mapInArrow(thrifty(find), "doc_id long, t long, p binary")
     return [np.frombuffer(r["p"], np.int32) for r in rows.groupBy("doc_id", "t").agg(F.first("p").alias("p")).select("p").collect()]
 
 
@@ -177,15 +172,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of docs plus score."""
     small_batches(docs.sparkSession)
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "score"])
-    shared = docs.sparkSession.sparkContext.broadcast((model.table(), model.bias))
+    shared = docs.sparkSession.sparkContext.broadcast((model.places, model.weights, model.bias))
 
     def run(batches):
-        table, bias = shared.value
+        places, weights, bias = shared.value
+        table = np.zeros(1 << BITS, np.float32)
+        table[places] = weights
         for batch in batches:
             out = [score_rows(table, bias, data, offsets) for _, data, offsets in chunks(batch, "text")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], [*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(thrifty(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
