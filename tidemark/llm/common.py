@@ -69,14 +69,16 @@ def thrifty(run):
     return wrapped
 
 
-BATCH_ROWS = 2000
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts are long: hand at most BATCH_ROWS of them to Python at once."""
+    """Texts and packed rows are long: hand at most BATCH_ROWS and about BATCH_BYTES of them to Python at once. A session that asks for less keeps its own."""
     if not 0 < int(spark.conf.get(_ROWS)) <= BATCH_ROWS:
         spark.conf.set(_ROWS, BATCH_ROWS)
+    if not 0 < int(spark.conf.get(_BYTES).rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(_BYTES, f"{BATCH_BYTES}b")
 
 
 def keep_columns(df: DataFrame, *names: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Stored, thrifty
+from tidemark.llm.common import Stored, small_batches, thrifty
 
 PART_BITS = 33
 EXACT_LIMIT = 10**9
@@ -89,6 +89,7 @@ def cell_sizes(rows: int, shards: int, block: int) -> tuple[np.ndarray, np.ndarr
 
 def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 17, block: int = 4096) -> DataFrame:
     """All columns of docs, plus shard (int) and slot (long, gapless from 0 in each shard)."""
+    small_batches(docs.sparkSession)
     clash = {"shard", "slot", "_row", "_cell"}
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in clash])
     table = Stored(docs.withColumn("_row", F.monotonically_increasing_id()))

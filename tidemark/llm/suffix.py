@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Stored, chunks, partitions, thrifty
+from tidemark.llm.common import Stored, chunks, partitions, small_batches, thrifty
 from tidemark.llm.induced import SEGMENT, Space, blocks, suffixes
 from tidemark.llm.kernels import U, mix, powers
 
@@ -385,6 +385,7 @@ ADDED = ("kept", "n_bytes", "n_removed", "n_spans", "spans")
 
 def deduplicate(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
     """docs with kept (bytes), n_bytes, n_removed, n_spans and spans (byte ranges that went)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in (*ADDED, "doc", "rowno", "parts")])
     numbered = docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))), "rowno": F.monotonically_increasing_id()})
     keyed = Stored(numbered).read()
