@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.shared import Stored, scratch, shared_dir, stored
 
-__all__ = ["Stored", "binary_rows", "chunks", "keep_columns", "lists", "partitions", "scratch", "shared_dir", "small_batches", "stored", "thrifty"]
+__all__ = ["Stored", "binary_rows", "chunks", "give_back", "keep_columns", "lists", "partitions", "scratch", "shared_dir", "small_batches", "stored", "thrifty"]
 
 
 def partitions(df: DataFrame) -> int:
@@ -48,8 +48,8 @@ def lists(flat: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, kind))
 
 
-def _give_back() -> None:
-    """What this worker has freed goes back to the system; allocators keep it otherwise while the worker waits for its next task."""
+def give_back() -> None:
+    """What this process has freed goes back to the system; allocators keep it otherwise, while a worker waits for its next task or the driver for its jobs."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -64,7 +64,7 @@ def thrifty(run):
         try:
             yield from run(batches)
         finally:
-            _give_back()
+            give_back()
 
     return wrapped
 

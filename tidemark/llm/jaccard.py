@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Stored, chunks, partitions, scratch, small_batches, thrifty
+from tidemark.llm.common import Stored, chunks, give_back, partitions, scratch, small_batches, thrifty
 from tidemark.llm.components import components
 from tidemark.llm.kernels import U, mix, shingles
 
@@ -118,7 +118,10 @@ def _hot(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     found = top.toArrow()
     gram = found.column("gram").to_numpy().view(np.uint64)
     order = np.argsort(gram)
-    return gram[order], found.column("count").to_numpy()[order]
+    out = gram[order], found.column("count").to_numpy()[order]
+    del found, gram, order
+    give_back()
+    return out
 
 
 def _postings(docs: DataFrame, hot, blocks: int) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import chunks, small_batches, thrifty
+from tidemark.llm.common import chunks, give_back, small_batches, thrifty
 from tidemark.llm.kernels import U, prefix, span_hash, words
 
 BITS = 22
@@ -155,7 +155,8 @@ def _sampled(docs: DataFrame, most: int, seed: int) -> list[np.ndarray]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
     keys = docs.select("doc_id", "t").distinct().orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "t").limit(most)
     rows = docs.join(F.broadcast(keys), ["doc_id", "t"], "left_semi").select("doc_id", "t", "text").mapInArrow(thrifty(find), "doc_id long, t long, p binary")
-    return [np.frombuffer(r["p"], np.int32) for r in rows.groupBy("doc_id", "t").agg(F.first("p").alias("p")).select("p").collect()]
+    found = rows.groupBy("doc_id", "t").agg(F.first("p").alias("p")).orderBy("doc_id", "t").select("p").toArrow().column("p")
+    return [np.frombuffer(p.as_buffer(), np.int32) for chunk in found.chunks for p in chunk]  # views on the table
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), seed: int = 3) -> Model:
@@ -165,7 +166,9 @@ def fit_model(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), seed: int =
     prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     pos = known.where("toxic = 1").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(fit.positives).select("doc_id")
     own = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    return train(_sampled(own.join(F.broadcast(pos), "doc_id", "left_semi"), fit.positives, seed), _sampled(own, fit.unlabelled, seed), prior, fit)
+    model = train(_sampled(own.join(F.broadcast(pos), "doc_id", "left_semi"), fit.positives, seed), _sampled(own, fit.unlabelled, seed), prior, fit)
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
