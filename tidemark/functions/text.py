@@ -112,8 +112,7 @@ def stop_words(language: str = "english") -> list[str]:
 def tokens(c: Column, stop: list[str]) -> Column:
     """Lower-case runs of two or more letters, less the stop words, in order."""
     found = F.regexp_extract_all(F.lower(F.regexp_replace(c, PLACEHOLDER, " ")), F.lit(r"[a-z][a-z]+"), F.lit(0))
-    listed = F.array(*[F.lit(w) for w in stop])
-    return F.filter(found, lambda w: ~F.array_contains(listed, w))
+    return F.filter(found, lambda w: ~w.isin(*stop)) if stop else found  # a set, not a list to go through
 
 
 def stem(w: Column) -> Column:

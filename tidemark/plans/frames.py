@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.shared import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the documents, their rows spread over all cores: files may come in fewer pieces than there are cores."""
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as dated, scored reviews: theme by type, sentiment by bands of the value, segments by the property."""
     k = F.get_json_object("props", "$.k").cast("int")
@@ -54,7 +61,7 @@ THEMES = """themes AS (SELECT theme_id, upper(theme_id[1]) || lower(theme_id[2:]
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as review texts; the source is the theme."""
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "doc_id", "text", "source", "lang").select(
         F.col("doc_id").alias("_pos"), F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("review_id"), "text", F.col("source").alias("theme_id"), F.col("lang").alias("platform"),
         F.lit(None).cast("string").alias("app_version"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("doc_id") % 10).cast("int"))).alias("created_at"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import parse, pii, text as tx
 from tidemark.functions.numbers import rounded, sql_rounded as r
 from tidemark.operators import clean, profile, scoring
-from tidemark.plans.frames import DOCS, docs, table
+from tidemark.plans.frames import DOCS, docs, table, texts
 
 QUERIES, ORACLES = {}, {}
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -35,7 +35,7 @@ def sql_tidied(x: str) -> str:
 
 @query("clean_tidy", f"SELECT doc_id, {sql_tidied('text')} AS tidy FROM documents")
 def clean_tidy(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.tidied(F.col("text")).alias("tidy"))
+    return texts(spark, sf, "doc_id", "text").select("doc_id", tx.tidied(F.col("text")).alias("tidy"))
 
 
 _RAW = "CASE WHEN doc_id % 97 = 0 THEN NULL WHEN doc_id % 89 = 0 THEN '   ' WHEN doc_id % 83 = 0 THEN '!!!' ELSE text END"
@@ -96,19 +96,19 @@ def clean_batch(spark, sf):
 
 @query("pii_redact")
 def pii_redact(spark, sf):
-    d = table(spark, sf, "documents").withColumn("p", pii.redacted("text"))
+    d = texts(spark, sf, "doc_id", "text").withColumn("p", pii.redacted("text"))
     return d.select("doc_id", F.col("p.text").alias("text"), F.aggregate(F.map_values("p.counts"), F.lit(0), lambda a, x: a + x).alias("n"))
 
 
 @query("pii_counts_by_type")
 def pii_counts_by_type(spark, sf):
-    return pii.counts_by_type(table(spark, sf, "documents").select(pii.redacted("text").alias("p")).select("p.counts"))
+    return pii.counts_by_type(texts(spark, sf, "text").select(pii.redacted("text").alias("p")).select("p.counts"))
 
 
 @query("pii_idempotent", "SELECT count(*) AS n, 0::BIGINT AS changed FROM documents")
 def pii_idempotent(spark, sf):
     """Redacted texts that a second redaction would change, and leaks found in them."""
-    d = table(spark, sf, "documents").select("doc_id", pii.redacted("text")["text"].alias("once"))
+    d = texts(spark, sf, "doc_id", "text").select("doc_id", pii.redacted("text")["text"].alias("once"))
     d = d.withColumn("twice", pii.safe_text("once"))
     return d.agg(F.count("*").alias("n"), F.count_if(F.col("once") != F.col("twice")).alias("changed"))
 
@@ -121,7 +121,7 @@ _LEAK_SQL = r"""list_filter([CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[
 def leak_scan(spark, sf):
     """The patterns that need no look-around, so that SQL can say the same."""
     hits = F.filter(pii.leak_hits(F.col("text")), lambda h: h.isin("email", "url", "prefixed_id"))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(hits, ",").alias("hits"))
+    return texts(spark, sf, "doc_id", "text").select("doc_id", F.array_join(hits, ",").alias("hits"))
 
 
 _DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
@@ -136,12 +136,12 @@ _ALL_LEAKS = r"""list_filter([CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@
 
 @query("leak_scan_full", f"SELECT doc_id, array_to_string({_ALL_LEAKS}, ',') AS hits FROM documents")
 def leak_scan_full(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.array_join(pii.leak_hits(F.col("text")), ",").alias("hits"))
+    return texts(spark, sf, "doc_id", "text").select("doc_id", F.array_join(pii.leak_hits(F.col("text")), ",").alias("hits"))
 
 
 @query("leak_tally", f"SELECT pattern, count(*) AS n FROM (SELECT unnest({_ALL_LEAKS}) AS pattern FROM documents) GROUP BY 1")
 def leak_tally(spark, sf):
-    return pii.leak_tally(table(spark, sf, "documents"), "text")
+    return pii.leak_tally(texts(spark, sf, "text"), "text")
 
 
 @query("text_repair")
@@ -152,7 +152,7 @@ def text_repair(spark, sf):
 @query("text_variants")
 def text_variants(spark, sf):
     """Preprocessing variants of each text, by name; raw ones are for reference only."""
-    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("raw"), tx.repaired(F.col("text")).alias("fixed"), tx.unrepaired(F.col("text")).alias("plain"))
+    d = texts(spark, sf, "doc_id", "text").select("doc_id", F.col("text").alias("raw"), tx.repaired(F.col("text")).alias("fixed"), tx.unrepaired(F.col("text")).alias("plain"))
     d = d.withColumns({"red": pii.redacted("fixed")["text"], "plain_red": pii.redacted("plain")["text"]})
     cur = tx.tidied(F.col("red"))
     variants = {
@@ -175,7 +175,7 @@ _NOT = ", ".join(f"'{w}'" for w in "not no never none nobody nothing neither nor
 
 @query("negation_counts", f"SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(text), '[\\pL\\pM\\pN\\p{{Pc}}]+'), lambda x: x IN ({_NOT}))) + len(regexp_extract_all(lower(text), '[\\pL\\pM\\pN\\p{{Pc}}]+n''t')) AS INTEGER) AS n FROM documents")
 def negation_counts(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.negations(F.col("text")).alias("n"))
+    return texts(spark, sf, "doc_id", "text").select("doc_id", tx.negations(F.col("text")).alias("n"))
 
 
 @query("placeholder_strip", r"SELECT doc_id, CASE WHEN s = '' THEN t ELSE s END AS stripped FROM (SELECT doc_id, t, trim(regexp_replace(regexp_replace(t, '\[(?:EMAIL|URL|PHONE|USER)\]', ' ', 'g'), '\s+', ' ', 'g')) AS s FROM (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN '[USER]' ELSE '[URL] ' || lang || ' [EMAIL]  x' END AS t FROM documents))")
@@ -234,7 +234,7 @@ _MOD = "list_reduce(list_transform(str_split(sha256(lower(regexp_replace(text, '
 
 @query("hash_split_sha256", f"SELECT doc_id, CASE WHEN v < 80 THEN 'train' WHEN v < 90 THEN 'val' ELSE 'test' END AS split FROM (SELECT doc_id, {_MOD} AS v FROM documents)")
 def hash_split_sha256(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", parse.split_by_sha(F.col("text")).alias("split"))
+    return texts(spark, sf, "doc_id", "text").select("doc_id", parse.split_by_sha(F.col("text")).alias("split"))
 
 
 _SPLIT3 = "CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END"
@@ -260,7 +260,7 @@ def split_overlap_by_text(spark, sf):
 
 @query("hash_split_blake")
 def hash_split_blake(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", parse.split_by_blake()(tx.group_key(F.col("text"))).alias("split"))
+    return texts(spark, sf, "doc_id", "text").select("doc_id", parse.split_by_blake()(tx.group_key(F.col("text"))).alias("split"))
 
 
 @query("pseudonymise", "SELECT c_custkey, 'user_' || substr(sha256(c_name), 1, 10) AS who FROM customer")
@@ -284,7 +284,7 @@ _L = "length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))"
     count(*) FILTER (WHERE contains(text, 'http://') OR contains(text, 'https://') OR contains(text, 'www.')) AS url_rows, count(*) FILTER (WHERE contains(text, '@')) AS mention_rows FROM documents""",
 )
 def profile_text(spark, sf):
-    return profile.text_profile(table(spark, sf, "documents"), "text")
+    return profile.text_profile(texts(spark, sf, "text"), "text")
 
 
 @query("profile_months", "SELECT strftime(ts, '%Y-%m') AS month, count(*) AS n FROM events GROUP BY 1")
@@ -354,5 +354,5 @@ _COUNT = {n: f"exp(least(len(list_filter(ws, lambda w: list_contains({known}, w)
     SELECT doc_id, {r("x", 4)} AS p_negative, {r("y", 4)} AS p_neutral, {r("z", 4)} AS p_positive, CASE WHEN x >= y AND x >= z THEN 'negative' WHEN y >= z THEN 'neutral' ELSE 'positive' END AS sentiment, {r("greatest(x, y, z)", 4)} AS confidence FROM p""",
 )
 def lexicon_scores(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = texts(spark, sf, "doc_id", "text").select("doc_id", "text")
     return scoring.distinct_scored(d, "text", scoring.lexicon).drop("text")

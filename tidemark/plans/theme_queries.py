@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.functions.numbers import rounded, sql_rounded as r
 from tidemark.operators import audit, brief, evaluate, radar, themes as th, views
-from tidemark.plans.frames import DOCS, REVIEWS, THEMES, docs, reviews, table, themes
+from tidemark.plans.frames import DOCS, REVIEWS, THEMES, docs, reviews, table, texts, themes
 from tidemark.plans.radar_queries import DECIDED, PLACED
 
 QUERIES, ORACLES = {}, {}
@@ -147,7 +147,7 @@ _STEM = "CASE WHEN x LIKE '%ing' AND length(x) > 6 THEN left(x, -3) WHEN x LIKE
 
 @query("doc_frequency", f"WITH {_WORDS}, s AS (SELECT DISTINCT doc_id, {_STEM} AS stem FROM (SELECT doc_id, unnest(ws) AS x FROM w)) SELECT stem, count(*) AS df FROM s GROUP BY 1")
 def doc_frequency(spark, sf):
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf, "doc_id", "text")
     words = d.select("doc_id", F.explode(F.array_distinct(F.transform(tx.tokens(F.col("text"), tx.DOMAIN_STOPWORDS), tx.stem))).alias("stem"))
     return words.groupBy("stem").agg(F.count("*").alias("df"))
 
@@ -161,13 +161,13 @@ def doc_frequency(spark, sf):
     SELECT lang, term, score FROM z QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, term) <= 24""",
 )
 def ctfidf_terms(spark, sf):
-    s = th.ctfidf(table(spark, sf, "documents"), "lang", "text", tx.DOMAIN_STOPWORDS).withColumn("score", rounded(F.col("score"), 9))
+    s = th.ctfidf(texts(spark, sf, "doc_id", "lang", "text"), "lang", "text", tx.DOMAIN_STOPWORDS).withColumn("score", rounded(F.col("score"), 9))
     return s.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), "term"))).where("k <= 24").drop("k")
 
 
 @query("keywords")
 def keywords(spark, sf):
-    return th.keywords(th.ctfidf(table(spark, sf, "documents"), "lang", "text", tx.stop_words()), "lang")
+    return th.keywords(th.ctfidf(texts(spark, sf, "doc_id", "lang", "text"), "lang", "text", tx.stop_words()), "lang")
 
 
 @query(
@@ -177,12 +177,12 @@ def keywords(spark, sf):
     SELECT lang, stem, {r("cov", 6)} AS cov, {r("score", 6)} AS score FROM z WHERE cov >= 0.10""",
 )
 def coverage_stems(spark, sf):
-    return th.coverage(table(spark, sf, "documents"), "lang", "doc_id", "text", tx.DOMAIN_STOPWORDS).select("lang", "stem", rounded(F.col("cov"), 6).alias("cov"), rounded(F.col("score"), 6).alias("score"))
+    return th.coverage(texts(spark, sf, "doc_id", "lang", "text"), "lang", "doc_id", "text", tx.DOMAIN_STOPWORDS).select("lang", "stem", rounded(F.col("cov"), 6).alias("cov"), rounded(F.col("score"), 6).alias("score"))
 
 
 @query("coverage_names")
 def coverage_names(spark, sf):
-    return th.names(table(spark, sf, "documents"), "lang", "doc_id", "text", tx.stop_words())
+    return th.names(texts(spark, sf, "doc_id", "lang", "text"), "lang", "doc_id", "text", tx.stop_words())
 
 
 @query(
@@ -197,7 +197,7 @@ def coverage_names(spark, sf):
 )
 def coverage_domain_names(spark, sf):
     """Names of themes, with the domain's stop words only."""
-    return th.names(table(spark, sf, "documents"), "lang", "doc_id", "text", tx.DOMAIN_STOPWORDS)
+    return th.names(texts(spark, sf, "doc_id", "lang", "text"), "lang", "doc_id", "text", tx.DOMAIN_STOPWORDS)
 
 
 # --- evaluation ------------------------------------------------------------------------------------------------------

@@ -70,3 +70,9 @@ class Stored:
 
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return Stored(df, codec).read()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as the session has cores, for work on whole texts. A table that has as many already is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
