@@ -46,3 +46,49 @@ def test_near_duplicates_of_null_ids_and_repeated_rows(spark):
 def jac(p, q):
     x, y = shingle_set(p), shingle_set(q)
     return len(x & y) / len(x | y)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def tables(spark, folder, rows, labels=(), items=()):
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_empty_tables(spark, tmp_path):
+    tables(spark, tmp_path, [])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and set(docs.columns) <= set(out.columns), name
+    assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_nulls_in_every_column(spark, tmp_path):
+    rng = random.Random(14)
+    texts = [prose(rng, 40) for _ in range(30)]
+    rows = [(i if i % 3 else None, t, "en" if i % 4 else None, "ab"[i % 2] if i % 5 else None, 1 if i % 2 else None) for i, t in enumerate(texts)]
+    rows += [(None, None, None, None, None), (100, "", None, "a", 0), (101, " \n", "en", None, 2), (101, texts[4] + " x", "en", "b", 2), (None, texts[5], "en", "a", 2)]
+    tables(spark, tmp_path, rows, [(None, None, None), (1, None, 1), (2, 1, None), (2, 0, 0)], [(None, None), (None, texts[7]), (3, " "), (4, "no such words")])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = cp.drop_toxic(spark, docs, str(tmp_path))
+    assert kept.count() == len(rows)  # too few labels to learn from
+    single = cp.drop_near_duplicates(spark, kept, str(tmp_path))
+    assert single.count() == len(rows) - 2
+    pure = cp.drop_benchmark(spark, single, str(tmp_path))
+    assert pure.count() == len(rows) - 3 and texts[7] not in [r.text for r in pure.collect()]
+    mixed = cp.mix_sources(spark, pure, str(tmp_path))
+    out = cp.shard(spark, mixed, str(tmp_path))
+    assert mixed.columns == docs.columns and out.count() == mixed.count() > 0
+
+
+def test_stages_keep_columns_with_clashing_names(spark, tmp_path):
+    rng = random.Random(15)
+    tables(spark, tmp_path, [(i, prose(rng, 30), "en", "a", 1) for i in range(10)], [(1, 1, 0)], [(1, "other words")])
+    extra = {"score": 1, "Leaks": 2, "rowno": 3, "kept": 4, "copy": 5, "Shard": 6, "component_id": 7, "t": 8, "cdf": 9}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumns({k: F.lit(v) for k, v in extra.items()})
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() > 0, name
