@@ -305,3 +305,17 @@ def test_template_says_what_there_is():
     assert got["caveats"][2].startswith("This batch is synthetic") and got["caveats"][3].endswith("accuracy 96.2%, macro recall 92.1%.")
     bare = brief.template({**sheet, "emerging": [{**issue, "status": "NEW", "associations": None, "calculation": None}], "overview": {}, "drift": {}, "synthetic": False, "scores": {}})
     assert "Payment (new: 90 mentions vs 0)" in bare["executive_summary"] and bare["possible_associations"][0].startswith("No segment") and len(bare["caveats"]) == 2
+
+
+def test_synthetic_volumes_follow_their_plan(spark):
+    import numpy as np
+
+    df = synthetic.generate(spark).where("gt_theme != 'invalid'")
+    assert df.select("gt_theme").distinct().count() == len(synthetic.THEMES) == 16
+    by = {(r.gt_theme, r.late): r["count"] for r in df.groupBy("gt_theme", (F.col("created_at") >= "2026-08-10").alias("late")).count().collect()}
+    assert ("payment_failure", False) not in by and by["payment_failure", True] > 60  # planted in the last two weeks
+    assert by["login_problems", True] < by["login_problems", False] / 5 and 3500 < df.count() < 5000
+    u = [(k + 0.5) / 4000 for k in range(4000)]
+    n = np.array([r.n for r in spark.createDataFrame([(x,) for x in u], "u double").select(synthetic.poisson(F.lit(7.5), F.col("u")).alias("n")).collect()])
+    assert abs(n.mean() - 7.5) < 0.02 and abs(n.var() - 7.5) < 0.1
+    assert {r.n for r in spark.createDataFrame([(0.4,)], "u double").select(synthetic.poisson(F.lit(0.0), F.col("u")).alias("n")).collect()} == {0}
