@@ -2,7 +2,9 @@
 
 import numpy as np
 
+from tidemark.operators import evaluate
 from tidemark.operators import themes as th
+from tidemark.plans.batch import run_batch
 
 
 def planted(rng, sizes, noise, dims=6):
@@ -38,3 +40,12 @@ def test_tree_is_that_of_all_pairs():
     want = {(int(i[k]), int(j[k])) for k in th.forest(i, j, w)}
     a, b, _ = th.spanning_tree(x, core)
     assert len(want) == len(x) - 1 and {(int(p), int(q)) for p, q in zip(a, b)} == want
+
+
+def test_the_batch_finds_what_was_planted(spark):
+    tables = run_batch(spark, "synthetic")
+    reviews = tables["reviews"]
+    found = {r.planted: (r.observed_status, r.detected) for r in evaluate.radar_recall(tables["issues"], reviews).collect()}
+    assert set(found) == set(evaluate.PLANTED) and sum(ok for _, ok in found.values()) >= 4 and found["payment_failure"] == ("NEW", True), found
+    assert evaluate.theme_recovery(reviews, "gt_theme", "theme_id").first().theme_recall >= 0.9
+    assert tables["reports"].where("key = 'traceability'").first().data.count("PASS") == 1
