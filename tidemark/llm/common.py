@@ -6,12 +6,14 @@ import ctypes
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.shared import Stored, scratch, shared_dir, stored
 
-__all__ = ["Stored", "binary_rows", "chunks", "give_back", "keep_columns", "lists", "partitions", "scratch", "shared_dir", "small_batches", "stored", "thrifty"]
+__all__ = ["Stored", "binary_rows", "chunks", "give_back", "in_order", "keep_columns", "lists", "partitions", "scratch", "shared_dir", "small_batches", "stored", "thrifty"]
 
 
 def partitions(df: DataFrame) -> int:
@@ -84,3 +86,20 @@ def small_batches(spark: SparkSession) -> None:
 def keep_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, under exactly these names (lookups ignore case; extra columns go)."""
     return df.select(*[F.col(f"`{n}`").alias(n) for n in names])
+
+
+def in_order(df: DataFrame, *order) -> DataFrame:
+    """df, stored, with _at: its place (from 0) in the given order over all rows. Ranges of rows are sorted each in a task; one count for each is all that is collected."""
+
+    def number(batches):
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(batch), part, np.int64)), pa.array(np.arange(at, at + len(batch)))], [*batch.schema.names, "_part", "_in"])
+            at += len(batch)
+
+    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.LongType()), T.StructField("_in", T.LongType())])
+    placed = Stored(df.repartitionByRange(partitions(df), *order).sortWithinPartitions(*order).mapInArrow(number, schema)).read()
+    counts = sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a partition
+    before = np.cumsum([0, *(n for _, n in counts)]).tolist()
+    starts = df.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(counts, before)], "_part long, _before long")
+    return placed.join(F.broadcast(starts), "_part").withColumn("_at", F.col("_before") + F.col("_in")).drop("_part", "_before", "_in")

@@ -6,6 +6,8 @@ Hashes are 64 bit: a polynomial over seeded per-byte values, then mixed.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 
 U = np.uint64
@@ -64,11 +66,15 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) of every word; rows are data[offsets[i]:offsets[i + 1]]."""
-    n = len(data)
+    return runs(~SPACE[data], offsets)
+
+
+def runs(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of every maximal run of solid bytes inside a row."""
+    n = len(solid)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    solid = ~SPACE[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     before = np.empty(n, bool)
@@ -82,6 +88,38 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+CRC_LONG = 64
+
+
+def _crc_table() -> np.ndarray:
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & np.uint32(1), np.uint32(0xEDB88320) ^ (c >> np.uint32(1)), c >> np.uint32(1))
+    return c
+
+
+CRC = _crc_table()
+
+
+def crc32(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """Unsigned CRC-32 of data[start:end] for each pair; `before`: the CRC of what comes ahead of each."""
+    size = ends - starts
+    out = np.zeros(len(starts), np.uint32) if before is None else before.astype(np.uint32)
+    order = np.argsort(-np.minimum(size, CRC_LONG + 1), kind="stable")
+    own, at, size_of = ~out[order], starts[order], size[order]
+    own_long = int(np.searchsorted(-size_of, -CRC_LONG, "left")) if len(order) else 0
+    for k in range(own_long):  # long ones, each for itself
+        own[k] = ~np.uint32(zlib.crc32(data[at[k] : at[k] + size_of[k]], int(~own[k])))
+    size_of[:own_long] = 0
+    short, at = own[own_long:], at[own_long:]
+    falling = -size_of[own_long:]
+    for j in range(int(-falling[0]) if len(falling) else 0):
+        k = int(np.searchsorted(falling, -j, "left"))
+        short[:k] = CRC[(short[:k] ^ data[at[:k] + j]) & np.uint32(255)] ^ (short[:k] >> np.uint32(8))
+    out[order] = ~own
+    return out
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of each run of `width` words, in text order; a shorter text has one, of all its words."""
     starts, ends, row = words(data, offsets)
