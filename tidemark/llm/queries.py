@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat, containment, jaccard, knn, mixing, resample, shards, spelling, suffix, toxicity, units, urls
+from tidemark.llm import chat, containment, extract, jaccard, knn, mixing, resample, shards, spelling, suffix, toxicity, units, urls
 
-MODULES = (chat, containment, jaccard, knn, mixing, resample, shards, spelling, suffix, toxicity, units, urls)
+MODULES = (chat, containment, extract, jaccard, knn, mixing, resample, shards, spelling, suffix, toxicity, units, urls)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _module in MODULES:
