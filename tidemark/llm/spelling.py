@@ -114,6 +114,8 @@ def _keys() -> list[list[int]]:
 
 
 KEYS = _keys()
+#: What a key leaves open: four parts with two flips at most, so one of these three is alike again. Tasks sort by it inside a key.
+REST = [[[a], [b], [c, d]] for a, b, c, d in ([p for p in range(PARTS) if p not in key] for key in KEYS)]
 
 
 def near(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
@@ -144,7 +146,14 @@ class _Group:
         packed = np.packbits(masks(self.codes, self.offsets), axis=1)
         wide = np.zeros((len(flat), -(-packed.shape[1] // 8) * 8), np.uint8)
         wide[:, : packed.shape[1]] = packed
-        self.mask = wide.view(np.uint64)
+        self.mask = [np.ascontiguousarray(m) for m in wide.view(np.uint64).T]
+        # one edit leaves as many letters alike at one end as half the shortest word has; up to three are compared before whole words are
+        k = min(3, int(self.size.min()) // 2) if len(flat) else 0
+        ahead, behind = np.zeros(len(flat), np.int32), np.zeros(len(flat), np.int32)
+        for i in range(k):
+            ahead = ahead << 8 | self.codes[self.offsets[:-1] + i]
+            behind = behind << 8 | self.codes[self.offsets[1:] - 1 - i]
+        self.ends = ahead.astype(np.int32), behind.astype(np.int32)
         self.parts = np.stack([table.column(f"p{i}").to_numpy() for i in range(PARTS)])
         self.n = table.column("n").to_numpy()
 
@@ -156,18 +165,17 @@ class _Group:
         out[row, within] = self.codes[np.repeat(self.offsets[at], size) + within]
         return out
 
-    def found(self, x: np.ndarray, y: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of the candidates (x, y) the near ones whose first common key is `key`."""
-        gap = self.size[y] - self.size[x]
-        ok = np.abs(gap) <= 1
-        x, y = x[ok], y[ok]
-        flips = np.bitwise_count(self.mask[x] ^ self.mask[y]).sum(1)
+    def found(self, x: np.ndarray, y: np.ndarray, key: int, rest: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the candidates (x, y), one apart in length at most, the near ones whose first common key is `key` and its first common rest `rest`."""
+        flips = sum(np.bitwise_count(m[x] ^ m[y]) for m in self.mask)
         ok = flips <= 2
         x, y = x[ok], y[ok]
+        ok = np.logical_or(*(e[x] == e[y] for e in self.ends))
+        x, y = x[ok], y[ok]
         swap = self.size[x] > self.size[y]
         x, y = np.where(swap, y, x), np.where(swap, x, y)
         alike = self.parts[:, x] == self.parts[:, y]
-        for earlier in KEYS[:key]:
+        for earlier in [*KEYS[:key], *([*KEYS[key], *r] for r in REST[key][:rest])]:
             fresh = ~alike[earlier].all(0)
             x, y, alike = x[fresh], y[fresh], alike[:, fresh]
         keep = [np.zeros(0, np.int64)]
@@ -185,19 +193,19 @@ class _Group:
         return x[own], y[own]
 
 
-def _within(starts: np.ndarray, ends: np.ndarray):
-    """Yield (x, y), x before y, of all pairs inside runs of rows, about PAIRS_AT_ONCE at once."""
-    row = np.concatenate([np.arange(a, b) for a, b in zip(starts, ends)]) if len(starts) else np.zeros(0, np.int64)
-    after = np.repeat(ends, ends - starts) - row - 1
+def _ahead(stop: np.ndarray):
+    """Yield (x, y) for all rows x and y with x < y < stop[x], about PAIRS_AT_ONCE at once."""
+    row = np.arange(len(stop), dtype=np.int32)
+    after = stop - row - 1
     total = np.cumsum(after)
     k = 0
     while k < len(row):
-        stop = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + PAIRS_AT_ONCE, "right")))
-        own, many = row[k:stop], after[k:stop]
+        done = int(np.searchsorted(total, (total[k - 1] if k else 0) + PAIRS_AT_ONCE, "right"))
+        own, many = row[k : max(k + 1, done)], after[k : max(k + 1, done)]
         x = np.repeat(own, many)
-        y = x + 1 + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        yield x, y
-        k = stop
+        first = np.repeat((own + 1 - (np.cumsum(many) - many)).astype(np.int32), many)
+        yield x, first + np.arange(len(x), dtype=np.int32)
+        k += len(own)
 
 
 def _search(batches):
@@ -205,21 +213,25 @@ def _search(batches):
 
     def pairs(table: pa.RecordBatch):
         group = _Group(table)
-        order = np.lexsort((group.size, table.column("block_b").to_numpy(), table.column("block_a").to_numpy(), table.column("hash").to_numpy(), table.column("key").to_numpy()))
-        cols = [table.column(c).to_numpy()[order] for c in ("key", "hash", "block_a", "block_b")]
-        fresh = np.flatnonzero(np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols])))
-        ends = np.append(fresh[1:], len(order))
-        block = table.column("block").to_numpy()
-        a, b = table.column("block_a").to_numpy(), table.column("block_b").to_numpy()
-        for key in range(len(KEYS)):
-            own = (cols[0][fresh] == key) & (ends - fresh > 1)
-            for x, y in _within(fresh[own], ends[own]):
-                x, y = order[x], order[y]
-                new = (a[x] == b[x]) | (block[x] != block[y])  # a pair inside one of two blocks is that block's own
-                x, y = group.found(x[new], y[new], key)
-                if len(x):
-                    take = lambda v, i: v.take(pa.array(i))
-                    yield pa.RecordBatch.from_arrays([take(group.words, np.append(x, y)), pa.array(np.append(group.n[x], group.n[y])), take(group.words, np.append(y, x)), pa.array(np.append(group.n[y], group.n[x]))], ["word", "n", "near", "near_n"])
+        cols = [table.column(c).to_numpy() for c in ("key", "hash", "block_a", "block_b")]
+        met = np.cumsum(np.append(False, np.logical_or.reduce([c[1:] != c[:-1] for c in cols])))  # rows come sorted
+        block, a, b = (table.column(c).to_numpy() for c in ("block", "block_a", "block_b"))
+        take = lambda v, i: v.take(pa.array(i))
+        for key in np.unique(cols[0]):
+            own = np.flatnonzero(cols[0] == key)
+            for rest, parts in enumerate(REST[key]):
+                alike = np.unique(group.parts[parts][:, own], axis=1, return_inverse=True)[1].ravel()
+                order = own[np.lexsort((group.size[own], alike, met[own]))]
+                run = met[own] * (int(alike.max()) + 1) + alike
+                by_size = np.sort(run * (int(group.size[own].max()) + 3) + group.size[own])
+                for x, y in _ahead(np.searchsorted(by_size, by_size + 1, "right")):
+                    x, y = order[x], order[y]
+                    if b[own].any():
+                        new = (a[x] == b[x]) | (block[x] != block[y])  # a pair inside one of two blocks is that block's own
+                        x, y = x[new], y[new]
+                    x, y = group.found(x, y, key, rest)
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([take(group.words, np.append(x, y)), pa.array(np.append(group.n[x], group.n[y])), take(group.words, np.append(y, x)), pa.array(np.append(group.n[y], group.n[x]))], ["word", "n", "near", "near_n"])
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
