@@ -1,7 +1,8 @@
-"""Density clusters found over pairs of blocks are those found in one matrix."""
+"""Density clusters found over cells of rows are those found in one matrix."""
 
 import numpy as np
 
+from tidemark.operators import density as dn
 from tidemark.operators import evaluate
 from tidemark.operators import themes as th
 from tidemark.plans.batch import run_batch
@@ -22,23 +23,23 @@ def test_no_size_changes_the_clusters(spark):
     rng = np.random.default_rng(3)
     x = planted(rng, [60, 45, 30] + [20] * 12, 60)
     df = spark.createDataFrame([(int(i) * 7, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
-    one, many = (th.micro_clusters(df, p=th.Params(exact_density_most=most, block_rows=80)).orderBy("vec_id").collect() for most in (5000, 10))
+    one, many = (th.micro_clusters(df, p=th.Params(exact_density_most=most, cells=dn.Cells(rows=40, queries=60, top=100))).orderBy("vec_id").collect() for most in (5000, 10))
     a, b = [r.micro for r in one], [r.micro for r in many]
-    assert [r.vec_id for r in one] == [r.vec_id for r in many] and same_groups(a, b)
+    assert [r.vec_id for r in one] == [r.vec_id for r in many] and same_groups(a, b) and a == b
     assert len(set(a) - {-1}) >= 14  # small themes stay apart
-    assert min(a.count(c) for c in set(a) - {-1}) >= th.min_cluster_size(len(x))
+    assert min(a.count(c) for c in set(a) - {-1}) >= dn.min_cluster_size(len(x))
 
 
 def test_tree_is_that_of_all_pairs():
     rng = np.random.default_rng(5)
     x = rng.integers(0, 4, (70, 3)).astype(float)
-    core = th.core_distances(x, 3)[:, -1]
+    core = dn.core_distances(x, 3)[:, -1]
     d = ((x[:, None] - x[None]) ** 2).sum(2)
     assert np.array_equal(core, np.sort(d, 1)[:, 3])
     i, j = np.triu_indices(len(x), 1)
     w = np.maximum(d[i, j], np.maximum(core[i], core[j]))
-    want = {(int(i[k]), int(j[k])) for k in th.forest(i, j, w)}
-    a, b, _ = th.spanning_tree(x, core)
+    want = {(int(i[k]), int(j[k])) for k in dn.forest(i, j, w)}
+    a, b, _ = dn.spanning_tree(x, core)
     assert len(want) == len(x) - 1 and {(int(p), int(q)) for p, q in zip(a, b)} == want
 
 

@@ -9,7 +9,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import text as tx
-from tidemark.functions.graph import labelled
 from tidemark.functions.numbers import rounded
+from tidemark.operators.density import Cells, density_labels, min_cluster_size, min_samples, tree_edges, tree_labels
 from tidemark.shared import Stored
 
 
@@ -31,7 +30,7 @@ class Params:
     n_keywords: int = 8
     n_representatives: int = 5
     exact_density_most: int = 5000
-    block_rows: int = 2500
+    cells: Cells = Cells()
     seed: int = 42
 
 
@@ -79,233 +78,27 @@ def reduced(df: DataFrame, vector: str, k: int) -> DataFrame:
     return model.transform(out).withColumn("reduced", vector_to_array("_p")).drop("_v", "_c", "_p")
 
 
-def min_cluster_size(n: int) -> int:
-    return int(min(40, max(3, round(0.01 * n))))
-
-
-def min_samples(n: int) -> int:
-    return min(int(min(10, max(3, round(n / 1000)))), min_cluster_size(n))
-
-
-def _squares(xt: np.ndarray, at: int) -> np.ndarray:
-    """Squared distances of all columns from one, added up dimension by dimension, so a pair's is the same in any block."""
-    return ((xt - xt[:, at : at + 1]) ** 2).sum(0)
-
-
-def core_distances(x: np.ndarray, samples: int, others: np.ndarray | None = None) -> np.ndarray:
-    """Squared distances of each row to its nearest (samples + 1) among others (default: the rows themselves), sorted, inf where there are fewer."""
-    xt = np.ascontiguousarray((x if others is None else others).T)
-    out = np.full((len(x), samples + 1), np.inf)
-    for i in range(len(x)):
-        d = ((xt - x[i][:, None]) ** 2).sum(0)
-        near = np.sort(np.partition(d, samples)[: samples + 1]) if len(d) > samples + 1 else np.sort(d)
-        out[i, : len(near)] = near
-    return out
-
-
-def spanning_tree(x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, squared reach) of the spanning tree of mutual reachability, squared; equal reaches rank by their rows (a < b), so the tree is unique."""
-    n, xt = len(x), np.ascontiguousarray(x.T)
-    place, best, code = np.arange(n), np.full(n, np.inf), np.full(n, n * n, np.int64)
-    outside, at = np.ones(n, bool), 0
-    a, b, w = np.empty(max(0, n - 1), np.int64), np.empty(max(0, n - 1), np.int64), np.empty(max(0, n - 1))
-    for k in range(n - 1):
-        outside[at] = False
-        reach = np.maximum(_squares(xt, at), np.maximum(core, core[at]))
-        pair = np.minimum(place, at) * n + np.maximum(place, at)
-        closer = (reach < best) | ((reach == best) & (pair < code))
-        best = np.where(closer, reach, best)
-        code = np.where(closer, pair, code)
-        open_ = np.flatnonzero(outside)
-        own = best[open_]
-        ties = open_[own == own.min()]
-        at = int(ties[np.argmin(code[ties])])
-        a[k], b[k], w[k] = code[at] // n, code[at] % n, best[at]
-    return a, b, w
-
-
-def forest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Places of the edges of the spanning forest, in the order (w, a, b), by rounds of each component's least edge."""
-    order = np.lexsort((b, a, w))
-    _, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
-    u, v = ends[: len(a)][order], ends[len(a) :][order]
-    comp, chosen = np.arange(int(ends.max()) + 1 if len(ends) else 0), np.zeros(len(a), bool)
-    live = np.flatnonzero(comp[u] != comp[v])
-    while len(live):
-        least = np.full(len(comp), len(a))
-        np.minimum.at(least, comp[u[live]], live)
-        np.minimum.at(least, comp[v[live]], live)
-        fresh = np.unique(least[least < len(a)])
-        chosen[fresh] = True
-        nodes, label = labelled(comp[u[fresh]], comp[v[fresh]])
-        onto = np.arange(len(comp))
-        onto[nodes] = label
-        comp = onto[comp]
-        live = live[comp[u[live]] != comp[v[live]]]
-    return order[chosen]
-
-
-def density_labels(x: np.ndarray, size: int, samples: int) -> np.ndarray:
-    """Density clusters of a small matrix: mutual-reachability spanning tree, condensed at `size`, most stable clusters; -1 is noise."""
-    n = len(x)
-    if n < 2 * size:
-        return np.full(n, -1)
-    return condensed(n, *spanning_tree(x, core_distances(x, min(samples, n - 1))[:, -1]), size)
-
-
-def condensed(n: int, a: np.ndarray, b: np.ndarray, squared: np.ndarray, size: int) -> np.ndarray:
-    """Labels of n rows from their spanning tree."""
-    order = np.lexsort((b, a, squared))
-    edges = zip(np.sqrt(squared[order]).tolist(), a[order].tolist(), b[order].tolist())
-    # single linkage: node -> (left, right, distance, members)
-    top = list(range(n))
-    link: dict[int, tuple[int, int, float]] = {}
-    count = {i: 1 for i in range(n)}
-
-    def root(i: int) -> int:
-        while top[i] != i:
-            top[i] = top[top[i]]
-            i = top[i]
-        return i
-
-    for w, a, b in edges:
-        new = len(top)
-        top.append(new)
-        ra, rb = root(a), root(b)
-        top[ra] = top[rb] = new
-        link[new], count[new] = (ra, rb, w), count[ra] + count[rb]
-    leaves = lambda node: _leaves(node, link)
-    stability: dict[int, float] = {}
-    children: dict[int, list[int]] = {}
-    born: dict[int, float] = {}
-    members: dict[int, list[int]] = {}
-
-    def grow(node: int, birth: float) -> int:
-        """Follow a cluster down from where it is born until it splits or ends."""
-        name, total, cur = node, 0.0, node
-        born[name], members[name], children[name] = birth, leaves(node), []
-        while cur in link:
-            a, b, w = link[cur]
-            lam = 1.0 / max(w, 1e-12)
-            big = [c for c in (a, b) if count[c] >= size]
-            small = [c for c in (a, b) if count[c] < size]
-            total += sum(count[c] for c in small) * (lam - birth)
-            if len(big) == 2:
-                total += (count[a] + count[b]) * (lam - birth)
-                stack.extend((c, lam, name) for c in big)
-                break
-            if not big:
-                break
-            cur = big[0]
-        stability[name] = total
-        return name
-
-    stack: list[tuple[int, float, int | None]] = [(len(top) - 1, 0.0, None)]
-    order = []
-    while stack:
-        node, birth, up = stack.pop()
-        grow(node, birth)
-        order.append(node)
-        if up is not None:
-            children[up].append(node)
-    chosen: dict[int, bool] = {}
-    for node in reversed(order):
-        below = sum(stability[c] for c in children[node])
-        chosen[node] = not children[node] or stability[node] >= below
-        if children[node] and not chosen[node]:
-            stability[node] = below
-    labels, next_label, todo = np.full(n, -1), 0, list(children[order[0]]) or [order[0]]
-    while todo:
-        node = todo.pop()
-        if chosen[node]:
-            labels[members[node]] = next_label
-            next_label += 1
-        else:
-            todo.extend(children[node])
-    return labels
-
-
-def _leaves(node: int, link: dict) -> list[int]:
-    out, stack = [], [node]
-    while stack:
-        x = stack.pop()
-        if x in link:
-            stack.extend(link[x][:2])
-        else:
-            out.append(x)
-    return out
-
-
 def micro_clusters(df: DataFrame, vector: str = "embedding", key: str = "vec_id", p: Params = Params()) -> DataFrame:
-    """(key, micro): density clusters on principal components, -1 noise; exact at every size.
+    """(key, micro): density clusters on principal components, -1 noise; exact at every size. A label is a number from 0 in the order of the clusters' least keys.
 
-    Up to `exact_density_most` rows the driver finds them; beyond, tasks do over pairs of blocks of rows, with the same labels.
+    Up to `exact_density_most` rows the driver finds them; beyond, tasks do over cells of rows, with the same labels.
     """
     n = df.count()
     if n == 0:
         return df.select(key).withColumn("micro", F.lit(-1))
     dims = len(df.select(vector).first()[0])
     low = reduced(df, vector, min(p.pca_components, dims, max(2, n - 1)))
-    size = min_cluster_size(n)
+    size, samples = min_cluster_size(n), min_samples(n)
     if n <= p.exact_density_most:
         rows = low.select(key, "reduced").orderBy(key).collect()  # at most exact_density_most rows
-        labels = density_labels(np.array([r["reduced"] for r in rows]), size, min_samples(n))
+        labels = density_labels(np.array([r["reduced"] for r in rows]), size, samples)
+        micro = np.unique(labels[labels >= 0], return_inverse=True)[1]
+        labels[labels >= 0] = micro
         return df.sparkSession.createDataFrame([(r[key], int(c)) for r, c in zip(rows, labels)], f"{key} long, micro int")
-    return blocked_density(low.select(F.col(key).cast("long").alias("id"), "reduced"), n, size, min_samples(n), p.block_rows).withColumnRenamed("id", key)
-
-
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks().flatten().to_numpy()
-    return flat.reshape(len(column), -1)
-
-
-def blocked_density(low: DataFrame, n: int, size: int, samples: int, block: int) -> DataFrame:
-    """(id, micro) of density_labels for (id, reduced) with unique ids, in tasks of two blocks of rows each.
-
-    Every edge lies in some pair of blocks, so the spanning tree of all rows is that of the edges of the pairs' trees. Work grows with the square
-    of n, a task's memory with the block; the last task holds one tree (24 bytes an edge, and its Python hierarchy).
-    """
-    blocks = -(-n // block)
-    part = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-
-    def pairs(rows: DataFrame) -> DataFrame:
-        every = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        return every.withColumns({"a": F.least("part", "other"), "b": F.greatest("part", "other")}).groupBy("a", "b")
-
-    def near(key, table):
-        own, x, ids = table.column("part").to_numpy(), _matrix(table.column("reduced")), table.column("id").to_numpy()
-        left, right = own == key[0].as_py(), own == key[1].as_py()
-        sides = [(left, left)] if key[0] == key[1] else [(left, right), (right, left)]
-        found = [(ids[u], core_distances(x[u], samples, x[v])) for u, v in sides]
-        return pa.table({"id": np.concatenate([f[0] for f in found]), "d": pa.array(list(np.concatenate([f[1] for f in found])), pa.list_(pa.float64()))})
-
-    def trees(key, table):
-        table = table.sort_by("id")
-        ids = table.column("id").to_numpy()
-        a, b, w = spanning_tree(_matrix(table.column("reduced")), table.column("core").to_numpy())
-        return pa.table({"a": ids[a], "b": ids[b], "w": w})
-
-    def thinned(table):
-        a, b, w = (table.column(c).to_numpy() for c in "abw")
-        return table.select(["a", "b", "w"]).take(pa.array(forest(a, b, w)))
-
-    def labels(table):
-        a, b, w = (table.column(c).to_numpy() for c in "abw")
-        keep = forest(a, b, w)
-        ids, ends = np.unique(np.concatenate((a[keep], b[keep])), return_inverse=True)
-        return pa.table({"id": ids, "micro": condensed(len(ids), ends[: len(keep)], ends[len(keep) :], w[keep], size).astype(np.int32)})
-
-    rows = Stored(low.withColumn("part", part)).read()
-    nearest_few = pairs(rows).applyInArrow(near, "id long, d array<double>")
-    core = nearest_few.groupBy("id").agg(F.element_at(F.sort_array(F.flatten(F.collect_list("d"))), samples + 1).alias("core"))
-    rows = Stored(rows.join(core, "id")).read()
-    edge = "a long, b long, w double"
-    edges = Stored(pairs(rows).applyInArrow(trees, edge)).read()
-    most = max(4_000_000, 4 * n)
-    while (held := edges.count()) > most:
-        group = F.pmod(F.xxhash64("a", "b"), F.lit(-(-held // most))).cast("int")
-        edges = Stored(edges.withColumn("g", group).groupBy("g").applyInArrow(thinned, edge)).read()
-    return Stored(edges.groupBy(F.lit(0).alias("g")).applyInArrow(labels, "id long, micro int")).read()
+    points = Stored(low.select(F.col(key).cast("long").alias("id"), "reduced")).read()
+    found = Stored(tree_labels(points.select("id"), tree_edges(points, n, samples, p.cells), size, p.cells.top)).read()
+    numbered = found.where("micro is not null").select("micro").distinct().withColumn("number", F.row_number().over(Window.orderBy("micro")) - 1)  # one row a cluster
+    return found.join(numbered, "micro", "left").select(F.col("id").alias(key), F.coalesce("number", F.lit(-1)).cast("int").alias("micro"))
 
 
 def merge_micro(df: DataFrame, micro: str = "micro", vector: str = "embedding", p: Params = Params()) -> DataFrame:
