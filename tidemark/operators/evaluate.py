@@ -133,6 +133,31 @@ def clustering_scores(df: DataFrame, truth: str, cluster: str) -> DataFrame:
     )
 
 
+# Categories of the error analysis, by pattern.
+ERROR_CATEGORIES = {
+    "contrast": r"(?i)\b(but|though|although|however|yet|except)\b",
+    "emoticon": r"[:;=8][-^o']?[)(DPp/|]|<3",
+    "slang": r"(?i)\b(lol|omg|wtf|u|ur|gonna|wanna|gotta|cuz|thx|pls|idk|btw)\b",
+    "question": r"\?",
+    "elongated": r"(?i)([a-z])\1{2,}",
+    "reply": r"^\s*@\w+",
+    "negation": r"(?i)\b(not|no|never|none|nobody|nothing|neither|nor|cannot)\b|n't\b",
+    "sarcasm": r"(?i)\b(yeah right|oh great|just what i needed|thanks a lot|so much fun)\b",
+}
+
+
+def error_rates(df: DataFrame, text: str, truth: str, predicted: str, categories: dict[str, str] = ERROR_CATEGORIES) -> DataFrame:
+    """(category, n, share, error_rate): all rows, each pattern's, and short ones of up to four words; in one pass over the texts. Rows without truth or prediction are left out."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    hits = [F.lit("all"), F.when(F.size(F.filter(F.split(t, r"\s+"), lambda w: w != "")) <= 4, "short")]
+    hits += [F.when(t.rlike(p), name) for name, p in categories.items()]
+    known = df.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull())
+    each = known.select(F.explode(F.array_compact(F.array(*hits))).alias("category"), (F.col(truth) != F.col(predicted)).alias("wrong"))
+    counts = each.groupBy("category").agg(F.count("*").alias("n"), F.count_if("wrong").alias("errors"))
+    whole = F.max(F.when(F.col("category") == "all", F.col("n"))).over(Window.partitionBy(F.lit(1)))  # one row a category
+    return counts.select("category", "n", rounded(F.col("n") / whole, 4).alias("share"), rounded(F.col("errors") / F.col("n"), 4).alias("error_rate"))
+
+
 def majority(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, majority, n, purity): the most frequent value of each group, the least on a tie."""
     counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))

@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from tidemark.functions import text as tx
 from tidemark.functions.numbers import rounded
-from tidemark.operators.density import Cells, density_labels, min_cluster_size, min_samples, tree_edges, tree_labels
+from tidemark.operators.density import Cells, density_labels, labels_by_size, min_cluster_size, min_samples, tree_edges, tree_labels
+from tidemark.operators.linkage import Linkage, average_linkage
 from tidemark.shared import Stored
 
 
@@ -31,6 +32,8 @@ class Params:
     n_representatives: int = 5
     exact_density_most: int = 5000
     cells: Cells = Cells()
+    linkage: Linkage = Linkage()
+    broadcast_clusters: int = 1_000_000
     seed: int = 42
 
 
@@ -103,29 +106,13 @@ def micro_clusters(df: DataFrame, vector: str = "embedding", key: str = "vec_id"
 
 def merge_micro(df: DataFrame, micro: str = "micro", vector: str = "embedding", p: Params = Params()) -> DataFrame:
     """df with theme_rank instead of micro: average linkage of centroids by cosine, ranked by size; null is noise."""
-    cents = centroids(df.where(F.col(micro) >= 0), micro, vector).orderBy(micro).collect()  # one row a cluster
-    ids = [r[micro] for r in cents]
-    groups = {c: {i} for i, c in enumerate(ids)}
-    m = np.array([r["centroid"] for r in cents]) if cents else np.zeros((0, 1))
-    total, count = 1 - m @ m.T, np.ones(len(ids))  # distances between two groups, summed over their members
-    gap = np.where(np.triu(np.ones((len(ids), len(ids)), bool), 1), total, np.inf)
-    while len(groups) > 1:
-        x, y = divmod(int(np.argmin(gap)), len(ids))
-        if gap[x, y] > 1 - p.merge_threshold:
-            break
-        groups[ids[x]] |= groups.pop(ids[y])
-        total[x] += total[y]
-        total[:, x] += total[:, y]
-        count[x] += count[y]
-        gap[y] = gap[:, y] = np.inf
-        mean = total[x] / (count[x] * count)
-        gap[x, x + 1 :] = np.where(np.isinf(gap[x, x + 1 :]), np.inf, mean[x + 1 :])
-        gap[:x, x] = np.where(np.isinf(gap[:x, x]), np.inf, mean[:x])
-    table = [(ids[i], g) for g, own in groups.items() for i in own]
-    mapped = df.join(F.broadcast(df.sparkSession.createDataFrame(table or [], "m int, g int")), F.col(micro) == F.col("m"), "left").drop("m")
-    sizes = mapped.where("g is not null").groupBy("g").agg(F.count("*").alias("n"))
-    ranks = sizes.withColumn("theme_rank", F.row_number().over(Window.orderBy(F.desc("n"), "g"))).select("g", "theme_rank")  # one row a theme
-    return mapped.join(F.broadcast(ranks), "g", "left").drop("g", micro)
+    cents = centroids(df.where(F.col(micro) >= 0), micro, vector)
+    groups = average_linkage(cents.select(F.col(micro).cast("long").alias("id"), F.col("centroid").alias("v")), p.merge_threshold, p.linkage)  # one row a cluster
+    sizes = df.groupBy(F.col(micro).cast("long").alias("id")).agg(F.count("*").alias("own")).join(groups, "id").groupBy("into").agg(F.sum("own").alias("n"))
+    ranks = sizes.select("into", F.row_number().over(Window.orderBy(F.desc("n"), "into")).alias("theme_rank"))  # one row a theme
+    of = Stored(groups.join(ranks, "into").select(F.col("id").alias("_micro"), "theme_rank")).read()
+    few = F.broadcast(of) if of.count() <= p.broadcast_clusters else of
+    return df.join(few, F.col(micro) == F.col("_micro"), "left").drop("_micro", micro)
 
 
 def centroids(df: DataFrame, theme: str, vector: str) -> DataFrame:
@@ -259,6 +246,33 @@ def unique_names(rows: list[tuple[int, str, list[str]]]) -> list[tuple[int, str]
     return out
 
 
+def grid(df: DataFrame, truth: str, sizes: tuple[int, ...], samples: tuple[int, ...], vector: str = "embedding", key: str = "vec_id", p: Params = Params()) -> DataFrame:
+    """(samples, size, n_clusters, noise, ari): density clusters of every setting held against `truth`, with noise as one cluster.
+
+    Vectors are reduced once; each number of samples has one spanning tree, condensed at all sizes without another search.
+    """
+    n = df.count()
+    dims = len(df.select(vector).first()[0])
+    low = reduced(df, vector, min(p.pca_components, dims, max(2, n - 1)))
+    points = Stored(low.select(F.col(key).cast("long").alias("id"), "reduced", F.col(truth).alias("truth"))).read()
+    found = None
+    for many in samples:
+        edges = tree_edges(points.select("id", "reduced"), n, many, p.cells)
+        own = labels_by_size(points.select("id"), edges, sizes, p.cells.top).withColumn("samples", F.lit(many))
+        found = own if found is None else found.unionByName(own)
+    settings = ["samples", "size"]
+    rows = found.join(points.select("id", "truth"), "id").withColumn("cluster", F.coalesce("micro", F.lit(-1)))
+    cells = rows.groupBy(*settings, "truth", "cluster").agg(F.count("*").cast("double").alias("n"))
+    cells = Stored(cells).read()
+    pairs = lambda c: F.sum(c * (c - 1) / 2)
+    by = lambda c: cells.groupBy(*settings, c).agg(F.sum("n").alias("m"))
+    a = by("truth").groupBy(*settings).agg(pairs(F.col("m")).alias("pa"), F.sum("m").alias("all"))
+    b = by("cluster").groupBy(*settings).agg(pairs(F.col("m")).alias("pb"), F.count_if(F.col("cluster") >= 0).alias("n_clusters"), F.coalesce(F.sum(F.when(F.col("cluster") < 0, F.col("m"))), F.lit(0.0)).cast("long").alias("noise"))
+    out = cells.groupBy(*settings).agg(pairs(F.col("n")).alias("idx")).join(a, settings).join(b, settings)
+    expected, mean = F.col("pa") * F.col("pb") / (F.col("all") * (F.col("all") - 1) / 2), (F.col("pa") + F.col("pb")) / 2
+    return out.select(*settings, "n_clusters", "noise", rounded(F.when(mean == expected, 1.0).otherwise((F.col("idx") - expected) / (mean - expected)), 4).alias("ari"))
+
+
 def discover(df: DataFrame, key: str, text: str, vector: str = "embedding", p: Params = Params()) -> tuple[DataFrame, DataFrame]:
     """(rows with theme columns, themes): the whole of discovery over (key, text, vector)."""
     micro = micro_clusters(df, vector, key, p)

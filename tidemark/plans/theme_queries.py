@@ -139,6 +139,34 @@ def theme_merge(spark, sf):
     return th.merge_micro(_vectors(spark, sf).withColumnRenamed("label", "micro")).select("vec_id", "theme_rank")
 
 
+def _leaning(spark, sf, by: float = 3.0) -> DataFrame:
+    """The vectors drawn towards an axis of their label, so that labels are themes."""
+    v = _vectors(spark, sf)
+    lean = F.transform("embedding", lambda x, i: (x.cast("double") + F.when(i == F.col("label"), by).otherwise(0.0)).cast("float"))
+    return v.withColumn("embedding", lean)
+
+
+@query(
+    "theme_merge_parts",
+    """WITH u AS (SELECT label * 4 + vec_id % 4 AS m, vec_id, generate_subscripts(embedding, 1) AS d, unnest(embedding)::DOUBLE AS x, label FROM embeddings),
+  l AS (SELECT m, d, avg(CAST(x + CASE WHEN d - 1 = label THEN 3.0 ELSE 0.0 END AS FLOAT)::DOUBLE) AS x FROM u GROUP BY ALL), c AS (SELECT m, d, x / sqrt(sum(x * x) OVER (PARTITION BY m)) AS x FROM l),
+  e AS (SELECT a.m AS x, b.m AS y FROM c a JOIN c b USING (d) GROUP BY ALL HAVING sum(a.x * b.x) >= 0.65),
+  t AS (SELECT x AS m, min(y) AS g FROM e GROUP BY 1),
+  n AS (SELECT g, row_number() OVER (ORDER BY count(*) DESC, g) AS k FROM embeddings JOIN t ON label * 4 + vec_id % 4 = t.m GROUP BY 1)
+  SELECT vec_id, CAST(k AS INTEGER) AS theme_rank FROM embeddings JOIN t ON label * 4 + vec_id % 4 = t.m JOIN n USING (g)""",
+)
+def theme_merge_parts(spark, sf):
+    """Four parts of each label are merged again. All parts of a label are alike and no others are, so the groups are those of the pairs."""
+    v = _leaning(spark, sf).withColumn("micro", (F.col("label") * 4 + F.col("vec_id") % 4).cast("int"))
+    return th.merge_micro(v).select("vec_id", "theme_rank")
+
+
+@query("theme_grid")
+def theme_grid(spark, sf):
+    """Six settings of discovery on one reduction and two spanning trees."""
+    return th.grid(_leaning(spark, sf, 1.2), "label", (5, 15, 40), (3, 8))
+
+
 # --- words -----------------------------------------------------------------------------------------------------------
 _STOP = "[" + ", ".join(f"'{w}'" for w in tx.DOMAIN_STOPWORDS) + "]"
 _WORDS = f"w AS (SELECT doc_id, lang, list_filter(regexp_extract_all(lower(text), '[a-z][a-z]+'), lambda x: NOT list_contains({_STOP}, x)) AS ws FROM documents)"
@@ -286,6 +314,21 @@ def clustering_scores(spark, sf):
     return evaluate.clustering_scores(table(spark, sf, "labels"), "quality", "toxic")
 
 
+_HIT = {**{"all": "true", "short": "len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> '')) <= 4", "elongated": "regexp_matches(lower(coalesce(text, '')), '" + "|".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyz") + "')"}, **{k: f"regexp_matches(coalesce(text, ''), '{p.replace(chr(39), chr(39) * 2)}')" for k, p in evaluate.ERROR_CATEGORIES.items() if k != "elongated"}}
+
+
+@query(
+    "error_rates",
+    f"""WITH x AS (SELECT text, quality <> toxic AS wrong FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL),
+    c AS ({" UNION ALL ".join(f"SELECT '{k}' AS category, count(*) AS n, count(*) FILTER (WHERE wrong) AS errors FROM x WHERE {h}" for k, h in _HIT.items())})
+    SELECT category, n, {r("n / (SELECT n FROM c WHERE category = 'all')::DOUBLE", 4)} AS share, {r("errors / n::DOUBLE", 4)} AS error_rate FROM c WHERE n > 0""",
+)
+def error_rates(spark, sf):
+    """Quality read as a prediction of toxicity, by category of the text."""
+    d = table(spark, sf, "documents").select("doc_id", "text").join(table(spark, sf, "labels"), "doc_id")
+    return evaluate.error_rates(d, "text", "toxic", "quality")
+
+
 @query("purity", f"WITH x AS (SELECT source, lang, count(*) AS n, sum(count(*)) OVER (PARTITION BY source) AS all_n FROM documents GROUP BY 1, 2) SELECT source, lang AS majority, n, {r('n / all_n', 4)} AS purity FROM x QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) = 1")
 def purity(spark, sf):
     return evaluate.majority(table(spark, sf, "documents"), "source", "lang")
