@@ -222,28 +222,30 @@ def tweet_dates(spark, sf):
     return table(spark, sf, "events").select("event_id", parse.tweet_date(at).alias("parsed"))
 
 
-_SAID = "replace(replace(left(text, 40), chr(10), ' '), chr(34), '')"
+_SAID = "replace(coalesce(text, ''), chr(10), ' ')"
 
 
 def _tweet_file(spark, sf) -> str:
-    """A header-less file of six quoted fields; every seventh line has three."""
+    """Header-less files of six quoted fields, one a partition, with whole texts; every seventh line has three."""
     path = _folder(spark)
-    said = F.expr("replace(replace(left(text, 40), chr(10), ' '), chr(34), '')")
-    quoted = lambda *cs: F.concat_ws(",", *[F.concat(F.lit('"'), c, F.lit('"')) for c in cs])
+    quoted = lambda *cs: F.concat_ws(",", *[F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) for c in cs])
     i = F.col("doc_id").cast("string")
-    whole = quoted(F.when(F.col("doc_id") % 2 == 0, "0").otherwise("4"), i, F.lit("Mon Apr 06 22:19:45 PDT 2009"), F.lit("NO_QUERY"), F.concat(F.lit("u"), (F.col("doc_id") % 50).cast("string")), said)
+    who = F.concat(F.lit("u"), (F.col("doc_id") % 50).cast("string"))
+    whole = quoted(F.when(F.col("doc_id") % 2 == 0, "0").otherwise("4"), i, F.lit("Mon Apr 06 22:19:45 PDT 2009"), F.lit("NO_QUERY"), who, F.expr(_SAID))
     line = F.when(F.col("doc_id") % 7 == 0, quoted(F.lit("0"), i, F.lit("short"))).otherwise(whole)
-    table(spark, sf, "documents").where("lang = 'en'").orderBy("doc_id").select(line).coalesce(1).write.option("encoding", "ISO-8859-1").text(path)
+    table(spark, sf, "documents").orderBy("doc_id").select(F.encode(line, "ISO-8859-1").cast("string")).write.text(path)
     return path
 
 
 _TWEETS = f"""tw AS (SELECT CAST(row_number() OVER (ORDER BY doc_id) AS BIGINT) AS line, doc_id, CASE WHEN doc_id % 7 = 0 THEN 3 ELSE 6 END AS fields, CASE WHEN doc_id % 7 = 0 OR doc_id % 2 = 0 THEN '0' ELSE '4' END AS target,
-  CASE WHEN doc_id % 7 > 0 THEN 'u' || (doc_id % 50) END AS who, CASE WHEN doc_id % 7 > 0 THEN {_SAID} END AS said FROM documents WHERE lang = 'en')"""
+  CASE WHEN doc_id % 7 > 0 THEN 'u' || (doc_id % 50) END AS who, CASE WHEN doc_id % 7 > 0 THEN {_SAID} END AS said FROM documents)"""
 
 
-@query("tweets_scan", f"WITH {_TWEETS} SELECT line, fields, target, CAST(doc_id AS VARCHAR) AS id, who FROM tw")
+@query("tweets_scan", f"WITH {_TWEETS} SELECT line, fields, target, CAST(doc_id AS VARCHAR) AS id, who, length(said) AS n_chars, length(replace(said, chr(34), '')) AS unquoted FROM tw")
 def tweets_scan(spark, sf):
-    return tweets.read_tweets(spark, _tweet_file(spark, sf)).select("line", "fields", "target", "id", F.col("user").alias("who"))
+    """All documents as tweets, in as many files and splits as the table has partitions; lines are numbered through all of them."""
+    out = tweets.read_tweets(spark, _tweet_file(spark, sf))
+    return out.select("line", "fields", "target", "id", F.col("user").alias("who"), F.length("text").cast("long").alias("n_chars"), F.length(F.replace("text", F.lit('"'))).cast("long").alias("unquoted"))
 
 
 @query("tweets_profile", f"WITH {_TWEETS} SELECT count(*) AS rows, count(*) FILTER (WHERE fields = 6) AS well_formed_rows, count(*) FILTER (WHERE fields <> 6) AS malformed_rows, count(DISTINCT who) AS unique_users, 0::BIGINT AS unparseable_dates, 0::BIGINT AS unexpected_labels FROM tw")
@@ -259,44 +261,44 @@ def rows_by_line(spark, sf):
 
 def _rated_file(spark, sf) -> str:
     path = _folder(spark)
-    said = F.expr(_SAID)
-    rows = table(spark, sf, "documents").where("lang = 'en'").select(F.when(F.col("doc_id") % 17 > 0, said).alias("Review"), F.when(F.col("doc_id") % 19 == 0, "many").otherwise((F.col("doc_id") % 7).cast("string")).alias("Rating"))
-    rows.write.csv(path, header=True, quote='"', escape='"')
+    rating = F.when(F.col("doc_id") % 19 == 0, "many").otherwise((F.col("doc_id") % 7).cast("string"))
+    table(spark, sf, "documents").select(F.when(F.col("doc_id") % 17 > 0, F.col("text")).alias("Review"), rating.alias("Rating")).write.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return path
 
 
-@query("rated_scan", f"SELECT {_SAID} AS text, CAST(doc_id % 7 AS INTEGER) AS rating, CASE WHEN doc_id % 7 <= 2 THEN 'negative' WHEN doc_id % 7 = 3 THEN 'neutral' ELSE 'positive' END AS gt_sentiment FROM documents WHERE lang = 'en' AND doc_id % 17 > 0 AND doc_id % 19 > 0 AND doc_id % 7 BETWEEN 1 AND 5 AND trim({_SAID}) = {_SAID}")
+_ENDS = "regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')"
+
+
+@query("rated_scan", f"SELECT {_ENDS} AS text, CAST(doc_id % 7 AS INTEGER) AS rating, CASE WHEN doc_id % 7 <= 2 THEN 'negative' WHEN doc_id % 7 = 3 THEN 'neutral' ELSE 'positive' END AS gt_sentiment FROM documents WHERE doc_id % 17 > 0 AND doc_id % 19 > 0 AND doc_id % 7 BETWEEN 1 AND 5 AND {_ENDS} <> ''")
 def rated_scan(spark, sf):
-    """Rows of the file whose texts have no outer white space."""
-    kept = tweets.read_rated(spark, _rated_file(spark, sf))[0].select("text", "rating", "gt_sentiment")
-    said = table(spark, sf, "documents").select(F.expr(_SAID).alias("text")).where("text = trim(text)").distinct()
-    return kept.join(said, "text", "left_semi")
+    """Whole texts of all languages, with their line breaks and quotes, written and read as CSV."""
+    return tweets.read_rated(spark, _rated_file(spark, sf))[0].select("text", "rating", "gt_sentiment")
 
 
-@query("rated_counts", "SELECT count(*) FILTER (WHERE ok) AS rows, count(*) FILTER (WHERE NOT ok) AS skipped FROM (SELECT doc_id % 17 > 0 AND doc_id % 19 > 0 AND doc_id % 7 BETWEEN 1 AND 5 AS ok FROM documents WHERE lang = 'en')")
+@query("rated_counts", f"SELECT count(*) FILTER (WHERE ok) AS rows, count(*) FILTER (WHERE NOT ok) AS skipped FROM (SELECT doc_id % 17 > 0 AND doc_id % 19 > 0 AND doc_id % 7 BETWEEN 1 AND 5 AND {_ENDS} <> '' AS ok FROM documents)")
 def rated_counts(spark, sf):
     return tweets.read_rated(spark, _rated_file(spark, sf))[1]
 
 
-@query("split_files", f"SELECT CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split, CAST(doc_id AS VARCHAR) AS line, {_SAID} AS text FROM documents WHERE trim({_SAID}) = {_SAID} AND doc_id % 2 = 0")
+@query("split_files", "SELECT CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split, CAST(doc_id AS VARCHAR) AS line, coalesce(text, '') AS text FROM documents")
 def split_files(spark, sf):
-    """Splits written and read again."""
+    """All documents dealt to split folders, written and read again by the source of split files."""
     path = _folder(spark)
     split = F.when(F.col("doc_id") % 3 == 0, "train").when(F.col("doc_id") % 3 == 1, "val").otherwise("test")
-    d = table(spark, sf, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("line"), F.expr(_SAID).alias("text"), split.alias("split")).where("text = trim(text)")
-    profile.write_splits(d, path)
-    return spark.read.csv(path, header=True, quote='"', escape='"', inferSchema=False).select("split", F.col("line").cast("string").alias("line"), "text")
+    for name in ("train", "val", "test"):
+        d = table(spark, sf, "documents").where(split == name).select(F.col("doc_id").alias("line"), F.coalesce("text", F.lit("")).alias("text"))
+        d.write.csv(f"{path}/{name}.csv", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return tweets.read_splits(spark, path).select("split", "line", "text")
 
 
-@query("review_csv", "SELECT review_id, rating, text FROM (SELECT 'R' || event_id AS review_id, CAST(event_id % 6 AS INTEGER) AS rating, 'said \"' || event_type || '\"' || chr(10) || 'twice' AS text FROM events WHERE event_id < 200)")
+@query("review_csv", "SELECT 'R' || event_id AS review_id, CAST(event_id % 6 AS INTEGER) AS rating, 'said \"' || event_type || '\"' || chr(10) || 'twice' AS text FROM events")
 def review_csv(spark, sf):
-    """A review file with quotes and line breaks, written by the sink and read by the source."""
+    """All events as a review file with quotes and line breaks, written by the sink and read by the source."""
     from tidemark.sources.reviews import read_csv
 
     path = _folder(spark)
-    rv = reviews(spark, sf).where(F.substring("review_id", 2, 20).cast("long") < 200)
     said = F.concat(F.lit('said "'), "theme_id", F.lit('"\ntwice'))
-    full = rv.withColumns({"text": said, "source": F.lit("csv"), "gt_theme": F.lit(None).cast("string"), "gt_sentiment": F.lit(None).cast("string"), "gt_pii": F.lit(None).cast("string")})
+    full = reviews(spark, sf).withColumns({"text": said, "source": F.lit("csv"), "gt_theme": F.lit(None).cast("string"), "gt_sentiment": F.lit(None).cast("string"), "gt_pii": F.lit(None).cast("string")})
     synthetic.write_csv(full, path)
     return read_csv(spark, path).select("review_id", "rating", "text")
 

@@ -6,22 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import parse
-from tidemark.sources.reviews import numbered
+from tidemark.sources.lines import numbered_lines, read_table
 
 COLUMNS = ("target", "id", "date", "flag", "user", "text")
 
 
 def read_tweets(spark: SparkSession, path: str) -> DataFrame:
-    """(line, fields, target, id, date, flag, user, text) of a latin-1 CSV; malformed lines keep their number of fields."""
-    schema = ", ".join(f"{c} string" for c in COLUMNS) + ", extra string, _bad string"
-    raw = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").csv(path, header=False, encoding="ISO-8859-1", quote='"', escape='"')
-    n = sum(F.col(c).isNotNull().cast("int") for c in (*COLUMNS, "extra"))
-    return numbered(raw.withColumn("fields", n), "line").drop("extra", "_bad")
+    """(line, fields, target, id, date, flag, user, text) of latin-1 CSV files: line numbers run through all files by name, and malformed lines keep their number of fields. Blank lines
+    are numbered and left out."""
+    lines = numbered_lines(spark, path, "ISO-8859-1").where(F.trim("value") != "")
+    schema = ", ".join(f"{c} string" for c in (*COLUMNS, "extra"))
+    f = F.from_csv("value", schema, {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1"})
+    n = sum(F.col(f"_f.{c}").isNotNull().cast("int") for c in (*COLUMNS, "extra"))
+    return lines.select("line", f.alias("_f")).select("line", n.alias("fields"), *[F.col(f"_f.{c}").alias(c) for c in COLUMNS])
 
 
 def read_rated(spark: SparkSession, path: str, text: str = "Review", rating: str = "Rating") -> tuple[DataFrame, DataFrame]:
     """(kept, counts): rows with a text and a rating of 1 to 5, labelled by stars and dated by hash; counts has rows and skipped."""
-    raw = numbered(spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"'))
+    raw = read_table(spark, path)
     out = raw.select("_pos", parse.squeezed_ends(F.coalesce(F.col(text), F.lit(""))).alias("text"), parse.rating(F.coalesce(F.col(rating), F.lit(""))).alias("rating"))
     ok = (F.col("text") != "") & F.col("rating").between(1, 5)
     kept = out.where(ok).select(F.format_string("AC%06d", "_pos").alias("review_id"), "text", "rating", parse.stars(F.col("rating")).alias("gt_sentiment"), parse.hashed_date(F.col("text")).alias("created_at"))
@@ -30,5 +32,5 @@ def read_rated(spark: SparkSession, path: str, text: str = "Review", rating: str
 
 def read_splits(spark: SparkSession, folder: str) -> DataFrame:
     """val, test and train files of a folder, with their split."""
-    one = lambda name: spark.read.csv(f"{folder}/{name}.csv", header=True).withColumn("split", F.lit(name))
+    one = lambda name: read_table(spark, f"{folder}/{name}.csv", position="_row").drop("_row").withColumn("split", F.lit(name))
     return one("train").unionByName(one("val"), allowMissingColumns=True).unionByName(one("test"), allowMissingColumns=True)
