@@ -319,3 +319,23 @@ def test_synthetic_volumes_follow_their_plan(spark):
     n = np.array([r.n for r in spark.createDataFrame([(x,) for x in u], "u double").select(synthetic.poisson(F.lit(7.5), F.col("u")).alias("n")).collect()])
     assert abs(n.mean() - 7.5) < 0.02 and abs(n.var() - 7.5) < 0.1
     assert {r.n for r in spark.createDataFrame([(0.4,)], "u double").select(synthetic.poisson(F.lit(0.0), F.col("u")).alias("n")).collect()} == {0}
+
+
+DATES = [
+    ("2026-06-01T10:20:30Z", "2026-06-01 10:20:30"), ("2026-06-01T10:20:30+05:30", "2026-06-01 04:50:30"), ("2026-06-01", "2026-06-01 00:00:00"), ("06/07/2026", "2026-07-06 00:00:00"), ("12/25/2026", "2026-12-25 00:00:00"),
+    ("25-12-2026", "2026-12-25 00:00:00"), ("2026/01/02", "2026-01-02 00:00:00"), ("05/06/2026 07:08", "2026-06-05 07:08:00"), ("12/25/2026 07:08", "2026-12-25 07:08:00"), ("20260601", "2026-06-01 00:00:00"), ("2026-06-01 10:20", "2026-06-01 10:20:00"),
+    ("yesterday", None), ("now", None), ("2026", None), ("", None), (None, None), ("31/02/2026", None), ("2026-13-01", None),
+]
+RATINGS = [("4.6", 5), ("4.5", 4), ("3.5", 4), (" 2 ", 2), ("x", None), ("", None), (None, None), ("inf", None), ("nan", None), ("-1", -1)]
+LABELS = [("NEG", "negative"), ("pos", "positive"), ("0", "negative"), ("1", "negative"), ("2", "neutral"), ("3", "neutral"), ("4", "positive"), ("5", "positive"), ("Neutral", "neutral"), ("6", None), ("", None), (None, None)]
+
+
+def test_fixed_examples_of_dates_ratings_labels_and_names(spark):
+    from tidemark.functions import parse
+
+    for rows, f in ((DATES, parse.any_date), (RATINGS, lambda c: parse.rating(F.coalesce(c, F.lit("")))), (LABELS, parse.label)):
+        got = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(rows)], "i int, v string").select("i", f(F.col("v")).cast("string").alias("x")).orderBy("i").collect()
+        assert [r.x for r in got] == [None if w is None else str(w) for _, w in rows]
+    names = ("my file.csv", "../x", "é", "a.CSV", "n" * 90)
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(parse.safe_filename(F.col("n")).alias("s")).collect()
+    assert [r.s for r in got] == ["my_file.csv", ".._x.csv", "_.csv", "a.CSV", "n" * 80 + ".csv"]

@@ -112,9 +112,7 @@ def hashed_date(c: Column, start: str = "2024-01-01") -> Column:
     return F.lit(start).cast("timestamp_ntz") + F.make_dt_interval((v % 360).cast("int"), F.lit(0), F.lit(0), (v % 86400).cast("double"))
 
 
-def safe_filename(name: str) -> str:
+def safe_filename(c: Column) -> Column:
     """A name with safe characters only, at most 80, that ends in .csv."""
-    import re
-
-    cut = re.sub(r"[^A-Za-z0-9._-]", "_", name)[:80]
-    return cut if cut.lower().endswith(".csv") else cut + ".csv"
+    cut = F.substring(F.regexp_replace(c, r"[^A-Za-z0-9._-]", "_"), 1, 80)
+    return F.when(F.lower(cut).endswith(".csv"), cut).otherwise(F.concat(cut, F.lit(".csv")))

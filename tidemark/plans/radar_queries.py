@@ -152,9 +152,18 @@ def radar_associations(spark, sf):
     return out.select("theme_id", F.inline_outer("associations")).where("segment is not null")
 
 
-@query("radar_rules")
+@query(
+    "radar_rules",
+    f"""WITH {DECIDED}, n AS (SELECT status, count(*) AS n FROM e GROUP BY 1),
+    x AS (SELECT * FROM (VALUES (1, 'NO_DATA'), (2, 'NOT_A_COMPLAINT'), (3, 'INSUFFICIENT_EVIDENCE'), (4, 'INSUFFICIENT_EVIDENCE'), (5, 'NEW'), (6, 'EMERGING'), (7, 'DECLINING'), (8, 'DECLINING'), (9, 'STABLE')) AS t(number, status))
+    SELECT number, status, coalesce(n, 0) AS n_themes FROM x LEFT JOIN n USING (status)""",
+)
 def radar_rules(spark, sf):
-    return spark.createDataFrame([("rules", radar.rules_text()), ("formula", radar.formula_text())], "key string, text string")
+    """The rules as they are printed, with the number of themes that have each rule's status now."""
+    lines = F.split(F.lit(radar.rules_text()), "\n")
+    rules = spark.range(1).select(F.explode(lines).alias("line")).select(F.split_part("line", F.lit("."), F.lit(1)).cast("int").alias("number"), F.regexp_extract("line", r"^\d+\. (\w+):", 1).alias("status"))
+    now = radar.decided(reviews(spark, sf), themes(spark, sf)).groupBy("status").agg(F.count("*").alias("n"))
+    return rules.join(now, "status", "left").select("number", "status", F.coalesce("n", F.lit(0).cast("long")).alias("n_themes"))
 
 
 def _dist(cats: str, counts: str) -> str:

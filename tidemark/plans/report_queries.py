@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame
@@ -198,21 +199,40 @@ def page_labels(spark, sf):
     return spark.createDataFrame([(k, views.page_label(n, 25, k)) for k in (0, 25, 50)], "offset_rows int, label string")
 
 
-@query("fallback_names", "SELECT * FROM (VALUES (1, 'Unnamed Theme'), (2, 'Battery Drain'), (3, 'Login Code'), (4, 'Charge Twice'), (5, 'Slow')) AS t(k, name)")
+_NAMED = "upper(left({0}, 1)) || substr({0}, 2)"
+
+
+@query(
+    "fallback_names",
+    f"""WITH x AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, lower(p_type) AS t, p_size FROM part)
+    SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'Unnamed Theme' WHEN p_size % 10 >= 5 THEN {_NAMED.format("a")} || ' ' || {_NAMED.format("b")} ELSE {_NAMED.format("t")} || ' ' || {_NAMED.format("b")} END AS name FROM x""",
+)
 def fallback_names(spark, sf):
-    rows = [(1, [], []), (2, ["phone", "battery drain"], [1.0, 0.6]), (3, ["login", "code", "email code"], [1.0, 0.9, 0.2]), (4, ["charge twice"], [0.4]), (5, ["slow"], [0.1])]
-    named = spark.createDataFrame(rows, "k int, words array<string>, scores array<double>")
-    return named.select("k", th.fallback_name(F.col("words"), F.col("scores")).alias("name"))
+    """Names of parts from keywords: the pair of its words if it scores half of the first word, else the two single words; a part without keywords has none."""
+    word = lambda k: F.split_part("p_name", F.lit(" "), F.lit(k))
+    none = F.col("p_partkey") % 11 == 0
+    words = F.when(none, F.array().cast("array<string>")).otherwise(F.array(F.lower("p_type"), F.concat(word(1), F.lit(" "), word(2)), word(2)))
+    scores = F.when(none, F.array().cast("array<double>")).otherwise(F.array(F.lit(1.0), F.col("p_size") % 10 / 10.0, F.lit(0.2)))
+    return table(spark, sf, "part").select("p_partkey", th.fallback_name(words, scores).alias("name"))
 
 
-@query("unique_names", "SELECT * FROM (VALUES (1, 'Battery Drain'), (2, 'Battery Drain / Phone'), (3, 'Login'), (4, 'Login / 3')) AS t(k, name)")
+@query(
+    "unique_names",
+    """WITH t AS (SELECT p_type, row_number() OVER (ORDER BY p_type) AS k FROM (SELECT DISTINCT p_type FROM part)), x AS (SELECT *, 'Theme ' || (k % 3) AS name, row_number() OVER (PARTITION BY k % 3 ORDER BY k) AS again FROM t)
+    SELECT CAST(k AS INTEGER) AS k, CASE WHEN again = 1 THEN name ELSE name || ' / ' || upper(left(p_type, 1)) || lower(substr(p_type, 2)) END AS name FROM x""",
+)
 def unique_names(spark, sf):
-    return spark.createDataFrame(th.unique_names([(1, "Battery Drain", ["battery"]), (2, "Battery Drain", ["battery", "phone"]), (3, "Login", []), (4, "Login", ["login"])]), "k int, name string")
+    """The types of the parts under three names; the second of a name adds its own keyword."""
+    kinds = table(spark, sf, "part").select("p_type").distinct().orderBy("p_type").collect()  # one row a type
+    rows = [(k, f"Theme {k % 3}", ["theme", r["p_type"].lower()]) for k, r in enumerate(kinds, 1)]
+    return spark.createDataFrame(th.unique_names([(k, n, [w for w in ws if w.title() not in n]) for k, n, ws in rows]), "k int, name string")
 
 
-@query("safe_names", "SELECT * FROM (VALUES ('my file.csv', 'my_file.csv'), ('../x', '.._x.csv'), ('é', '_.csv'), ('a.CSV', 'a.CSV')) AS t(name, safe)")
+@query("safe_names", "SELECT doc_id, n || CASE WHEN lower(n) LIKE '%.csv' THEN '' ELSE '.csv' END AS safe FROM (SELECT doc_id, left(regexp_replace(coalesce(text, '') || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '.csv' ELSE '.CSV' END, '[^A-Za-z0-9._-]', '_', 'g'), 80) AS n FROM documents)")
 def safe_names(spark, sf):
-    return spark.createDataFrame([(n, parse.safe_filename(n)) for n in ("my file.csv", "../x", "é", "a.CSV")], "name string, safe string")
+    """Whole texts as file names."""
+    name = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, ".csv").otherwise(".CSV"))
+    return table(spark, sf, "documents").select("doc_id", parse.safe_filename(name).alias("safe"))
 
 
 # --- sources and sinks through files ---------------------------------------------------------------------------------
@@ -320,12 +340,14 @@ def stored_report_value(spark, sf):
     return store.report_value(reports, "overview", "$.total")
 
 
-@query("stored_brief", "SELECT 'brief' AS key, 'new' AS path, 1::BIGINT AS n")
+@query("stored_brief", "SELECT 'brief' AS key, CAST(max(event_id) AS VARCHAR) AS last_event, 1::BIGINT AS n FROM events")
 def stored_brief(spark, sf):
-    """A stored brief written over: one row of its key is left."""
-    start = spark.createDataFrame([("overview", "{}")], "key string, data string")
-    reports = store.put_report(store.put_report(start, "brief", '{"path":"old"}'), "brief", '{"path":"new"}')
-    return reports.where("key = 'brief'").groupBy("key").agg(F.max(F.get_json_object("data", "$.path")).alias("path"), F.count("*").alias("n"))
+    """A brief stored twice, first for the first event and then for the last: one row of its key is left, the later one."""
+    ev = table(spark, sf, "events")
+    first, last = ev.agg(F.min("event_id"), F.max("event_id")).first()
+    start = ev.agg(F.count("*").alias("total")).select(F.lit("overview").alias("key"), F.to_json(F.struct("total")).alias("data"))
+    reports = store.put_report(store.put_report(start, "brief", json.dumps({"last": first})), "brief", json.dumps({"last": last}))
+    return reports.where("key = 'brief'").groupBy("key").agg(F.max(F.get_json_object("data", "$.last")).alias("last_event"), F.count("*").alias("n"))
 
 
 _EVID = "ev AS (SELECT theme_id, review_id, CAST(row_number() OVER (PARTITION BY theme_id ORDER BY similarity DESC, confidence DESC, review_id) - 1 AS INTEGER) AS rank FROM p WHERE in_current AND sentiment = 'negative' QUALIFY rank < 5)"

@@ -189,43 +189,68 @@ def masked_quotes(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.masked(F.col("text")).alias("quote"))
 
 
-def _values(rows: list[tuple]) -> str:
-    lit = lambda v: "NULL" if v is None else (f"'{v}'" if isinstance(v, str) else str(v))
-    return "VALUES " + ", ".join("(" + ", ".join(lit(v) for v in row) + ")" for row in rows)
+#: Shapes of a written date by event number: how Spark writes it, and what DuckDB keeps of the timestamp.
+_WRITTEN = (
+    ("yyyy-MM-dd'T'HH:mm:ss'Z'", "date_trunc('second', ts)"), ("yyyy-MM-dd", "date_trunc('day', ts)"), ("yyyyMMdd", "date_trunc('day', ts)"), ("yyyy/MM/dd", "date_trunc('day', ts)"),
+    ("yyyy-MM-dd HH:mm", "date_trunc('minute', ts)"), ("dd-MM-yyyy", "date_trunc('day', ts)"), ("yyyy-MM-dd'T'HH:mm:ss'+05:30'", "date_trunc('second', ts) - INTERVAL 330 MINUTE"), ("'yesterday'", "NULL"), ("yyyy", "NULL"),
+    # the day comes first where it can
+    ("dd/MM/yyyy", "date_trunc('day', ts)"), ("MM/dd/yyyy HH:mm", "CASE WHEN day(ts) <= 12 THEN make_timestamp(year(ts), day(ts), month(ts), hour(ts), minute(ts), 0.0) ELSE date_trunc('minute', ts) END"),
+)
 
 
-DATES = [
-    ("2026-06-01T10:20:30Z", "2026-06-01 10:20:30"), ("2026-06-01T10:20:30+05:30", "2026-06-01 04:50:30"), ("2026-06-01", "2026-06-01 00:00:00"), ("06/07/2026", "2026-07-06 00:00:00"), ("12/25/2026", "2026-12-25 00:00:00"),
-    ("25-12-2026", "2026-12-25 00:00:00"), ("2026/01/02", "2026-01-02 00:00:00"), ("05/06/2026 07:08", "2026-06-05 07:08:00"), ("12/25/2026 07:08", "2026-12-25 07:08:00"), ("20260601", "2026-06-01 00:00:00"), ("2026-06-01 10:20", "2026-06-01 10:20:00"),
-    ("yesterday", None), ("now", None), ("2026", None), ("", None), (None, None), ("31/02/2026", None), ("2026-13-01", None),
-]
-RATINGS = [("4.6", 5), ("4.5", 4), ("3.5", 4), (" 2 ", 2), ("x", None), ("", None), (None, None), ("inf", None), ("nan", None), ("-1", -1)]
-LABELS = [("NEG", "negative"), ("pos", "positive"), ("0", "negative"), ("1", "negative"), ("2", "neutral"), ("3", "neutral"), ("4", "positive"), ("5", "positive"), ("Neutral", "neutral"), ("6", None), ("", None), (None, None)]
+def _pick(number, *values):
+    """One of the values by a row number."""
+    out = values[-1]
+    for i, v in reversed(list(enumerate(values[:-1]))):
+        out = F.when(number % len(values) == i, v).otherwise(out)
+    return out
 
 
-@query("date_parse", f"SELECT v, CAST(t AS TIMESTAMP) AS parsed FROM ({_values(DATES)}) AS x(v, t)")
+def _pick_sql(number: str, *values: str) -> str:
+    return f"CASE {number} % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+@query("date_parse", f"SELECT event_id, CAST({_pick_sql('event_id', *[kept for _, kept in _WRITTEN])} AS TIMESTAMP) AS parsed FROM events")
 def date_parse(spark, sf):
-    return spark.createDataFrame(DATES, "v string, t string").select("v", parse.any_date(F.col("v")).alias("parsed"))
+    """The events' timestamps, written in eleven ways and read again."""
+    n = F.col("event_id")
+    written = _pick(n, *[F.date_format("ts", shape) for shape, _ in _WRITTEN])
+    return table(spark, sf, "events").select("event_id", parse.any_date(written).alias("parsed"))
 
 
-@query("rating_cast", f"SELECT v, CAST(t AS INTEGER) AS rating FROM ({_values(RATINGS)}) AS x(v, t)")
-def rating_cast(spark, sf):
-    return spark.createDataFrame(RATINGS, "v string, t int").select("v", parse.rating(F.coalesce("v", F.lit(""))).alias("rating"))
+_HALF = "CAST(round_even(value, 0) AS INTEGER)"
 
 
-@query("label_map", f"SELECT v, CAST(t AS VARCHAR) AS label FROM ({_values(LABELS)}) AS x(v, t)")
-def label_map(spark, sf):
-    return spark.createDataFrame(LABELS, "v string, t string").select("v", parse.label(F.col("v")).alias("label"))
+@query("rating_cast", f"SELECT event_id, {_pick_sql('event_id', _HALF, _HALF, 'CAST(-round_even(value, 0) AS INTEGER)', 'NULL', 'NULL', 'NULL', 'CAST(round_even(event_id + 0.5::DOUBLE, 0) AS INTEGER)')} AS rating FROM events")
+def rating_cast(spark, sf):
+    """The events' values as text: plain, padded, negative, not finite, with letters, empty, and halves."""
+    v = F.col("value").cast("string")
+    half = F.concat(F.col("event_id").cast("string"), F.lit(".5"))
+    written = _pick(F.col("event_id"), v, F.concat(F.lit(" "), v, F.lit("\t")), F.concat(F.lit("-"), v), F.lit("inf"), F.concat(v, F.lit(" stars")), F.lit(""), half)
+    return table(spark, sf, "events").select("event_id", parse.rating(written).alias("rating"))
 
 
-IDS = [(1, "a1"), (2, "a1"), (3, "x y"), (4, ""), (5, None), (6, "b-2"), (7, "U000003")]
+@query("label_map", f"SELECT event_id, {_pick_sql('event_id', *[f'{chr(39)}{x}{chr(39)}' if x else 'NULL' for x in ('negative', 'negative', 'neutral', 'neutral', 'positive', 'positive', None, None, 'negative', 'neutral', 'positive', 'negative', 'positive', None)])} AS label FROM events")
+def label_map(spark, sf):
+    """Labels as star numbers, in short, in full, in capitals and padded; and what is none: numbers out of range and the events' types."""
+    n = F.col("event_id")
+    digit = (n % 14).cast("string")
+    spelt = _pick(n, digit, digit, digit, digit, digit, digit, digit, F.lit(""), F.lit("NEG"), F.lit(" neu"), F.lit("Pos "), F.lit("Negative"), F.lit("POSITIVE"), F.col("event_type"))
+    return table(spark, sf, "events").select("event_id", parse.label(spelt).alias("label"))
 
 
-@query("alias_ids", "SELECT * FROM (VALUES (1, 'a1', 'good'), (2, 'U000002', 'bad'), (3, 'U000003', 'bad'), (4, 'U000004', 'bad'), (5, 'U000005', 'bad'), (6, 'b-2', 'bad'), (7, 'U000003_2', 'bad')) AS x(pos, review_id, text)")
+@query(
+    "alias_ids",
+    """WITH x AS (SELECT event_id + 1 AS pos, CASE event_id % 5 WHEN 0 THEN 'user-' || user_id WHEN 1 THEN 'x y' WHEN 2 THEN '' WHEN 3 THEN NULL ELSE 'e_' || event_id END AS id, event_type AS text FROM events)
+    SELECT pos, CASE WHEN pos % 5 IN (0, 1) AND row_number() OVER (PARTITION BY id ORDER BY pos) = 1 THEN id ELSE 'U' || CASE WHEN pos < 1000000 THEN lpad(CAST(pos AS VARCHAR), 6, '0') ELSE CAST(pos AS VARCHAR) END END AS review_id, text FROM x""",
+)
 def alias_ids(spark, sf):
+    """Events under aliased headers: ids that repeat, are unsafe, blank or missing are replaced by the row's number."""
     from tidemark.sources.reviews import normalised
 
-    raw = spark.createDataFrame([(p, i, "good" if p == 1 else "bad") for p, i in IDS], "_pos int, `ID ` string, Review string")
+    n = F.col("event_id")
+    own = _pick(n, F.concat(F.lit("user-"), F.col("user_id").cast("string")), F.lit("x y"), F.lit(""), F.lit(None).cast("string"), F.concat(F.lit("e_"), n.cast("string")))
+    raw = table(spark, sf, "events").select((n + 1).alias("_pos"), own.alias("ID "), F.col("event_type").alias("Review"))
     return normalised(raw).select(F.col("_pos").alias("pos"), "review_id", "text")
 
 

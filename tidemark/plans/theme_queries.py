@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from tidemark.functions import text as tx
 from tidemark.functions.numbers import rounded, sql_rounded as r
 from tidemark.operators import audit, brief, evaluate, radar, themes as th, views
 from tidemark.plans.frames import DOCS, REVIEWS, THEMES, docs, reviews, table, texts, themes
+from tidemark.shared import shared_dir
 from tidemark.plans.radar_queries import DECIDED, PLACED
 
 QUERIES, ORACLES = {}, {}
@@ -164,7 +165,7 @@ def theme_merge_parts(spark, sf):
 @query("theme_grid")
 def theme_grid(spark, sf):
     """Six settings of discovery on one reduction and two spanning trees."""
-    return th.grid(_leaning(spark, sf, 1.2), "label", (5, 15, 40), (3, 8))
+    return th.grid(_leaning(spark, sf, 0.7), "label", (5, 15, 40), (3, 8))
 
 
 # --- words -----------------------------------------------------------------------------------------------------------
@@ -519,10 +520,14 @@ def brief_validate(spark, sf):
 
 @query("batch_synthetic")
 def batch_synthetic(spark, sf):
-    """The whole batch on our synthetic source: its radar report."""
+    """The whole batch on the documents as reviews, dated and rated by the event of the same number, through a CSV file: its radar report. (The synthetic source itself is tested.)"""
     from tidemark.plans.batch import run_batch
 
-    return run_batch(spark, "synthetic")["issues"].select("theme_id", "name", "status", "current", "previous", "growth_label", "priority")
+    path = f"{shared_dir(spark)}/tidemark/batch-{uuid.uuid4().hex}.csv"
+    dated = table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("date"), (F.col("event_id") % 5 + 1).alias("stars"))
+    said = table(spark, sf, "documents").select("doc_id", F.col("text").alias("review")).join(dated, "doc_id", "left")
+    said.withColumnRenamed("doc_id", "id").write.csv(path, header=True, quote='"', escape='"')
+    return run_batch(spark, path)["issues"].select("theme_id", "name", "status", "current", "previous", "growth_label", "priority")
 
 
 @query("store_roundtrip", f"WITH {REVIEWS} SELECT review_id, theme_id FROM reviews WHERE theme_id = 'view'")
@@ -530,7 +535,7 @@ def store_roundtrip(spark, sf):
     """A batch written and read again through the registry."""
     from tidemark.sources import store
 
-    root = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-store-")).rstrip("/") + "/batches"
+    root = f"{shared_dir(spark)}/tidemark/batches-{uuid.uuid4().hex}"
     store.write_batch(spark, root, "b1", {"reviews": reviews(spark, sf)})
     store.register(spark, root, "b1", {"rows": 1})
     return store.read_table(spark, root, store.active(spark, root), "reviews").where("theme_id = 'view'").select("review_id", "theme_id")
