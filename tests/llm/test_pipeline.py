@@ -85,10 +85,18 @@ def test_nulls_in_every_column(spark, tmp_path):
 
 
 def test_stages_keep_columns_with_clashing_names(spark, tmp_path):
+    """Columns named like the operators' own come back with their values, in their order."""
     rng = random.Random(15)
-    tables(spark, tmp_path, [(i, prose(rng, 30), "en", "a", 1) for i in range(10)], [(1, 1, 0)], [(1, "other words")])
-    extra = {"score": 1, "Leaks": 2, "rowno": 3, "kept": 4, "copy": 5, "Shard": 6, "component_id": 7, "t": 8, "cdf": 9}
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumns({k: F.lit(v) for k, v in extra.items()})
-    for name, stage in cp.STAGES:
+    tables(spark, tmp_path, [(i, prose(rng, 30), "en", "ab"[i % 2], 1) for i in range(12)], [(1, 1, 0)], [(1, "other words")])
+    names = ("score", "Leaks", "rowno", "kept", "copy", "n_copies", "shuffle_key", "Shard", "slot", "component_id", "n_shingles", "t", "cdf", "h", "doc", "_mix_n", "predicted", "a.b")
+    first = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    docs = first.select("doc_id", *[F.concat(F.lit(f"{n}:"), "doc_id").alias(n) for n in names[:9]], "text", "lang", *[F.concat(F.lit(f"{n}:"), "doc_id").alias(n) for n in names[9:]], "source", "n_chars")
+    for name, stage in cp.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
-        assert out.count() > 0, name
+        rows = out.collect()
+        assert rows and out.columns == docs.columns, name
+        assert all(r[n] == f"{n}:{r['doc_id']}" for r in rows for n in names), name
+        assert name == "mixing" or len(rows) == 12
+    out = cp.STAGES[-1][1](spark, docs.select(*[c for c in docs.columns if "." not in c]), str(tmp_path))
+    assert out.count() == 12 and {"shard", "slot"} <= set(out.columns)
+    assert all(r["score"] == f"score:{r['doc_id']}" for r in out.collect())
