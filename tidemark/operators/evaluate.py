@@ -146,13 +146,17 @@ ERROR_CATEGORIES = {
 }
 
 
-def error_rates(df: DataFrame, text: str, truth: str, predicted: str, categories: dict[str, str] = ERROR_CATEGORIES) -> DataFrame:
-    """(category, n, share, error_rate): all rows, each pattern's, and short ones of up to four words; in one pass over the texts. Rows without truth or prediction are left out."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def error_categories(text: Column, categories: dict[str, str] = ERROR_CATEGORIES) -> Column:
+    """The names of a text's categories: all, short (up to four words), and those whose pattern it holds. Small beside its text: take it before a join."""
+    t = F.coalesce(text, F.lit(""))
     hits = [F.lit("all"), F.when(F.size(F.filter(F.split(t, r"\s+"), lambda w: w != "")) <= 4, "short")]
-    hits += [F.when(t.rlike(p), name) for name, p in categories.items()]
+    return F.array_compact(F.array(*hits, *[F.when(t.rlike(p), name) for name, p in categories.items()]))
+
+
+def error_rates(df: DataFrame, categories: str, truth: str, predicted: str) -> DataFrame:
+    """(category, n, share, error_rate) by the names in an array column. Rows without truth or prediction are left out."""
     known = df.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull())
-    each = known.select(F.explode(F.array_compact(F.array(*hits))).alias("category"), (F.col(truth) != F.col(predicted)).alias("wrong"))
+    each = known.select(F.explode(categories).alias("category"), (F.col(truth) != F.col(predicted)).alias("wrong"))
     counts = each.groupBy("category").agg(F.count("*").alias("n"), F.count_if("wrong").alias("errors"))
     whole = F.max(F.when(F.col("category") == "all", F.col("n"))).over(Window.partitionBy(F.lit(1)))  # one row a category
     return counts.select("category", "n", rounded(F.col("n") / whole, 4).alias("share"), rounded(F.col("errors") / F.col("n"), 4).alias("error_rate"))

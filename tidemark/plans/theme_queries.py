@@ -326,8 +326,8 @@ _HIT = {**{"all": "true", "short": "len(list_filter(regexp_split_to_array(coales
 )
 def error_rates(spark, sf):
     """Quality read as a prediction of toxicity, by category of the text."""
-    d = table(spark, sf, "documents").select("doc_id", "text").join(table(spark, sf, "labels"), "doc_id")
-    return evaluate.error_rates(d, "text", "toxic", "quality")
+    d = table(spark, sf, "documents").select("doc_id", evaluate.error_categories(F.col("text")).alias("categories")).join(table(spark, sf, "labels"), "doc_id")
+    return evaluate.error_rates(d, "categories", "toxic", "quality")
 
 
 @query("purity", f"WITH x AS (SELECT source, lang, count(*) AS n, sum(count(*)) OVER (PARTITION BY source) AS all_n FROM documents GROUP BY 1, 2) SELECT source, lang AS majority, n, {r('n / all_n', 4)} AS purity FROM x QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) = 1")
