@@ -8,15 +8,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions import text as tx
 from tidemark.functions.numbers import rounded
+from tidemark.operators.embedding import embed  # noqa: F401
 from tidemark.operators.density import Cells, density_labels, labels_by_size, min_cluster_size, min_samples, tree_edges, tree_labels
 from tidemark.operators.linkage import Linkage, average_linkage
 from tidemark.shared import Stored
@@ -49,30 +48,6 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: x / (norm(a) + 1e-12))
 
 
-def embed(df: DataFrame, text: str, dims: int = 64, features: int = 1 << 15) -> DataFrame:
-    """Adds embedding: hashed TF-IDF of the placeholder-free text through a seeded random projection, to unit length. A model may
-    replace it. Document frequencies are one number a hash place, so what is collected has a fixed size."""
-    words = F.filter(F.split(F.lower(tx.stripped(F.coalesce(F.col(text), F.lit("")))), r"(?U)\W+"), lambda w: F.length(w) >= 2)
-    out = df.withColumn("_ids", F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(features)).cast("int")))
-    n = max(1, out.count())
-    freq = np.zeros(features)
-    for r in out.select(F.explode(F.array_distinct("_ids")).alias("i")).groupBy("i").agg(F.count("*").alias("n")).collect():  # at most `features` rows
-        freq[r["i"]] = r["n"]
-    weight = np.log((n + 1) / (freq + 1)).astype(np.float32)
-
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def project(batch: pd.Series) -> pd.Series:
-        base = np.random.default_rng(7).standard_normal((features, dims)).astype(np.float32) * weight[:, None]
-
-        def one(ids):
-            x = base[np.asarray(ids, np.int64)].sum(0) if ids is not None and len(ids) else np.zeros(dims)
-            return (x / (np.linalg.norm(x) + 1e-12)).astype(np.float32)
-
-        return batch.map(one)
-
-    return out.withColumn("embedding", project("_ids")).drop("_ids")
-
-
 def reduced(df: DataFrame, vector: str, k: int) -> DataFrame:
     """Adds reduced: centred principal components."""
     out = df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))

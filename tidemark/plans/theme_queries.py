@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.functions.numbers import rounded, sql_rounded as r
-from tidemark.operators import audit, brief, evaluate, radar, themes as th, views
+from tidemark.operators import audit, brief, embedding, evaluate, radar, themes as th, views
 from tidemark.plans.frames import DOCS, REVIEWS, THEMES, docs, reviews, table, texts, themes
-from tidemark.shared import shared_dir
+from tidemark.shared import Stored, shared_dir
 from tidemark.plans.radar_queries import DECIDED, PLACED
 
 QUERIES, ORACLES = {}, {}
@@ -120,6 +120,16 @@ def theme_discover(spark, sf):
     return th.discover(v, "vec_id", "text")[1]
 
 
+@query("embedding_values")
+def embedding_values(spark, sf):
+    """The singular values that the text vectors of all documents stand on, and the share of all squares that each holds."""
+    held = Stored(table(spark, sf, "documents").select(embedding.places(F.col("text"), embedding.Settings().features).alias("places"))).read()
+    values = embedding.fit(held).values
+    total = held.where(F.size("places") > 0).count() or 1  # rows have unit length
+    rows = [(i + 1, round(float(v), 3), round(float(v * v) / total, 5)) for i, v in enumerate(values)]  # one a component
+    return spark.createDataFrame(rows, "component int, value double, share double")
+
+
 @query("theme_pca")
 def theme_pca(spark, sf):
     """Twenty components; a component's sign is free."""
