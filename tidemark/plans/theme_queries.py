@@ -123,7 +123,7 @@ def theme_discover(spark, sf):
 @query("embedding_values")
 def embedding_values(spark, sf):
     """The singular values that the text vectors of all documents stand on, and the share of all squares that each holds."""
-    held = Stored(table(spark, sf, "documents").select(embedding.places(F.col("text"), embedding.Settings().features).alias("places"))).read()
+    held = Stored(texts(spark, sf, "text").select(embedding.places(F.col("text"), embedding.Settings().features).alias("places"))).read()
     values = embedding.fit(held).values
     total = held.where(F.size("places") > 0).count() or 1  # rows have unit length
     rows = [(i + 1, round(float(v), 3), round(float(v * v) / total, 5)) for i, v in enumerate(values)]  # one a component
