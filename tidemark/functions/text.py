@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import mojibake
+
 # Redaction placeholders.
 PLACEHOLDERS = ("EMAIL", "URL", "CARD", "ORDER_ID", "ACCOUNT_ID", "CUSTOMER_ID", "REFERENCE_ID", "PHONE", "USER", "PERSON")
 PLACEHOLDER = r"\[(?:" + "|".join(PLACEHOLDERS) + r")\]"
@@ -24,26 +26,10 @@ DOMAIN_STOPWORDS = (
 ).split()
 
 
-def demojibake(s: str) -> str:
-    """UTF-8 that was read as cp1252 (or latin-1), read right, line by line; narrower than a full repair library."""
-    return "\n".join(_demojibake_line(line) for line in s.split("\n"))
-
-
-def _demojibake_line(s: str) -> str:
-    if not any("\u0080" <= ch <= "ÿ" or ch in "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ" for ch in s):
-        return s
-    for codec in ("cp1252", "latin-1"):
-        try:
-            return s.encode(codec).decode("utf-8")
-        except (UnicodeEncodeError, UnicodeDecodeError):
-            continue
-    return s
-
-
 @F.pandas_udf(T.StringType())
 def unescaped_nfc(s: pd.Series) -> pd.Series:
     """Mojibake repair, HTML entities, NFC: no built-in does these."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", html.unescape(demojibake(x))))
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", html.unescape(mojibake.repaired(x))))
 
 
 @F.pandas_udf(T.StringType())
@@ -57,9 +43,15 @@ def html_unescaped(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else html.unescape(x))
 
 
+@F.pandas_udf(T.StringType())
+def demojibaked(s: pd.Series) -> pd.Series:
+    """Mojibake repair alone."""
+    return s.map(lambda x: None if x is None else mojibake.repaired(x))
+
+
 @F.pandas_udf(T.BooleanType())
 def is_mojibake(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x is not None and demojibake(x) != x)
+    return s.map(lambda x: x is not None and mojibake.repaired(x) != x)
 
 
 def repaired(c: Column) -> Column:

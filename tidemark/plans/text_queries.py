@@ -149,6 +149,15 @@ def text_repair(spark, sf):
     return table(spark, sf, "pages").select("page_id", tx.repaired(F.col("html")).alias("repaired"), tx.is_mojibake("html").alias("mojibake"))
 
 
+@query("mojibake_undone", "SELECT doc_id, doc_id % 4 AS times, sha256(coalesce(text, '')) AS text_sha256 FROM documents")
+def mojibake_undone(spark, sf):
+    """Every text is read in the wrong code page up to three times over, and repaired."""
+    wrong = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    times, once = F.col("doc_id") % 4, wrong(F.coalesce("text", F.lit("")))
+    damaged = F.when(times == 0, F.coalesce("text", F.lit(""))).when(times == 1, once).when(times == 2, wrong(once)).otherwise(wrong(wrong(once)))
+    return texts(spark, sf, "doc_id", "text").select("doc_id", times.alias("times"), F.sha2(tx.demojibaked(damaged), 256).alias("text_sha256"))
+
+
 @query("text_variants")
 def text_variants(spark, sf):
     """Preprocessing variants of each text, by name; raw ones are for reference only."""
