@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import parse, pii
 from tidemark.functions.numbers import sql_rounded as r
-from tidemark.operators import audit, clean, drift, evaluate, profile, radar, scoring, themes as th, views
-from tidemark.plans.frames import DOCS, REVIEWS, docs, reviews, table, themes
+from tidemark.operators import audit, clean, drift, evaluate, profile, radar, samples, scoring, themes as th, views
+from tidemark.plans.frames import DOCS, REVIEWS, docs, reviews, table, texts, themes
 from tidemark.plans.radar_queries import DECIDED, PLACED
+from tidemark.plans.text_queries import _ALL_LEAKS
 from tidemark.shared import shared_dir
 from tidemark.sources import store, synthetic, tweets
 
@@ -359,6 +360,53 @@ def evidence_links(spark, sf):
     return audit.links(reps, radar.radar(reviews(spark, sf), themes(spark, sf)))
 
 
+# --- samples of what is served ---------------------------------------------------------------------------------------
+_CUT = "array_to_string(list_transform({0}[:3], lambda {1}: {2}), ',') || CASE WHEN len({0}) > 3 THEN ',\"... ' || (len({0}) - 3) || ' more\"' ELSE '' END"
+_LINE = "'[' || " + _CUT.format("string_split(l, ' ')", "w", "CAST(to_json(w) AS VARCHAR)") + " || ']'"
+
+
+def _bodies(spark, sf) -> DataFrame:
+    """Each document as a JSON body: its lines, and their words, as lists of lists; capped."""
+    d = texts(spark, sf, "doc_id", "text")
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.split(x, " "))
+    return d.select("doc_id", samples.capped(F.to_json(F.struct("doc_id", lines.alias("lines")))).alias("body"))
+
+
+@query("samples_capped", f"WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents) SELECT doc_id, '{{\"doc_id\":' || doc_id || ',\"lines\":[' || {_CUT.format('lines', 'l', _LINE)} || ']}}' AS body FROM d")
+def samples_capped(spark, sf):
+    return _bodies(spark, sf)
+
+
+@query(
+    "samples_leaks",
+    f"""WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+    SELECT doc_id, '$.lines[' || (i - 1) || ']' AS path, unnest({_ALL_LEAKS}) AS pattern FROM d""",
+)
+def samples_leaks(spark, sf):
+    """What the strings of whole bodies, a document's lines each, still give away, by path."""
+    d = texts(spark, sf, "doc_id", "text")
+    return samples.leaks(d.select("doc_id", F.to_json(F.struct("doc_id", F.split("text", "\n").alias("lines"))).alias("body")))
+
+
+_BODY = "'{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}'"
+
+
+@query("api_samples", f"WITH t AS (SELECT event_type AS name, event_id, {_BODY} AS row, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE event_type IN ('click', 'error')) SELECT name, '[' || string_agg(row, ',' ORDER BY rn) || CASE WHEN max(n) > 3 THEN ',\"... ' || (max(n) - 3) || ' more\"' ELSE '' END || ']' AS body FROM t WHERE rn <= 3 GROUP BY name")
+def api_samples(spark, sf):
+    """Samples of two pages of reviews, newest first: three rows of each and how many more there are."""
+    ev = table(spark, sf, "events")
+    pages = {k: ev.where(F.col("event_type") == k).orderBy(F.desc("ts"), "event_id").select("event_id", "event_type") for k in ("click", "error")}
+    return samples.samples(pages)
+
+
+@query("report_files", "SELECT event_type AS kind, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1")
+def report_files(spark, sf):
+    """A report by event type, written as JSON files and read again."""
+    rows = table(spark, sf, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    files = store.write_reports(spark, _folder(spark), rows.select(F.col("kind").alias("key"), F.to_json(F.struct("kind", "n", "last")).alias("data")))
+    return spark.read.schema("kind string, n long, last long").json(files)
+
+
 # --- models ----------------------------------------------------------------------------------------------------------
 @query("trained_scores", "SELECT CAST(toxic AS VARCHAR) AS label, count(*) AS n, true AS sums_to_one, true AS better_than_majority FROM labels JOIN documents USING (doc_id) GROUP BY 1")
 def trained_scores(spark, sf):
