@@ -60,10 +60,11 @@ def conflicts(df: DataFrame, key: str, label: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(label).alias("a"), F.max(label).alias("b")).where("a != b").select(key)
 
 
-def consistent(df: DataFrame, id_col: str, key: str, label: str, position: str) -> DataFrame:
-    """Rows without conflicting ids, then the first of each id, then without keys whose labels conflict."""
+def consistent(df: DataFrame, id_col: str, key: str, label: str, *position: str) -> DataFrame:
+    """Rows without conflicting ids, then the first of each id by the columns of its position, then without keys whose labels conflict. Rows that share
+    a position are told apart by no rule of ours: name columns that leave no ties."""
     each = Window.partitionBy(id_col)
-    out = df.withColumns({"_same": F.min(label).over(each) == F.max(label).over(each), "_r": F.row_number().over(each.orderBy(position))})
+    out = df.withColumns({"_same": F.min(label).over(each) == F.max(label).over(each), "_r": F.row_number().over(each.orderBy(*position))})
     out = out.where("_same and _r = 1").drop("_same", "_r")
     return out.join(conflicts(out, key, label), key, "left_anti")
 
