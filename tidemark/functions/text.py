@@ -39,10 +39,16 @@ def only_unescaped_nfc(s: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.StringType())
-def html_unescaped(s: pd.Series) -> pd.Series:
+def _html_unescaped(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else html.unescape(x))
 
 
+def html_unescaped(c: Column | str) -> Column:
+    """Without HTML entities. Only texts with an ampersand go to Python; no other has any."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(_html_unescaped(F.when(F.contains(c, F.lit("&")), c)), c)
+
+
 @F.pandas_udf(T.StringType())
 def demojibaked(s: pd.Series) -> pd.Series:
     """Mojibake repair alone."""
