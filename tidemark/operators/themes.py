@@ -131,22 +131,36 @@ def representatives(df: DataFrame, theme: str, key: str, text: str, similarity:
     return best.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).select(theme, key, "rank")
 
 
-def grams(df: DataFrame, theme: str, text: str, stop: list[str]) -> DataFrame:
-    """(theme, term): one- and two-word terms of each text, stop words removed first."""
-    words = df.where(F.col(theme).isNotNull()).select(theme, tx.tokens(F.col(text), stop).alias("w"))
-    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    return words.select(theme, F.explode(F.concat("w", pairs)).alias("term"))
+def grams(words: DataFrame, theme: str, kept: list[str] | None = None) -> DataFrame:
+    """(theme, term): pairs of neighbours in each row's w; with `kept` only pairs of such words."""
+    if kept is not None:
+        words = words.select(theme, F.transform("w", lambda x: F.when(x.isin(*kept), x)).alias("w"))
+    pairs = F.transform("w", lambda x, i: F.concat(x, F.lit(" "), F.get("w", i + 1)))  # null at the end and beside words not kept
+    return words.select(theme, F.explode_outer(pairs).alias("term")).where("term is not null")
+
 
+def ctfidf(df: DataFrame, theme: str, text: str, stop: list[str], k: int = 24, most: int = 10_000) -> DataFrame:
+    """(theme, term, score) of one- and two-word terms, stop words removed first: term share in the theme times ln(1 + mean terms per theme /
+    term frequency). All terms that can be among the k highest of a theme are there, also after rounding to 9 places, and each score is exact.
 
-def ctfidf(df: DataFrame, theme: str, text: str, stop: list[str]) -> DataFrame:
-    """(theme, term, score): term share in the theme times ln(1 + mean terms per theme / term frequency). Texts are read once: counts are
-    stored, and a term's frequency over all themes is a sum over its few rows."""
-    tf = Stored(grams(df, theme, text, stop).groupBy(theme, "term").agg(F.count("*").alias("tf"))).read()
-    per_theme = tf.groupBy(theme).agg(F.sum("tf").alias("words"))
+    Words are counted first. A pair occurs no more often than either of its words, and a term with n occurrences in a theme scores no more than
+    if it had them there alone, which rises with n. So pairs with a word that stays below the k-th word's score in every theme need no count, and
+    where at most `most` words are left (else all pairs are counted) only pairs of these are counted, in all themes."""
+    words = df.where(F.col(theme).isNotNull()).select(theme, tx.tokens(F.col(text), stop).alias("w"))
+    found = words.select(theme, F.posexplode_outer("w").alias("at", "term")).where("term is not null")  # inner ones find the words twice: once to drop empty rows
+    each = found.groupBy(theme, "term").agg(F.count("*").alias("tf"), F.count_if(F.col("at") == 0).alias("first"))
+    ones = Stored(each).read()
+    per_theme = ones.groupBy(theme).agg((2 * F.sum("tf") - F.sum("first")).alias("words"))  # a text of n words has n - 1 pairs
     average = per_theme.agg(F.avg("words").alias("avg_words"))
     freq = F.sum("tf").over(Window.partitionBy("term"))  # a row for each theme that has the term
-    out = tf.withColumn("freq", freq).join(per_theme, theme).crossJoin(F.broadcast(average))  # one row
-    return out.select(theme, "term", (F.col("tf") / F.col("words") * F.ln(1 + F.col("avg_words") / F.col("freq"))).alias("score"))
+    sized = lambda tf: tf.withColumn("freq", freq).join(F.broadcast(per_theme), theme).crossJoin(F.broadcast(average))  # noqa: E731  one row a theme, one row
+    value = lambda n: F.col("tf") / F.col("words") * F.ln(1 + F.col("avg_words") / F.col(n))
+    scored = Stored(sized(ones.select(theme, "term", "tf")).select(theme, "term", value("freq").alias("score"), value("tf").alias("bound"))).read()
+    best = scored.withColumn("r", F.row_number().over(Window.partitionBy(theme).orderBy(F.desc("score")))).where(F.col("r") == k).select(theme, F.col("score").alias("least"))
+    able = scored.join(F.broadcast(best), theme, "left").where(F.col("bound") * (1 + 1e-9) >= F.coalesce("least", F.lit(0.0)) - 2e-9)  # room for rounding
+    kept = [r["term"] for r in able.select("term").distinct().limit(most + 1).collect()]
+    pairs = grams(words, theme, kept if len(kept) <= most else None).groupBy(theme, "term").agg(F.count("*").alias("tf"))
+    return scored.select(theme, "term", "score").unionByName(sized(pairs).select(theme, "term", value("freq").alias("score")))
 
 
 def keywords(scores: DataFrame, theme: str, k: int = 8) -> DataFrame:
