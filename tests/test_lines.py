@@ -110,3 +110,36 @@ def test_no_rows(spark, tmp_path):
     (tmp_path / "header.csv").write_text("text\n")
     with pytest.raises(ValueError):
         reviews.read_csv(spark, str(tmp_path / "header.csv"))
+
+
+def test_quoted_empty_fields_are_texts(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('"0","1","d","q","u",""\n"4","2","","q","u",""\n"4","3","short"\n"4","4",,"q","u","t"\n')
+    got = sorted((r["line"], r["fields"], r["date"], r["text"]) for r in tweets.read_tweets(spark, str(tmp_path / "t.csv")).collect())
+    assert got == [(1, 6, "d", ""), (2, 6, "", ""), (3, 3, "short", None), (4, 5, None, "t")]
+
+
+def odd_documents(spark, folder, odd, n=70):
+    """n documents that are one of the odd texts each, in turn."""
+    from pyspark.sql import functions as F
+
+    texts = F.array(*[F.lit(t) for t in odd])
+    columns = [(F.col("id") % len(odd)).cast("int"), F.lit("en").alias("lang"), F.lit("s1").alias("source")]
+    spark.range(0, n, 1, 3).select(F.col("id").alias("doc_id"), texts[columns[0]].alias("text"), *columns[1:]).write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["tweets_profile", "tweets_scan"])
+def test_tweets_without_text_match_sql(spark, tmp_path, name):
+    same_as_sql(spark, name, odd_documents(spark, tmp_path, [None, "", " ", 'a "b"', "\r", "\n", ","]))
+
+
+def same_as_sql(spark, name, folder):
+    import duckdb
+
+    from tidemark.plans import catalogue
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    got = catalogue.QUERIES[name](spark, folder)
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({catalogue.ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)

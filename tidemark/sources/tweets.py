@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import parse
-from tidemark.sources.lines import numbered_lines, read_table
+from tidemark.sources.lines import fields, numbered_lines, read_table
 
 COLUMNS = ("target", "id", "date", "flag", "user", "text")
 
@@ -15,8 +15,7 @@ def read_tweets(spark: SparkSession, path: str) -> DataFrame:
     """(line, fields, target, id, date, flag, user, text) of latin-1 CSV files: line numbers run through all files by name, and malformed lines keep their number of fields. Blank lines
     are numbered and left out."""
     lines = numbered_lines(spark, path, "ISO-8859-1").where(F.trim("value") != "")
-    schema = ", ".join(f"{c} string" for c in (*COLUMNS, "extra"))
-    f = F.from_csv("value", schema, {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1"})
+    f = fields(F.col("value"), (*COLUMNS, "extra"))
     n = sum(F.col(f"_f.{c}").isNotNull().cast("int") for c in (*COLUMNS, "extra"))
     return lines.select("line", f.alias("_f")).select("line", n.alias("fields"), *[F.col(f"_f.{c}").alias(c) for c in COLUMNS])
 
