@@ -143,3 +143,7 @@ def same_as_sql(spark, name, folder):
     got = catalogue.QUERIES[name](spark, folder)
     want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({catalogue.ORACLES[name]})").fetchall()
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_split_files_without_text_match_sql(spark, tmp_path):
+    same_as_sql(spark, "split_files", odd_documents(spark, tmp_path, [None, "", " ", 'a "b"', "a\r", "\n", "\r\n"], 14))
